@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.session import environment_path
+from codestrata.session import environment_path, spread
 
 #: Path of the vocabulary (ranks). A parameter; never copied into the repository.
 RANKS = environment_path("CODESTRATA_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -50,18 +50,29 @@ def leaves(text: str, size: int = LEAF) -> list[tuple[int, bytes]]:
     import regex
 
     out: list[tuple[int, bytes]] = []
-    start, split = 0, regex.compile(PATTERN)
-    end = 0
-    for m in split.finditer(text):
-        if m.end() - start > size and end > start:
-            out.append((PIECES, text[start:end].encode()))
-            start = end
+    start, spans = 0, []
+
+    def flush() -> None:
+        # at the end of a leaf the rule would join white space that it parts in the whole text, so trailing
+        # pieces of white space become parts of their own
+        k = len(spans)
+        while k and text[spans[k - 1][1] - 1].isspace():
+            k -= 1
+        if k:
+            out.append((PIECES, text[spans[0][0] : spans[k - 1][1]].encode()))
+        out.extend((HEAD, text[a:b].encode()) for a, b in spans[k:])
+        spans.clear()
+
+    for m in regex.compile(PATTERN).finditer(text):
+        if spans and m.end() - start > size:
+            flush()
         if m.end() - m.start() > size:
             out += [(REST if i else HEAD, part) for i, part in enumerate(_halves(m.group().encode(), size))]
-            start = m.end()
-        end = m.end()
-    if len(text) > start:
-        out.append((PIECES, text[start:].encode()))
+            continue
+        if not spans:
+            start = m.start()
+        spans.append(m.span())
+    flush()
     return out
 
 
@@ -167,6 +178,7 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         ids = tree_joined([(int(w), list(map(int, x))) for w, x in zip(pdf["what"], pdf["ids"], strict=True)], path)
         return pdf.iloc[:1][["_id"]].assign(ids=[ids])
 
+    rows = spread(rows)
     short = rows.where(~long).mapInArrow(short_ids, f"_id {kind}, ids array<int>")
     # the row number must not change between attempts, as it would if computed again after a shuffle; here it
     # follows from the scan's own partitions
