@@ -6,6 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codestrata.operators import drift, nested
+from codestrata.session import read_table
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.changes(read_table(spark, sf, "result_files"))
+
+
+def p3_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.ingest(read_table(spark, sf, "result_files"))
+
+
+def _children(spark: SparkSession, sf: str):
+    reports = read_table(spark, sf, "reports")
+    plan = nested.analyse(reports, "kind", "body")
+    return nested.child_records(reports, "report_id", "kind", "body", plan), plan
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _children(spark, sf)[0].select("report_id", "child_path")
+
+
+def _child_table(kind: str, node: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        records, plan = _children(spark, sf)
+        return nested.child_table(records, plan, kind, node)
+
+    return query
+
+
+def p4_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.schema_graph(read_table(spark, sf, "reports"), "kind", "body")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "p3_found": p3_found,
+        "p3_runs": p3_runs,
+        "p4_found": p4_found,
+        "p4_graph": p4_graph,
+        "p4_targets": _child_table("receipts", "/*"),
+        "p4_receipt_findings": _child_table("receipts", "/*/findings"),
+        "p4_taint_findings": _child_table("taint", "/findings"),
+        "p4_flow_steps": _child_table("taint", "/findings/flow"),
+        "p4_tools": _child_table("leaderboard", "/tools"),
+        "p4_scores": _child_table("leaderboard", "/tools/scores"),
+        "p4_true_positives": _child_table("leaderboard", "/tools/scores/tpDetails"),
+        "p4_false_positives": _child_table("leaderboard", "/tools/scores/fpDetails"),
+        "p4_false_negatives": _child_table("leaderboard", "/tools/scores/fnDetails"),
+    }
