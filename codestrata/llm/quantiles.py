@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.session import checkpointed
+from codestrata.session import checkpointed, small_side
 
 DIGIT_BITS = 16
 KEY_BITS = 64
@@ -105,7 +105,7 @@ def radix_percentiles(measured: DataFrame, groups: list[str], probs: list[float]
     # each pass uses the last one's result twice; written out, the plan stays of one size
     targets = checkpointed(_followed(hist, targets.withColumn("parent", F.lit(0).cast("long")), keys))
     for _ in range(digits - 1):
-        parents = targets.select(*keys, "parent").distinct()
+        parents = small_side(targets.select(*keys, "parent").distinct())
         live = measured.select(*keys, "key", F.shiftright("key", shift).alias("parent")).join(parents, [*keys, "parent"], "left_semi")
         shift -= DIGIT_BITS
         hist = live.groupBy(*keys, "parent", F.shiftright("key", shift).alias("prefix")).agg(count)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import fingerprints, quantiles, tokens
+from codestrata.llm import fingerprints, quantiles, sentences, tokens
 from codestrata.session import read_table
 
 FIELDS = ["scan_id", "source", "file", "line", "type", "description"]
@@ -51,6 +51,10 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_ids(read_table(spark, sf, "documents"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(read_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p6_found": p6_found,
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_scores": p7_scores,
         "p7_daily": p7_daily,
         "p8_ids": p8_ids,
+        "p10_found": p10_found,
     }
 
 
