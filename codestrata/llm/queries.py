@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import fingerprints, quantiles, sentences, tokens
+from codestrata.llm import fingerprints, leaks, quantiles, sentences, tokens
 from codestrata.session import read_table
 
 FIELDS = ["scan_id", "source", "file", "line", "type", "description"]
@@ -51,6 +51,14 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_ids(read_table(spark, sf, "documents"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_leaks(spark, sf).where("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_units(read_table(spark, sf, "documents"))
 
@@ -63,6 +71,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_scores": p7_scores,
         "p7_daily": p7_daily,
         "p8_ids": p8_ids,
+        "p9_found": p9_found,
+        "p9_leaks": p9_leaks,
         "p10_found": p10_found,
     }
 
