@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import fingerprints, leaks, quantiles, sentences, tokens
+from codestrata.llm import fingerprints, leaks, quantiles, sentences, syntax, tokens
 from codestrata.session import read_table
 
 FIELDS = ["scan_id", "source", "file", "line", "type", "description"]
 PROBS = [0.5, 0.9, 0.99]
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.invalid_files(read_table(spark, sf, "files")).select("file_id")
+
+
+def p1_problems(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.invalid_files(read_table(spark, sf, "files"))
+
+
+def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.rates(read_table(spark, sf, "files"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     fields = fingerprints.finding_fields(read_table(spark, sf, "findings"))
     return fingerprints.copies(fields, "ord", FIELDS).select(F.col("first").alias("ord_a"), F.col("other").alias("ord_b"))
@@ -65,6 +77,9 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_problems": p1_problems,
+        "p1_rates": p1_rates,
         "p6_found": p6_found,
         "p6_records": p6_records,
         "p7_percentiles": p7_percentiles,
@@ -104,6 +119,9 @@ def oracle_sql() -> dict[str, str]:
       where engine_ms.nova > 0 and not isnan(engine_ms.nova) and not isinf(engine_ms.nova))"""
     scores = "with m as (select tool, 'duration_ms' as metric, duration_ms::double as v from scores where duration_ms >= 0)"
     return {
+        "p1_found": p1_found,
+        "p1_problems": p1_problems,
+        "p1_rates": p1_rates,
         "p6_found": _FINDINGS
         + """, g as (select *, min(ord) over (partition by scan_id, source, file, line, type, description) as a from f)
         select a as ord_a, ord as ord_b from g where a <> ord""",
