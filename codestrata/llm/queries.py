@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import credentials, fingerprints, leaks, quantiles, sentences, syntax, tokens
+from codestrata.llm import credentials, fingerprints, leaks, provenance, quantiles, sentences, syntax, tokens
 from codestrata.session import read_table
 
 FIELDS = ["scan_id", "source", "file", "line", "type", "description"]
@@ -34,6 +34,14 @@ def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.scan(read_table(spark, sf, "files")).select("file_id", "n", "kinds", "redacted")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.not_hand_written(read_table(spark, sf, "files")).select("file_id")
+
+
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.not_hand_written(read_table(spark, sf, "files"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     fields = fingerprints.finding_fields(read_table(spark, sf, "findings"))
     return fingerprints.copies(fields, "ord", FIELDS).select(F.col("first").alias("ord_a"), F.col("other").alias("ord_b"))
@@ -90,6 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_rates": p1_rates,
         "p2_found": p2_found,
         "p2_redacted": p2_redacted,
+        "p5_found": p5_found,
+        "p5_classes": p5_classes,
         "p6_found": p6_found,
         "p6_records": p6_records,
         "p7_percentiles": p7_percentiles,
