@@ -486,7 +486,9 @@ def check_c(text: str, lang: str) -> None:
 def _without_comments(text: str) -> str:
     """Comments become as many spaces and line ends, so offsets stay."""
     blank = lambda m: m.group() if m.group()[0] in "\"'" else re.sub(r"[^\n]", " ", m.group())
-    return re.sub(rf"{_STRING}|{_CHAR}|{_C_COMMENT}", blank, text)
+    # an open comment is closed, so that the search for its end runs once
+    closed = text + "*/" if text.rfind("/*") > text.rfind("*/") - 1 else text
+    return re.sub(rf"{_STRING}|{_CHAR}|{_C_COMMENT}", blank, closed)[: len(text)]
 
 
 def check_go(text: str, lang: str) -> None:
