@@ -1,7 +1,176 @@
-"""DuckDB SQL of the core's queries."""
+"""DuckDB SQL of the core's queries. Rule and word tables are shared with the operators; the engine and the plan are not."""
 
 from __future__ import annotations
 
+from codestrata.operators import corpus, findings, patterns
+
+
+def _q(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def _map(pairs) -> str:
+    return "map {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs) + "}"
+
+
+_LANGS = _map((e, n) for n, exts, _ in corpus.LANGUAGES for e in exts.split())
+_NAMES = _map(corpus.FILE_NAMES.items())
+_LANGUAGE = f"coalesce({_NAMES}[lower(regexp_extract(rel_path, '([^/]+)$', 1))], {_LANGS}[lower(regexp_extract(rel_path, '\\.([^./]+)$', 1))])"
+_IGNORED = ", ".join(f"'{x}'" for x in corpus.IGNORED)
+SCANNED = f"""with s as (select * from files where not list_has_any(string_split(rel_path, '/'), [{_IGNORED}])
+  and not regexp_matches(rel_path, '{corpus.MINIFIED}') and {_LANGUAGE} is not null),
+l as (select file_id, repo, rel_path, {_LANGUAGE} as lang, string_split(replace(coalesce(content, ''), chr(13), ''), chr(10)) as lines,
+  cast(case when content is null then 0 else len(string_split(content, chr(10))) - case when content = '' or content like '%' || chr(10) then 1 else 0 end end as integer) as n_lines from s),
+x as (select file_id, repo, rel_path, lang, unnest(lines) as line, generate_subscripts(lines, 1)::integer as line_no from l)
+"""
+
+
+def _first_group(pattern: str, n: int) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(line, '{_q(pattern)}', {k}), '')" for k in range(1, n + 1)) + ")"
+
+
+_TODO = "(?i)" + corpus.TODO
+IMPORTS = f""", i as (select file_id, repo, rel_path, line_no, {_first_group(corpus.IMPORT, 7)} as source from x where regexp_matches(line, '{_q(corpus.IMPORT)}'))
+"""
+
+
+PACKAGES = """, w as (select repo, regexp_replace(regexp_replace(rel_path, '[^/]*$', ''), '/$', '') as src,
+  regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(rel_path, '[^/]*$', '') || source, '[^/]+/[.][.]/', '', 'g'), './', ''), '[.](ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|kt|rb|swift|c|h|php)$', ''), '/index$', ''), '^/', '') as want
+  from i where starts_with(source, '.')),
+o as (select distinct repo, src, unnest([want, regexp_replace(regexp_replace(want, '[^/]*$', ''), '/$', '')]) as dst from w),
+e as (select distinct o.repo, src, dst from o where src <> dst and exists (select 1 from s where s.repo = o.repo and regexp_replace(regexp_replace(s.rel_path, '[^/]*$', ''), '/$', '') = dst))
+"""
+
+
+def _function_sql() -> str:
+    heads = " or ".join(f"(lang = '{k}' and regexp_matches(line, '{_q(p)}'))" for k, p in corpus.FUNCTION.items())
+    name = "case lang " + " ".join(f"when '{k}' then regexp_extract(line, '{_q(p)}', 1)" for k, p in corpus.FUNCTION.items()) + " end"
+    return f""", h as (select *, {name} as name from x where {heads}),
+    e as (select h.*, coalesce(lead(h.line_no) over (partition by h.file_id order by h.line_no) - 1, greatest(h.line_no, l.n_lines)) as end_line, l.lines from h join l using (file_id)),
+    b as (select *, array_to_string(list_slice(lines, line_no, end_line), chr(10)) as body, regexp_extract(line, '\\(([^()]*)\\)[^(]*$', 1) as params from e)
+    select file_id, rel_path, lang, name, line_no as start_line, end_line::integer as end_line, (end_line - line_no + 1)::integer as n_lines,
+      (1 + len(regexp_extract_all(body, '{_q(corpus.BRANCH)}')))::integer as complexity,
+      regexp_matches(line, '(^|[^A-Za-z0-9_])async($|[^A-Za-z0-9_])') as is_async,
+      regexp_matches(body, 'try|catch|except|rescue|Result<|if err') as has_error_handling,
+      (case when trim(params) = '' then 0 else len(string_split(params, ',')) end)::integer as n_params
+    from b"""
+
+
+def _pattern_rows() -> str:
+    parts = []
+    for k, r in enumerate(patterns.RULES):
+        parts.append(
+            f"select file_id, repo, rel_path, {k} as detector, '{r.name}' as rule, '{r.type}' as type, '{r.severity}' as severity, "
+            f"unnest(list_filter(range(1, len(lines) + 1), lambda i: {patterns.condition_sql(r, False)}))::integer as line_no "
+            f"from l where lang is not null and lang <> 'markdown' and {patterns.applies_sql(r)}"
+        )
+    return ", p as (" + " union all ".join(parts) + ")\n"
+
+
+DELIVERED = """with d as (
+  select ord, scan_id, repo, source, coalesce(file, json_extract_string(payload, '$.file')) as file,
+    greatest(coalesce(line, try_cast(trim(json_extract_string(payload, '$.line')) as integer), 0), 0)::integer as line,
+    coalesce(type, json_extract_string(payload, '$.type')) as type, coalesce(severity, 'LOW') as severity,
+    coalesce(description, json_extract_string(payload, '$.description')) as description
+  from findings)
+"""
+_ANCHOR = "case when regexp_extract(f, '(?:^|/)((?:src|app|lib|routes|packages)/(?s:.*))$', 1) <> '' then regexp_extract(f, '(?:^|/)((?:src|app|lib|routes|packages)/(?s:.*))$', 1) else regexp_extract(f, '([^/]+)$', 1) end"
+
+
+def _cwe() -> str:
+    d = "lower(coalesce(description, ''))"
+    cases = " ".join(f"when regexp_matches({d}, '{_q(p)}') then {c}" for p, c in findings.CWE_LADDER)
+    types = " ".join(f"when '{t}' then {c}" for t, c in findings.TYPE_CWE.items())
+    return f"(case {cases} else coalesce(try_cast(nullif(regexp_extract({d}, 'cwe-(\\d+)', 1), '') as integer), case type {types} end) end)::integer"
+
+
+def _classified() -> str:
+    q = ", ".join(f"'{t}'" for t in findings.QUALITY_TYPES)
+    levels = " ".join(f"when '{k}' then '{v}'" for k, v in findings.SEVERITY_LEVEL.items())
+    return (
+        DELIVERED
+        + f""", c as (select *, {_cwe()} as cwe,
+      case when regexp_matches(coalesce(description, ''), '{findings.SECURITY}') then 'security' when type in ({q}) then 'quality' else 'security' end as surface,
+      case severity {levels} else 'none' end as level, coalesce(regexp_matches(file, '{findings.TEST_PATH}'), false) as is_test from d)
+    """
+    )
+
+
+_IDS = f""", n as (select *, coalesce(file, '') as f from c), k as (select *, lower(source) || '_' || substr(sha1(concat_ws('|', source, {_ANCHOR}, line::varchar, coalesce(type, ''), coalesce(description, ''))), 1, 12) as finding_id from n)
+"""
+
+
+def _aliases() -> str:
+    return " ".join(f"when {k} then [{', '.join(map(str, v))}]" for k, v in findings.CWE_ALIASES.items())
+
+
+_RATIOS = "case when tp + fp = 0 then null else tp / (tp + fp) end as precision_val, case when tp + fn = 0 then null else tp / (tp + fn) end as recall"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rank = " ".join(f"when '{k}' then {v}" for k, v in findings.SEVERITY_RANK.items())
+    c = _classified()
+    return {
+        "loc_per_file": SCANNED + "select file_id, lang, n_lines from l",
+        "language_loc": SCANNED + "select lang, count(*) as n_files, sum(n_lines)::bigint as n_lines from l group by lang",
+        "line_explode": SCANNED + "select file_id, line_no, length(line)::integer as n_chars from x",
+        "extract_imports": SCANNED + IMPORTS + "select file_id, rel_path, line_no, source, starts_with(source, '.') as is_relative from i where source is not null",
+        "extract_classes": SCANNED + f"select file_id, rel_path, line_no, regexp_extract(line, '{corpus.CLASS}', 1) as kind, regexp_extract(line, '{corpus.CLASS}', 2) as name from x where regexp_matches(line, '{corpus.CLASS}')",
+        "extract_todos": SCANNED + f"select file_id, rel_path, line_no, upper(regexp_extract(line, '{_TODO}', 1)) as kind from x where regexp_matches(line, '{_TODO}')",
+        "extract_functions": SCANNED + _function_sql(),
+        "export_counts": SCANNED + "select file_id, rel_path, n_lines, len(regexp_extract_all(array_to_string(lines, chr(10)), '(?:^|[^A-Za-z0-9_])export(?:[^A-Za-z0-9_]|$)'))::integer as n_exports from l",
+        "pattern_findings": SCANNED + _pattern_rows() + "select file_id, rule, type, severity, line_no from p",
+        "findings_by_type": SCANNED + _pattern_rows() + f"select type, severity, count(*) as n, count(distinct file_id) as n_files from p where not regexp_matches(rel_path, '{patterns.TEST_FILE}') group by type, severity",
+        "dedup_near_findings": SCANNED
+        + _pattern_rows()
+        + "select file_id, type, line_no, rule, severity from (select *, row_number() over (partition by file_id, type, line_no // 3 order by detector, line_no) as rn from p) where rn = 1",
+        "finding_ids": c + _IDS + "select ord, finding_id from k",
+        "cwe_primary": c + "select ord, cwe, surface, level from c",
+        "cwe_counts": c
+        + f", s as (select unnest(list_distinct(list_concat([cwe], coalesce(case cwe {_aliases()} end, [])))) as cwe, repo, ord from c) select cwe, count(*) as n, count(distinct repo) as n_repos from s group by cwe",
+        "surface_split": c + "select surface, is_test, severity, count(*) as n from c group by all",
+        "dedup_first_wins": DELIVERED + "select scan_id, file, line, type, description, min(ord) as ord from d group by all",
+        "merge_findings": DELIVERED
+        + """, o as (select *, row_number() over (partition by scan_id, file, line, type, description order by ord) as rn from d where source <> 'PULSAR'
+          and not exists (select 1 from d b where b.source = 'PULSAR' and b.scan_id is not distinct from d.scan_id and b.file is not distinct from d.file and b.line is not distinct from d.line
+            and b.type is not distinct from d.type and b.description is not distinct from d.description))
+        select ord, scan_id, source from d where source = 'PULSAR' union all select ord, scan_id, source from o where rn = 1""",
+        "fix_diff": c
+        + _IDS
+        + """, b as (select distinct finding_id from k where scan_id % 2 = 0), a as (select distinct finding_id from k where scan_id % 2 = 1)
+        select coalesce(b.finding_id, a.finding_id) as finding_id, case when a.finding_id is null then 'resolved' when b.finding_id is null then 'new' else 'remaining' end as state
+        from b full join a on b.finding_id = a.finding_id""",
+        "top_issues": DELIVERED
+        + f""", f as (select *, row_number() over (partition by repo, file, severity order by ord) as k from d where file is not null),
+        r as (select *, row_number() over (partition by repo order by case severity {rank} else 3 end, ord)::integer as rank from f where k = 1)
+        select repo, rank, file, severity, type, ord from r where rank <= 10""",
+        "sarif_rules": c
+        + "select rule_id, type, cwe, description, ord from (select concat_ws('/', type, 'CWE-' || cwe) as rule_id, *, row_number() over (partition by concat_ws('/', type, 'CWE-' || cwe) order by ord) as rn from c) where rn = 1",
+        "weakness_candidates": DELIVERED
+        + """select d.source, w.corpus, d.ord, w.id from d join weaknesses w on d.repo = w.corpus and d.type = w.type
+        where (d.file = w.file or ends_with(d.file, '/' || w.file) or ends_with(w.file, '/' || d.file)) and (w.scope = 'project' or abs(d.line - w.line) <= 5)""",
+        "band_match_candidates": DELIVERED
+        + """, w as (select repo, file, type, min(ord)::varchar as id, arg_min(line, ord) as line from d where source = 'PULSAR' and file is not null group by all)
+        select d.source, w.repo as corpus, d.ord, w.id from d join w on d.repo = w.repo and d.type = w.type
+        where (d.file = w.file or ends_with(d.file, '/' || w.file) or ends_with(w.file, '/' || d.file)) and abs(d.line - w.line) <= 5""",
+        "package_edges": SCANNED + IMPORTS + PACKAGES + "select repo, src, dst from e",
+        "package_in_degrees": SCANNED + IMPORTS + PACKAGES + "select repo, dst as module, count(*) as n from e group by all",
+        "package_importers": SCANNED + IMPORTS + PACKAGES + "select repo, dst as module, string_agg(src, ',' order by src) as imported_by, count(*) as n from e group by all",
+        "reachability": SCANNED.replace("with s as", "with recursive s as", 1)
+        + IMPORTS
+        + PACKAGES
+        + """, r as (select distinct repo, src as start, src as module, 0 as hops from e union
+          select r.repo, r.start, e.dst, r.hops + 1 from r join e on e.repo = r.repo and e.src = r.module where r.hops < 4)
+        select repo, start, module, min(hops)::integer as hops from r group by all""",
+        "harmonic_f1": "select tool, count(*) as n, case when bool_or(f1 is null) then null when bool_or(f1 = 0) then 0.0 else round(count(*) / sum(1.0 / nullif(f1, 0)), 9) end as f1 from scores group by tool",
+        "leaderboard": f"""with t as (select tool, count(distinct corpus) as n_corpora, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from scores group by tool),
+          r as (select *, {_RATIOS} from t),
+          f as (select *, case when precision_val is null or recall is null then null when precision_val + recall = 0 then 0.0 else 2 * precision_val * recall / (precision_val + recall) end as f1 from r)
+        select tool, n_corpora, tp, fp, fn, round(precision_val, 9) as precision_val, round(recall, 9) as recall, round(f1, 9) as f1,
+          row_number() over (order by round(f1, 9) desc nulls last, tool)::integer as rank from f""",
+        "run_variance": """select corpus, stage, count(*) as n, round(median(total_ms) + 1e-9, 6) as median_ms,
+          round(100 * greatest(max(total_ms) - median(total_ms), median(total_ms) - min(total_ms)) / median(total_ms) + 1e-9, 6) as variance_pct
+        from runs where total_ms > 0 and not isnan(total_ms) group by corpus, stage""",
+    }
+
+

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codestrata.operators import drift, nested
+from codestrata.operators import corpus, drift, findings, graph, nested, patterns, risk, scoring
 from codestrata.session import read_table
 
 
@@ -40,12 +41,219 @@ def p4_graph(spark: SparkSession, sf: str) -> DataFrame:
     return nested.schema_graph(read_table(spark, sf, "reports"), "kind", "body")
 
 
+def _lined(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.with_lines(corpus.scanned(read_table(spark, sf, "files")))
+
+
+def loc_per_file(spark, sf):
+    f = corpus.scanned(read_table(spark, sf, "files"))
+    return f.select("file_id", corpus.language(F.col("rel_path")).alias("lang"), corpus.loc(F.col("content")).alias("n_lines"))
+
+
+def language_loc(spark, sf):
+    return loc_per_file(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_lines").alias("n_lines"))
+
+
+def line_explode(spark, sf):
+    lined = _lined(spark, sf)
+    return lined.select("file_id", F.posexplode("lines").alias("pos", "line")).select("file_id", (F.col("pos") + 1).alias("line_no"), F.length("line").alias("n_chars"))
+
+
+def extract_imports(spark, sf):
+    return corpus.imports(_lined(spark, sf)).drop("repo")
+
+
+def extract_classes(spark, sf):
+    return corpus.classes(_lined(spark, sf))
+
+
+def extract_todos(spark, sf):
+    return corpus.todos(_lined(spark, sf))
+
+
+def extract_functions(spark, sf):
+    return corpus.functions(_lined(spark, sf))
+
+
+def export_counts(spark, sf):
+    return corpus.export_counts(_lined(spark, sf))
+
+
+def god_modules(spark, sf):
+    return graph.god_modules(corpus.export_counts(_lined(spark, sf)))
+
+
+def pattern_findings(spark, sf):
+    return patterns.line_findings(_lined(spark, sf)).select("file_id", "rule", "type", "severity", "line_no")
+
+
+def findings_by_type(spark, sf):
+    f = patterns.line_findings(_lined(spark, sf)).where(~F.col("rel_path").rlike(patterns.TEST_FILE))
+    return f.groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("n_files"))
+
+
+def dedup_near_findings(spark, sf):
+    return patterns.dedup_near(patterns.line_findings(_lined(spark, sf))).drop("rel_path")
+
+
+def _edges(spark, sf):
+    files = corpus.scanned(read_table(spark, sf, "files"))
+    return graph.edges(files, corpus.imports(corpus.with_lines(files)))
+
+
+def _packages(spark, sf):
+    files = corpus.scanned(read_table(spark, sf, "files"))
+    return graph.package_edges(files, corpus.imports(corpus.with_lines(files)))
+
+
+def dep_edges(spark, sf):
+    return _edges(spark, sf)
+
+
+def package_edges(spark, sf):
+    return _packages(spark, sf)
+
+
+def package_in_degrees(spark, sf):
+    return graph.in_degrees(_packages(spark, sf))
+
+
+def package_importers(spark, sf):
+    return graph.reverse(_packages(spark, sf)).select("repo", "module", F.array_join("imported_by", ",").alias("imported_by"), "n")
+
+
+def import_counts(spark, sf):
+    return graph.in_degrees(_edges(spark, sf))
+
+
+def coupled_modules(spark, sf):
+    return graph.coupling(_edges(spark, sf))
+
+
+def cycle_members(spark, sf):
+    return graph.cycle_members(_packages(spark, sf))
+
+
+def reachability(spark, sf):
+    e = _packages(spark, sf)
+    return graph.reachable(e, e.select("repo", F.col("src").alias("module")), depth=4)
+
+
+def causal_chains(spark, sf):
+    e = _packages(spark, sf)
+    exports = corpus.export_counts(_lined(spark, sf)).join(read_table(spark, sf, "files").select("file_id", "repo"), "file_id")
+    return graph.causal_chains(graph.cycle_members(e), graph.coupling(e), graph.god_modules(exports))
+
+
+def _risk(spark, sf):
+    lined = _lined(spark, sf)
+    fns = corpus.functions(lined)
+    return risk.risk_scores(lined, fns, corpus.todos(lined), graph.in_degrees(_edges(spark, sf)), graph.module(F.col("rel_path"))), lined, fns
+
+
+def risk_scores(spark, sf):
+    return _risk(spark, sf)[0].drop("repo", "rel_path")
+
+
+def risk_tiers(spark, sf):
+    return _risk(spark, sf)[0].groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+def verdict(spark, sf):
+    scores, lined, fns = _risk(spark, sf)
+    e = _edges(spark, sf)
+    hits = patterns.line_findings(lined)
+    kept = patterns.gated(hits, scores.where("tier <> 'low'"))
+    exports = corpus.export_counts(lined).join(lined.select("file_id", "repo"), "file_id")
+    return risk.verdicts(scores, fns, kept, graph.cycle_members(e), graph.coupling(e), graph.god_modules(exports))
+
+
+def _delivered(spark, sf):
+    return findings.delivered(read_table(spark, sf, "findings"))
+
+
+def finding_ids(spark, sf):
+    return findings.classified(_delivered(spark, sf)).select("ord", "finding_id")
+
+
+def cwe_primary(spark, sf):
+    return findings.classified(_delivered(spark, sf)).select("ord", "cwe", "surface", "level")
+
+
+def cwe_counts(spark, sf):
+    c = findings.classified(_delivered(spark, sf))
+    return c.select(F.explode("cwes").alias("cwe"), "repo").groupBy("cwe").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repo").alias("n_repos"))
+
+
+def surface_split(spark, sf):
+    c = findings.classified(_delivered(spark, sf))
+    return c.groupBy("surface", "is_test", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dedup_first_wins(spark, sf):
+    return findings.first_of(_delivered(spark, sf).select("scan_id", "file", "line", "type", "description", "ord"), ["scan_id", "file", "line", "type", "description"])
+
+
+def merge_findings(spark, sf):
+    d = _delivered(spark, sf).select("scan_id", "file", "line", "type", "description", "ord", "source")
+    keys = ["scan_id", "file", "line", "type", "description"]
+    return findings.merged(d.where("source = 'PULSAR'"), d.where("source <> 'PULSAR'"), keys).select("ord", "scan_id", "source")
+
+
+def fix_diff(spark, sf):
+    c = findings.classified(_delivered(spark, sf))
+    before, after = (c.where(F.pmod("scan_id", F.lit(2)) == k) for k in (0, 1))
+    return findings.difference(before, after)
+
+
+def top_issues(spark, sf):
+    return findings.top_issues(_delivered(spark, sf))
+
+
+def sarif_results(spark, sf):
+    return findings.sarif_results(findings.classified(_delivered(spark, sf)))
+
+
+def sarif_rules(spark, sf):
+    return findings.sarif_rules(findings.classified(_delivered(spark, sf)))
+
+
+def weakness_candidates(spark, sf):
+    return scoring.candidates(_delivered(spark, sf), read_table(spark, sf, "weaknesses"))
+
+
+def band_match_candidates(spark, sf):
+    """Every engine's findings against the first pattern finding of each file and type, as if that were labelled."""
+    d = _delivered(spark, sf)
+    labels = findings.first_of(d.where("source = 'PULSAR' and file is not null").select("repo", "file", "type", "line", "ord"), ["repo", "file", "type"])
+    labels = labels.select(F.col("repo").alias("corpus"), "type", F.col("ord").cast("string").alias("id"), "file", "line", F.lit("file").alias("scope"))
+    return scoring.candidates(d, labels)
+
+
+def precision_recall(spark, sf):
+    return scoring.scored(_delivered(spark, sf), read_table(spark, sf, "weaknesses"))
+
+
+def harmonic_f1(spark, sf):
+    return scoring.harmonic_f1(read_table(spark, sf, "scores"))
+
+
+def leaderboard(spark, sf):
+    return scoring.leaderboard(read_table(spark, sf, "scores"))
+
+
+def run_variance(spark, sf):
+    return scoring.run_variance(read_table(spark, sf, "runs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "p3_found": p3_found,
-        "p3_runs": p3_runs,
-        "p4_found": p4_found,
-        "p4_graph": p4_graph,
+    plain = [
+        p3_found, p3_runs, p4_found, p4_graph, loc_per_file, language_loc, line_explode, extract_imports, extract_classes, extract_todos, extract_functions, export_counts, god_modules,
+        pattern_findings, findings_by_type, dedup_near_findings, dep_edges, package_edges, package_in_degrees, package_importers, import_counts, coupled_modules, cycle_members, reachability, causal_chains, risk_scores, risk_tiers, verdict,
+        finding_ids, cwe_primary, cwe_counts, surface_split, dedup_first_wins, merge_findings, fix_diff, top_issues, sarif_results, sarif_rules, weakness_candidates, band_match_candidates, precision_recall,
+        harmonic_f1, leaderboard, run_variance,
+    ]
+    return {f.__name__: f for f in plain} | {
         "p4_targets": _child_table("receipts", "/*"),
         "p4_receipt_findings": _child_table("receipts", "/*/findings"),
         "p4_taint_findings": _child_table("taint", "/findings"),
