@@ -104,6 +104,18 @@ def _aliases() -> str:
     return " ".join(f"when {k} then [{', '.join(map(str, v))}]" for k, v in findings.CWE_ALIASES.items())
 
 
+_CONDITIONS = {
+    "missing": "v is null", "present": "v is not null", "equals": "v = '7'", "not-equals": "v <> '7'", "equals-or-missing": "v is null or v = '7'", "is-true": "lower(v) = 'true'", "is-false": "lower(v) = 'false'",
+    "not-true": "v is null or lower(v) <> 'true'", "contains": "contains(v, '4')", "matches": "regexp_matches(v, '^[1-3]$')", "not-matches": "v is null or not regexp_matches(v, '^[1-3]$')",
+    "matches-any": "regexp_matches(v, '^1') or regexp_matches(v, '9$')", "in": "v in ('1', '2', '50')", "not-in": "v not in ('1', '2', '50')", "lte": "try_cast(v as double) <= 20", "gte": "try_cast(v as double) >= 80",
+}
+
+
+def _conditions() -> str:
+    rows = " union all ".join(f"select event_type, '{c}' as condition, count(*) filter (where coalesce({sql}, false)) as n from e group by event_type" for c, sql in _CONDITIONS.items())
+    return "with e as (select event_type, json_extract_string(props, '$.k') as v from events) " + rows
+
+
 _RATIOS = "case when tp + fp = 0 then null else tp / (tp + fp) end as precision_val, case when tp + fn = 0 then null else tp / (tp + fn) end as recall"
 
 
@@ -146,6 +158,8 @@ def oracle_sql() -> dict[str, str]:
         select repo, rank, file, severity, type, ord from r where rank <= 10""",
         "sarif_rules": c
         + "select rule_id, type, cwe, description, ord from (select concat_ws('/', type, 'CWE-' || cwe) as rule_id, *, row_number() over (partition by concat_ws('/', type, 'CWE-' || cwe) order by ord) as rn from c) where rn = 1",
+        "relative_uris": "select file_id, case when starts_with(path, '/srv/checkout/') then substr(path, 15) when starts_with(path, '/') then regexp_extract(path, '([^/]+)$', 1) else regexp_replace(path, '^[.]/', '') end as uri from files",
+        "rule_conditions": _conditions(),
         "weakness_candidates": DELIVERED
         + """select d.source, w.corpus, d.ord, w.id from d join weaknesses w on d.repo = w.corpus and d.type = w.type
         where (d.file = w.file or ends_with(d.file, '/' || w.file) or ends_with(w.file, '/' || d.file)) and (w.scope = 'project' or abs(d.line - w.line) <= 5)""",

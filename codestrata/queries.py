@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators import corpus, drift, findings, graph, nested, patterns, risk, scoring
+from codestrata.functions.paths import corpus_fingerprint, relative_uri
+from codestrata.operators import corpus, drift, findings, fixes, graph, nested, patterns, risk, rules, scoring, taint
 from codestrata.session import read_table
+from codestrata.sources import config
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,12 +248,54 @@ def run_variance(spark, sf):
     return scoring.run_variance(read_table(spark, sf, "runs"))
 
 
+def taint_flows(spark, sf):
+    f = taint.flows(corpus.scanned(read_table(spark, sf, "files")))
+    return f.select("file_id", "line", "type", "danger", "source", "sink", F.size("flow").alias("n_steps"))
+
+
+def config_resources(spark, sf):
+    return config.resources(read_table(spark, sf, "files")).select("file_id", "resource_type", "name", "start_line", F.size("attrs").alias("n_attrs"))
+
+
+def rule_hits(spark, sf):
+    return rules.hits(config.resources(read_table(spark, sf, "files")), rules.RULES)
+
+
+#: Rules on the events table, one for each condition; SQL states each of them by itself.
+EVENT_TESTS = {
+    "missing": (), "present": (), "equals": ("7",), "not-equals": ("7",), "equals-or-missing": ("7",), "is-true": (), "is-false": (), "not-true": (), "contains": ("4",), "matches": ("^[1-3]$",),
+    "not-matches": ("^[1-3]$",), "matches-any": ("^1", "9$"), "in": ("1", "2", "50"), "not-in": ("1", "2", "50"), "lte": ("20",), "gte": ("80",),
+}
+
+
+def rule_conditions(spark, sf):
+    e = read_table(spark, sf, "events")
+    attrs = F.from_json("props", "map<string,string>")
+    fired = [F.struct(F.lit(c).alias("condition"), rules.holds(F.try_element_at(attrs, F.lit("k")), rules.Test("k", c, v)).alias("fires")) for c, v in EVENT_TESTS.items()]
+    long = e.select("event_type", F.explode(F.array(*fired)).alias("c"))
+    return long.groupBy("event_type", F.col("c.condition").alias("condition")).agg(F.count_if(F.col("c.fires")).alias("n"))
+
+
+def fix_proposals(spark, sf):
+    files = corpus.scanned(read_table(spark, sf, "files"))
+    return fixes.proposals(patterns.line_findings(corpus.with_lines(files)), files)
+
+
+def fingerprints(spark, sf):
+    return corpus_fingerprint(read_table(spark, sf, "files"))
+
+
+def relative_uris(spark, sf):
+    f = read_table(spark, sf, "files")
+    return f.select("file_id", relative_uri(F.col("path"), F.lit("/srv/checkout")).alias("uri"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         p3_found, p3_runs, p4_found, p4_graph, loc_per_file, language_loc, line_explode, extract_imports, extract_classes, extract_todos, extract_functions, export_counts, god_modules,
         pattern_findings, findings_by_type, dedup_near_findings, dep_edges, package_edges, package_in_degrees, package_importers, import_counts, coupled_modules, cycle_members, reachability, causal_chains, risk_scores, risk_tiers, verdict,
         finding_ids, cwe_primary, cwe_counts, surface_split, dedup_first_wins, merge_findings, fix_diff, top_issues, sarif_results, sarif_rules, weakness_candidates, band_match_candidates, precision_recall,
-        harmonic_f1, leaderboard, run_variance,
+        harmonic_f1, leaderboard, run_variance, taint_flows, config_resources, rule_hits, rule_conditions, fix_proposals, fingerprints, relative_uris,
     ]
     return {f.__name__: f for f in plain} | {
         "p4_targets": _child_table("receipts", "/*"),
