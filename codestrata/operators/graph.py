@@ -55,8 +55,9 @@ def package_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
     known = files.select("repo", package(F.col("rel_path")).alias("dst")).distinct()
     want = resolved(F.col("rel_path"), F.col("source"))
     wanted = imports.where("is_relative").select("repo", package(F.col("rel_path")).alias("src"), F.regexp_replace(want, "/index$", "").alias("want"))
-    options = wanted.select("repo", "src", F.explode(F.array("want", package(F.col("want")))).alias("dst")).distinct()
-    return options.join(known, ["repo", "dst"]).where("src <> dst").select("repo", "src", "dst").distinct()
+    options = wanted.distinct().select("repo", "src", "want", F.posexplode(F.array("want", package(F.col("want")))).alias("k", "dst"))
+    first = options.join(known, ["repo", "dst"]).groupBy("repo", "src", "want").agg(F.min_by("dst", "k").alias("dst"))
+    return first.where("src <> dst").select("repo", "src", "dst").distinct()
 
 
 def reverse(edges: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def verdicts(risk: DataFrame, functions: DataFrame, findings: DataFrame, cycles:
         j = j.join(count(df, name), "repo", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     j = j.select(
-        "repo", "n_files", "n_high", "n_medium", zero("n_findings").alias("n_findings"),
+        "repo", "n_files", "n_high", "n_medium", zero("n_findings").alias("n_findings"), zero("n_cyclic").alias("n_cyclic"), zero("n_coupled").alias("n_coupled"), zero("n_god").alias("n_god"),
         F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), (F.coalesce("avg_c", F.lit(1.0)) - 1) / 30)).alias("complexity_score"),
         F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), 0.15 * zero("n_cyclic")) - F.least(F.lit(0.3), 0.05 * zero("n_coupled")) - F.least(F.lit(0.2), 0.05 * zero("n_god"))).alias("dependency_score"),
         (1 - F.col("mean_risk")).alias("risk_score"),

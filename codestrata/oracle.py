@@ -37,8 +37,10 @@ IMPORTS = f""", i as (select file_id, repo, rel_path, line_no, {_first_group(cor
 PACKAGES = """, w as (select repo, regexp_replace(regexp_replace(rel_path, '[^/]*$', ''), '/$', '') as src,
   regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(rel_path, '[^/]*$', '') || source, '[^/]+/[.][.]/', '', 'g'), './', ''), '[.](ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|kt|rb|swift|c|h|php)$', ''), '/index$', ''), '^/', '') as want
   from i where starts_with(source, '.')),
-o as (select distinct repo, src, unnest([want, regexp_replace(regexp_replace(want, '[^/]*$', ''), '/$', '')]) as dst from w),
-e as (select distinct o.repo, src, dst from o where src <> dst and exists (select 1 from s where s.repo = o.repo and regexp_replace(regexp_replace(s.rel_path, '[^/]*$', ''), '/$', '') = dst))
+k as (select distinct repo, regexp_replace(regexp_replace(rel_path, '[^/]*$', ''), '/$', '') as folder from s),
+o as (select distinct w.repo, src, case when exists (select 1 from k where k.repo = w.repo and folder = want) then want
+  when exists (select 1 from k where k.repo = w.repo and folder = regexp_replace(regexp_replace(want, '[^/]*$', ''), '/$', '')) then regexp_replace(regexp_replace(want, '[^/]*$', ''), '/$', '') end as dst from w),
+e as (select distinct repo, src, dst from o where src <> dst)
 """
 
 
