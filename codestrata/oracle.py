@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.operators import corpus, findings, patterns
+from codestrata.operators import corpus, findings, graph, patterns, risk
 
 
 def _q(text: str) -> str:
@@ -48,14 +48,69 @@ def _function_sql() -> str:
     heads = " or ".join(f"(lang = '{k}' and regexp_matches(line, '{_q(p)}'))" for k, p in corpus.FUNCTION.items())
     name = "case lang " + " ".join(f"when '{k}' then regexp_extract(line, '{_q(p)}', 1)" for k, p in corpus.FUNCTION.items()) + " end"
     return f""", h as (select *, {name} as name from x where {heads}),
-    e as (select h.*, coalesce(lead(h.line_no) over (partition by h.file_id order by h.line_no) - 1, greatest(h.line_no, l.n_lines)) as end_line, l.lines from h join l using (file_id)),
-    b as (select *, array_to_string(list_slice(lines, line_no, end_line), chr(10)) as body, regexp_extract(line, '\\(([^()]*)\\)[^(]*$', 1) as params from e)
-    select file_id, rel_path, lang, name, line_no as start_line, end_line::integer as end_line, (end_line - line_no + 1)::integer as n_lines,
+    fe as (select h.*, coalesce(lead(h.line_no) over (partition by h.file_id order by h.line_no) - 1, greatest(h.line_no, l.n_lines)) as end_line, l.lines from h join l using (file_id)),
+    b as (select *, array_to_string(list_slice(lines, line_no, end_line), chr(10)) as body, regexp_extract(line, '\\(([^()]*)\\)[^(]*$', 1) as params from fe),
+    fn as (select file_id, rel_path, lang, name, line_no as start_line, end_line::integer as end_line, (end_line - line_no + 1)::integer as n_lines,
       (1 + len(regexp_extract_all(body, '{_q(corpus.BRANCH)}')))::integer as complexity,
       regexp_matches(line, '(^|[^A-Za-z0-9_])async($|[^A-Za-z0-9_])') as is_async,
       regexp_matches(body, 'try|catch|except|rescue|Result<|if err') as has_error_handling,
       (case when trim(params) = '' then 0 else len(string_split(params, ',')) end)::integer as n_params
-    from b"""
+    from b)
+    """
+
+
+def _steps(value: str, table: tuple) -> str:
+    return "case " + " ".join(f"when {value} <= {b} then {r}::double" for b, r in table[0]) + f" else {table[1]}::double end"
+
+
+def _risk() -> str:
+    """Scores of files: the same factors by correlated aggregates over the extracted tables."""
+    density = "case when d = 0 then 0.0::double " + " ".join(f"when d < {b} then {r}::double" for b, r in risk.DENSITY) + " else 0.8::double end"
+    total = " + ".join(f"{w}::double * {k}" for k, w in risk.WEIGHTS.items())
+    strip = _q(graph.STRIP)
+    return (
+        SCANNED
+        + IMPORTS
+        + _function_sql()
+        + f""", wm as (select distinct repo, regexp_replace(rel_path, '{strip}', '') as src, regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(rel_path, '[^/]*$', '') || source, '[^/]+/[.][.]/', '', 'g'), './', ''), '{strip}', ''), '^/', '') as want
+      from i where starts_with(source, '.')),
+    me as (select distinct repo, src, dst from (select repo, src, unnest([want, want || '/index']) as dst from wm) q where src <> dst and exists (select 1 from s where s.repo = q.repo and regexp_replace(s.rel_path, '{strip}', '') = dst)),
+    md as (select repo, dst as module, count(*) as n from me group by all),
+    fa as (select file_id, avg(complexity) as avg_c, max(n_lines) as max_l from fn group by 1),
+    ta as (select file_id, count(*) as n_todo from x where regexp_matches(line, '{_TODO}') group by 1),
+    st as (select distinct repo, regexp_extract(rel_path, '^(.*/)?([^/]+?)[._](test|spec)[.][a-z]+$', 2) as stem from l where regexp_matches(rel_path, '^(.*/)?([^/]+?)[._](test|spec)[.][a-z]+$')),
+    rb as (select l.*, regexp_replace(regexp_extract(rel_path, '([^/]+)$', 1), '[.][a-z]+$', '') as stem, regexp_replace(rel_path, '{strip}', '') as module from l where lang is not null and lang <> 'markdown'),
+    rf as (select rb.file_id, rb.repo, rb.rel_path, coalesce(avg_c, 1.0) as c, coalesce(n, 0) as k, (st.stem is not null) as has_test, coalesce(n_todo, 0)::double / greatest(n_lines, 1) as d, coalesce(max_l, 0) as m
+      from rb left join fa using (file_id) left join ta using (file_id) left join md on md.repo = rb.repo and md.module = rb.module left join st on st.repo = rb.repo and st.stem = rb.stem),
+    rs as (select file_id, repo, rel_path, {_steps('c', risk.COMPLEXITY)} as complexity, {_steps('k', risk.COUPLING)} as coupling, case when has_test then 0.0::double else 0.5::double end as untested, {density} as density, {_steps('m', risk.SIZE)} as size from rf),
+    rk as (select *, round(least(1.0::double, {total}), 9) as score from rs),
+    rt as (select *, case when score >= {risk.HIGH} then 'high' when score >= {risk.MEDIUM} then 'medium' else 'low' end as tier from rk)
+    """
+    )
+
+
+def _verdict() -> str:
+    weight = "case severity " + " ".join(f"when '{s}' then case tier when 'high' then {h}::double when 'medium' then {m}::double else {o}::double end" for s, (h, m, o) in risk.PENALTY.items()) + " else 0.0::double end"
+    qual = ", ".join(f"'{r.name}'" for r in patterns.RULES if r.tier == "qual")
+    return (
+        _risk().replace("with s as", "with recursive s as", 1)
+        + PACKAGES
+        + _pattern_rows()
+        + f""", kept as (select p.file_id, severity, tier, p.repo from p join rt using (file_id) where not regexp_matches(p.rel_path, '{patterns.TEST_FILE}') and (rule not in ({qual}) or tier <> 'low')),
+    re as (select repo, src, dst from e union select re.repo, re.src, e.dst from re join e on e.repo = re.repo and e.src = re.dst),
+    cy as (select distinct repo, src as module from re where src = dst),
+    bt as (select repo, module from cy union select a.repo, a.dst from re a join cy on cy.repo = a.repo and cy.module = a.src join re b on b.repo = a.repo and b.src = a.dst join cy c2 on c2.repo = b.repo and c2.module = b.dst),
+    ge as (select repo, file_id from l where n_lines > {graph.GOD_LINES} and len(regexp_extract_all(array_to_string(lines, chr(10)), '(?:^|[^A-Za-z0-9_])export(?:[^A-Za-z0-9_]|$)')) > {graph.GOD_EXPORTS}),
+    rr as (select repo, count(*) as n_files, avg(score) as mean_risk, count(*) filter (where tier = 'high') as n_high, count(*) filter (where tier = 'medium') as n_medium from rt group by 1),
+    v as (select rr.repo, n_files, n_high, n_medium,
+      (select count(*) from kept where kept.repo = rr.repo) as n_findings, (select count(*) from bt where bt.repo = rr.repo) as n_cyclic,
+      (select count(*) from (select repo, dst from e group by all having count(*) > {graph.COUPLED}) q where q.repo = rr.repo) as n_coupled, (select count(*) from ge where ge.repo = rr.repo) as n_god,
+      coalesce((select avg(fn.complexity) from fn join rt using (file_id) where rt.repo = rr.repo), 1.0) as avg_c, coalesce((select sum({weight}) from kept where kept.repo = rr.repo), 0.0) as penalty, mean_risk from rr),
+    z as (select *, greatest(0.0, 1 - least(1.0, (avg_c - 1) / 30)) as a, greatest(0.0, 1 - least(1.0, 0.15 * n_cyclic) - least(0.3, 0.05 * n_coupled) - least(0.2, 0.05 * n_god))::double as b, 1 - mean_risk as c, 1 - least(1.0, penalty) as d from v)
+    select repo, n_files, n_high, n_medium, n_findings, n_cyclic, n_coupled, n_god, round(a, 6) as complexity_score, round(b, 6) as dependency_score, round(c, 6) as risk_score, round(d, 6) as adversarial_score,
+      round(least(0.99, 1.5 * mean_risk), 6) as bug_probability, round(0.25 * a + 0.30 * b + 0.25 * c + 0.20 * d, 6) as score,
+      case when round(0.25 * a + 0.30 * b + 0.25 * c + 0.20 * d, 6) >= {risk.THRESHOLD} then 'APPROVED' else 'REJECTED' end as verdict from z"""
+    )
 
 
 def _pattern_rows() -> str:
@@ -131,13 +186,16 @@ def oracle_sql() -> dict[str, str]:
         "extract_imports": SCANNED + IMPORTS + "select file_id, rel_path, line_no, source, starts_with(source, '.') as is_relative from i where source is not null",
         "extract_classes": SCANNED + f"select file_id, rel_path, line_no, regexp_extract(line, '{corpus.CLASS}', 1) as kind, regexp_extract(line, '{corpus.CLASS}', 2) as name from x where regexp_matches(line, '{corpus.CLASS}')",
         "extract_todos": SCANNED + f"select file_id, rel_path, line_no, upper(regexp_extract(line, '{_TODO}', 1)) as kind from x where regexp_matches(line, '{_TODO}')",
-        "extract_functions": SCANNED + _function_sql(),
+        "extract_functions": SCANNED + _function_sql() + "select * from fn",
         "export_counts": SCANNED + "select file_id, rel_path, n_lines, len(regexp_extract_all(array_to_string(lines, chr(10)), '(?:^|[^A-Za-z0-9_])export(?:[^A-Za-z0-9_]|$)'))::integer as n_exports from l",
         "pattern_findings": SCANNED + _pattern_rows() + "select file_id, rule, type, severity, line_no from p",
         "findings_by_type": SCANNED + _pattern_rows() + f"select type, severity, count(*) as n, count(distinct file_id) as n_files from p where not regexp_matches(rel_path, '{patterns.TEST_FILE}') group by type, severity",
         "dedup_near_findings": SCANNED
         + _pattern_rows()
         + "select file_id, type, line_no, rule, severity from (select *, row_number() over (partition by file_id, type, line_no // 3 order by detector, line_no) as rn from p) where rn = 1",
+        "risk_scores": _risk() + "select file_id, complexity, coupling, untested, density, size, score, tier from rt",
+        "risk_tiers": _risk() + "select tier, count(*) as n, round(avg(score), 6) as mean_score from rt group by tier",
+        "verdict": _verdict(),
         "finding_ids": c + _IDS + "select ord, finding_id from k",
         "cwe_primary": c + "select ord, cwe, surface, level from c",
         "cwe_counts": c
