@@ -139,9 +139,6 @@ def oracle_sql() -> dict[str, str]:
       where engine_ms.nova > 0 and not isnan(engine_ms.nova) and not isinf(engine_ms.nova))"""
     scores = "with m as (select tool, 'duration_ms' as metric, duration_ms::double as v from scores where duration_ms >= 0)"
     return {
-        "p1_found": p1_found,
-        "p1_problems": p1_problems,
-        "p1_rates": p1_rates,
         "p6_found": _FINDINGS
         + """, g as (select *, min(ord) over (partition by scan_id, source, file, line, type, description) as a from f)
         select a as ord_a, ord as ord_b from g where a <> ord""",
