@@ -6,6 +6,7 @@ near an item's passage in that space are candidates, and each candidate is settl
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -32,36 +33,35 @@ PARAPHRASE, ANSWERS = 0.7, 0.5
 ITEM_WORDS = 2_000_000
 SEED = 20231
 
-# Each character of these scripts is a word of its own.
-_SINGLE = r"[\p{Han}\p{Hiragana}\p{Katakana}ー]"
-_WORDS = rf"{_SINGLE}|(?:(?!{_SINGLE})[\p{{L}}\p{{N}}])+"
+# Each character of these scripts (Han, Hiragana, Katakana) is a word of its own.
+_SINGLE = "\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3038-\u303b\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"[{_SINGLE}](?<=\w)|[^\W_{_SINGLE}]+")
 
 
 def words(text: str | None) -> list[str]:
     """Lower-cased longest runs of letters or digits; Chinese and Japanese characters stand alone."""
-    import regex
+    return _WORDS.findall(text.lower()) if text else []
 
-    return regex.findall(_WORDS, text.lower()) if text else []
+
+class _Buckets(dict):
+    """Word to hashed number, the same on every machine; computed once while it is kept."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        b = self[word] = xxhash.xxh32_intdigest(word, SEED) % BUCKETS
+        return b
+
+
+_BUCKET_OF = _Buckets()
 
 
 def buckets(ws: list[str]):
-    """Hashed word numbers; the same on every machine."""
     import numpy as np
-    import xxhash
-
-    cache = _BUCKET_OF
-    if len(cache) > 500_000:
-        cache.clear()
-    out = np.empty(len(ws), dtype=np.int32)
-    for i, w in enumerate(ws):
-        b = cache.get(w)
-        if b is None:
-            b = cache[w] = xxhash.xxh32_intdigest(w, SEED) % BUCKETS
-        out[i] = b
-    return out
-
 
-_BUCKET_OF: dict[str, int] = {}
+    return np.fromiter(map(_BUCKET_OF.__getitem__, ws), dtype=np.int32, count=len(ws))
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
@@ -310,21 +310,22 @@ def settle(docs: list[list[str]], ix: ItemIndex, rows, doc, pos, a, b) -> list[t
             found[key] = max(found.get(key, 0), run)
     out = [(*k, "verbatim", run, run / len(ix.texts[k[1]])) for k, run in found.items() if run >= RUN]
     # a diagonal is text and item, and where the item would begin in the text, give or take a few words
-    begin = pos[a] - ix.at[b] + 1024
-    keys = np.stack([doc[a], ix.owner[b], begin // 16], axis=1).astype(np.int64)
-    if not len(keys):
+    if not len(a):
         return out
-    both = np.concatenate([keys, keys - np.array([0, 0, 1])])  # a diagonal near a border counts on both sides
-    lines, where, hits = np.unique(np.concatenate([both, np.concatenate([a, a])[:, None]], axis=1)[:, :3], axis=0, return_inverse=True, return_counts=True)
-    passages_of = np.unique(np.stack([where, np.concatenate([a, a])], axis=1), axis=0)
-    distinct = np.bincount(passages_of[:, 0], minlength=len(lines))
+    begin = (pos[a] - ix.at[b] + 1024) // 16
+    span = int(begin.max()) + 2
+    line = (doc[a].astype(np.int64) * len(ix.texts) + ix.owner[b]) * span + begin
+    both = np.concatenate([line, line - 1])  # a diagonal near a border counts on both sides
+    once = np.unique(both * (len(rows) + 1) + np.concatenate([a, a]))  # each passage once on each diagonal
+    keys, distinct = np.unique(once // (len(rows) + 1), return_counts=True)
+    lines = np.stack([keys // span // len(ix.texts), keys // span % len(ix.texts), keys % span], axis=1)
     need = np.maximum(2, np.ceil(0.3 * ix.lengths[lines[:, 1]] / STEP))
     done: set[tuple[int, int]] = {(d, n) for d, n, *_ in out}
-    for d, n, line in lines[distinct >= need].tolist():
+    for d, n, at in lines[distinct >= need].tolist():
         if (d, n) in done:
             continue
         item = ix.texts[n]
-        start = line * 16 - 1024
+        start = at * 16 - 1024
         part = docs[d][max(0, start - 16) : max(0, start) + len(item) + 48]
         share = common_words(part, item) / len(item)
         kept = len(ix.answers[n] & set(part)) / len(ix.answers[n]) if ix.answers[n] else 1.0
