@@ -196,6 +196,11 @@ def oracle_sql() -> dict[str, str]:
         "risk_scores": _risk() + "select file_id, complexity, coupling, untested, density, size, score, tier from rt",
         "risk_tiers": _risk() + "select tier, count(*) as n, round(avg(score), 6) as mean_score from rt group by tier",
         "verdict": _verdict(),
+        "god_modules": SCANNED
+        + f"select * from (select file_id, rel_path, n_lines, len(regexp_extract_all(array_to_string(lines, chr(10)), '(?:^|[^A-Za-z0-9_])export(?:[^A-Za-z0-9_]|$)'))::integer as n_exports from l) where n_lines > {graph.GOD_LINES} and n_exports > {graph.GOD_EXPORTS}",
+        "dep_edges": _risk() + "select repo, src, dst from me",
+        "import_counts": _risk() + "select repo, module, n from md",
+        "coupled_modules": _risk() + f"select repo, module, n from md where n > {graph.COUPLED}",
         "finding_ids": c + _IDS + "select ord, finding_id from k",
         "cwe_primary": c + "select ord, cwe, surface, level from c",
         "cwe_counts": c
