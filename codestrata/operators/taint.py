@@ -1,7 +1,7 @@
 """Source-to-sink flows: an abstract interpreter over a small intermediate form, one module a task row.
 
-Two frontends lower to it: Python by its own grammar, JavaScript and TypeScript by tokens (statements in order,
-branches and loops joined, no types). Labels are joined where paths meet; loops run to a fixed point; calls of the
+Frontends lower to it: Python by its own grammar; JavaScript, TypeScript, PHP, Java, Go, C and Rust by tokens
+(statements in order, branches and loops joined, no types); Ruby and shell line by line. Labels are joined where paths meet; loops run to a fixed point; calls of the
 module's own functions go through summaries.
 """
 
@@ -20,19 +20,31 @@ from codestrata.session import spread
 # Where input comes from, where it does harm (call, dangerous argument or None for any, danger), what makes it safe.
 SOURCES = (
     "request.args", "request.form", "request.json", "request.values", "request.cookies", "request.headers", "request.data", "request.GET", "request.POST", "request.get_json", "input", "sys.argv",
-    "req.query", "req.body", "req.params", "req.headers", "req.cookies", "ctx.query", "ctx.request.body", "process.argv", "location.search", "location.hash",
+    "request.getParameter", "request.getHeader", "request.getQueryString", "$_GET", "$_POST", "$_REQUEST", "$_COOKIE", "$_SERVER", "r.URL.Query", "r.FormValue", "r.PostFormValue", "c.Query", "c.Param", "getenv", "argv",
+    "env.args", "std.env.args", "params", "ARGV", "cookies", "$1", "$2", "$3", "$@", "$*", "$QUERY_STRING", "req.query", "req.body", "req.params", "req.headers", "req.cookies", "ctx.query", "ctx.request.body", "process.argv", "location.search", "location.hash",
 )
 SINKS = {
     "eval": "code", "exec": "code", "compile": "code", "Function": "code", "os.system": "command", "os.popen": "command", "subprocess.run": "command", "subprocess.call": "command", "subprocess.Popen": "command",
     "subprocess.check_output": "command", "child_process.exec": "command", "exec_sync": "command", "execSync": "command", "*.execute": "sql", "*.executemany": "sql", "*.raw": "sql", "db.all": "sql", "db.query": "sql", "db.get": "sql",
     "db.run": "sql", "pool.query": "sql", "connection.query": "sql", "open": "path", "send_file": "path", "fs.readFile": "path", "fs.readFileSync": "path", "fs.writeFile": "path", "res.sendFile": "path", "redirect": "redirect",
     "res.redirect": "redirect", "requests.get": "ssrf", "requests.post": "ssrf", "urllib.request.urlopen": "ssrf", "fetch": "ssrf", "axios.get": "ssrf", "render_template_string": "template", "res.send": "html", "pickle.loads": "code", "yaml.load": "code",
-}
+    "*.executeQuery": "sql", "*.executeUpdate": "sql", "*.createQuery": "sql", "response.sendRedirect": "redirect", "URL": "ssrf", "File": "path", "FileInputStream": "path", "Runtime.exec": "command", "ProcessBuilder": "command",
+    "mysqli_query": "sql", "pg_query": "sql", "*.query": "sql", "shell_exec": "command", "system": "command", "passthru": "command", "popen": "command", "file_get_contents": "path", "include": "path", "require": "path", "header": "redirect",
+    "unserialize": "code", "echo": "html", "print": "html", "*.Query": "sql", "*.Exec": "sql", "*.QueryRow": "sql", "exec.Command": "command", "os.Open": "path", "os.ReadFile": "path", "http.Get": "ssrf", "http.Redirect": "redirect",
+    "strcpy": "memory", "strcat": "memory", "gets": "memory", "execl": "command", "fopen": "path", "Command.new": "command", "sqlx.query": "sql", "fs.read_to_string": "path", "File.open": "path", "File.read": "path",
+    "*.find_by_sql": "sql", "*.where": "sql", "redirect_to": "redirect", "Net.HTTP.get": "ssrf", "Marshal.load": "code", "sh": "command", "bash": "command", "curl": "ssrf", "mysql": "sql",
+}
+#: Argument that does harm, of sinks where it isn't the first.
+SINK_ARG = {"mysqli_query": 1, "pg_query": 1, "http.Redirect": 2, "strcpy": 1, "strcat": 1}
 SANITIZERS = frozenset(
     """int float bool len Number parseInt parseFloat Boolean escape html.escape markupsafe.escape shlex.quote quote urllib.parse.quote encodeURIComponent os.path.basename path.basename
-    secure_filename uuid.UUID hash hashlib.sha256 sanitize validator.escape Math.floor re.escape""".split()
+    secure_filename uuid.UUID hash hashlib.sha256 sanitize validator.escape Math.floor re.escape
+    Integer.parseInt Long.parseLong Encode.forHtml ESAPI.encoder intval htmlspecialchars htmlentities escapeshellarg mysqli_real_escape_string filter_var strconv.Atoi strconv.ParseInt filepath.Base html.EscapeString
+    url.QueryEscape atoi strtol strlen sizeof Integer Shellwords.escape CGI.escapeHTML ERB.Util.html_escape File.basename""".split()
 )
-DANGER_TYPE = {"code": "injection", "command": "injection", "sql": "injection", "template": "injection", "html": "injection", "path": "path-traversal", "redirect": "open-redirect", "ssrf": "ssrf"}
+DANGER_TYPE = {"code": "injection", "command": "injection", "sql": "injection", "template": "injection", "html": "injection", "path": "path-traversal", "redirect": "open-redirect", "ssrf": "ssrf", "memory": "memory-safety"}
+# Last parts of a path after which a value is harmless.
+HARMLESS = frozenset("to_i to_f length size isdigit parse is_empty hashCode".split())
 MOST_ROUNDS = 8
 FOUND = "file_id long, repo string, rel_path string, line int, type string, danger string, source string, sink string, flow array<struct<line:int,name:string>>"
 
@@ -152,6 +164,8 @@ class Interpreter:
         if isinstance(v, Call):
             return self.call(v, env)
         path, line = v
+        if path.rpartition(".")[2] in HARMLESS:
+            return set()
         for s in SOURCES:
             if (path == s and s not in ("input",)) or path.startswith(s + "."):
                 return {(s, line, ())}
@@ -164,13 +178,14 @@ class Interpreter:
     def call(self, c: Call, env: dict) -> set:
         args = [self.value(a, env) for a in c.args]
         every = set().union(*args) if args else set()
-        if c.path in SANITIZERS or c.path.rpartition(".")[2] in ("isdigit", "isalnum", "test"):
+        if c.path in SANITIZERS or c.path.rpartition(".")[2] in HARMLESS | {"isalnum", "test"}:
             return set()
         if c.path in SOURCES or any(c.path.startswith(s + ".") for s in SOURCES):
             return {(next(s for s in SOURCES if c.path == s or c.path.startswith(s + ".")), c.line, ())}
         danger = SINKS.get(c.path) or SINKS.get("*." + c.path.rpartition(".")[2] if "." in c.path else "")
         if danger:
-            risky = (args[0] if args else set()) if danger in ("sql", "path", "redirect", "ssrf") else every
+            k = SINK_ARG.get(c.path, 0)
+            risky = (args[k] if len(args) > k else set()) if danger in ("sql", "path", "redirect", "ssrf", "memory") else every
             for label in risky:
                 self.report(c.line, danger, c.path, label)
         local = self.functions.get(c.path)
@@ -450,7 +465,110 @@ def lower_javascript(text: str) -> list[Function]:
     return [Function("<top>", [], _js_block(top)), *out]
 
 
-LOWER = {"py": lower_python, "js": lower_javascript, "mjs": lower_javascript, "ts": lower_javascript, "tsx": lower_javascript, "jsx": lower_javascript}
+# ---------------------------------------------------------------- other languages with braces
+
+#: What is rewritten before the tokens are read, so that one lowering serves all: access, declaration and assignment.
+_REWRITE = {
+    "php": ((r"<\?(?:php|=)?|\?>", ""), (r"->|::", "."), (r"(?m)#[^\n]*$", ""), (r"\b(echo|print|include|require)\s+([^;(][^;]*);", r"\1(\2);"), (r"\[['\"]?\w+['\"]?\]", "")),
+    "java": ((r"\)\s*throws[^{;]*\{", ") {"), (r"\bfinal\s+|\bnew\s+", ""), (r"\(\)\s*\.\s*(?=exec\b)", "."), (r"Runtime\.getRuntime\.exec", "Runtime.exec"), (r"<[\w<>?, ]*>", "")),
+    "go": ((r":=", "="), (r"\bvar\s+(\w+)\s+[\w.*\[\]]+\s*=", r"\1 ="), (r"\b(\w++)\s*,\s*(?:_|err|ok)\s*=", r"\1 ="), (r"\bif\s+([^({\n][^{\n]*)\{", r"if (\1) {"), (r"\bfor\s+([^({\n][^{\n]*)\{", r"for (\1) {"), (r"\)\s*(?:\([^()]*\)|[\w.*\[\]]+)\s*\{", ") {"), (r"\bfunc\s*\([^)]*\)\s*", "func ")),
+    "c": ((r"(?m)^[ \t]*#[^\n]*", ""), (r"->", "."), (r"\[[^\]]*\]", ""), (r"\b(?:sprintf|snprintf|strcpy|strcat|strncpy)\s*\(\s*(\w+)\s*,([^;]*)\);", lambda m: m.group().rstrip(";") + f"; {m.group(1)} = copy({m.group(2)});"), (r"\bfgets\s*\(\s*(\w+)\s*,[^;]*;", r"\1 = getenv(0);")),
+    "rs": ((r"::", "."), (r"\blet\s+mut\s+", "let "), (r"&(?:mut\s+)?", ""), (r"!\(", "("), (r"\bif\s+([^({\n][^{\n]*)\{", r"if (\1) {"), (r"\)\s*->\s*[^{;]+\{", ") {"), (r"\?;", ";")),
+}
+
+
+def lower_braces(text: str, lang: str) -> list[Function]:
+    """Functions of PHP, Java, Go, C and Rust by the token lowering; parameters by their last (Java, C) or first word."""
+    for pattern, by in _REWRITE[lang]:
+        text = re.sub(pattern, by, text)
+    out = lower_javascript(text)
+    if lang in ("java", "c"):
+        for f in out:
+            m = re.search(rf"\b{re.escape(f.name)}\s*\(([^()]*)\)", text)
+            if m and f.params:
+                f.params = [x.split()[-1].lstrip("*&") for x in m.group(1).split(",") if x.split()]
+    return out
+
+
+# ---------------------------------------------------------------- Ruby and shell, line by line
+
+_RB_TEXT = re.compile(r"\"(?:[^\"\\]|\\.)*\"|`[^`]*`")
+
+
+def _rb_value(text: str, line: int) -> Join:
+    inserts = [x for q in _RB_TEXT.findall(text) for x in re.findall(r"#\{([^{}]*)\}", q)]
+    plain = _RB_TEXT.sub('""', text)
+    plain = re.sub(r"^([A-Za-z_][\w.:]*[?!]?)\s+(?=[\"':A-Za-z_@\[])(?!(?:if|unless|and|or|do|then)\b)([^=].*)$", r"\1(\2)", plain)
+    plain = re.sub(r"\[[:'\"\w]+\]", "", plain).replace("::", ".")
+    toks = [(k, w, line) for k, w, _ in _js_tokens(plain)]
+    v = _js_value(toks)
+    if inserts:
+        inner = Join([_rb_value(x, line) for x in inserts])
+        calls = [p for p in v.parts if isinstance(p, Call)]
+        if calls:
+            calls[0].args = [Join([*calls[0].args, inner])]
+        else:
+            v.parts.append(Call("system", [inner], line) if "`" in text else inner)
+    return v
+
+
+def lower_ruby(text: str) -> list[Function]:
+    """Methods and the top level as straight lines: branches are joined by keeping what either could have left."""
+    out, current, depth = [Function("<top>", [], [])], None, 0
+    for no, raw in enumerate(text.replace("\r", "").split("\n"), 1):
+        s = re.sub(r"(?<![\"'\w])#(?!\{).*$", "", raw).strip()
+        m = re.match(r"def\s+(?:self\.)?(\w+[?!]?)\s*\(?([^)]*)\)?", s)
+        if m:
+            current = Function(m.group(1), [p.split("=")[0].strip().lstrip("*&") for p in m.group(2).split(",") if p.strip()], [])
+            out.append(current)
+            depth = 1
+            continue
+        if current is not None:
+            depth += bool(re.match(r"(?:if|unless|while|until|case|begin|for|class|module)\b", s)) + bool(re.search(r"\bdo\b(?:\s*\|[^|]*\|)?$", s)) - (s == "end" or s.startswith("end."))
+            if depth <= 0:
+                current = None
+                continue
+        body = (current or out[0]).body
+        a = re.match(r"([a-z_@]\w*)\s*(\|\||\+)?=(?![=~>])\s*(.*)$", s)
+        if a:
+            v = _rb_value(a.group(3), no)
+            body.append(Node("assign", no, a.group(1), Join([v, (a.group(1), no)]) if a.group(2) else v))
+        elif s.startswith("return "):
+            body.append(Node("return", no, value=_rb_value(s[7:], no)))
+        elif s and s not in ("end", "else", "begin"):
+            body.append(Node("expr", no, value=_rb_value(re.sub(r"^(?:if|unless|elsif|while|raise)\s+", "", s), no)))
+    return out
+
+
+def lower_shell(text: str) -> list[Function]:
+    """A script's lines in order: assignments, reads and commands with their expansions."""
+    body: list[Node] = []
+    for no, raw in enumerate(text.replace("\r", "").split("\n"), 1):
+        s = re.sub(r"(?:^|\s)#.*$", "", raw).strip()
+        s = re.sub(r"^(?:if|while|then|do|else|elif)\s+", "", s)
+        names = [("$" + (x or y), no) for x, y in re.findall(r"\$(?:\{(\w+|[@*])[^}]*\}|(\w+|[@*]))", re.sub(r"'[^']*'", "", s))]
+        names = [] if "printf %q" in s or "printf '%q'" in s else names
+        a = re.match(r"(?:export\s+|local\s+|readonly\s+)?([A-Za-z_]\w*)=(.*)$", s)
+        r = re.match(r"read\s+(?:-\w+\s+)*([A-Za-z_]\w*)", s)
+        if a:
+            body.append(Node("assign", no, "$" + a.group(1), Join(names)))
+        elif r:
+            body.append(Node("assign", no, "$" + r.group(1), ("$1", no)))
+        elif s:
+            for part in re.split(r"\||&&|;", s):
+                words = part.split()
+                mine = [n for n in names if n[0][1:] in part]
+                runs = words and (words[0] in ("eval", "curl") or (words[0] in ("sh", "bash") and "-c" in words) or (words[0] == "mysql" and "-e" in words))
+                if runs and mine:
+                    body.append(Node("expr", no, value=Call(words[0], [Join(mine)], no)))
+    return [Function("<top>", [], body)]
+
+
+def _braces(lang: str):
+    return lambda text: lower_braces(text, lang)
+
+
+LOWER = {"php": _braces("php"), "java": _braces("java"), "go": _braces("go"), "c": _braces("c"), "h": _braces("c"), "rs": _braces("rs"), "rb": lower_ruby, "sh": lower_shell, "bash": lower_shell, "py": lower_python, "js": lower_javascript, "mjs": lower_javascript, "ts": lower_javascript, "tsx": lower_javascript, "jsx": lower_javascript}
 
 
 def analyse(text: str | None, rel_path: str) -> list[tuple]:
@@ -465,7 +583,7 @@ def analyse(text: str | None, rel_path: str) -> list[tuple]:
 
 
 def flows(files: DataFrame) -> DataFrame:
-    """Every source-to-sink flow of Python, JavaScript and TypeScript files; declaration files and minified scripts are left out."""
+    """Every source-to-sink flow of files in the languages of ``LOWER``; declaration files and minified scripts are left out."""
 
     def look(batches):
         import pandas as pd
@@ -478,5 +596,5 @@ def flows(files: DataFrame) -> DataFrame:
                     out.append((fid, repo, rel, line, DANGER_TYPE[danger], danger, source, sink, flow))
             yield pd.DataFrame(out, columns=["file_id", "repo", "rel_path", "line", "type", "danger", "source", "sink", "flow"])
 
-    wanted = F.col("rel_path").rlike(r"\.(py|js|mjs|jsx|ts|tsx)$") & ~F.col("rel_path").rlike(r"\.d\.ts$|[.-]min\.js$|\.bundle\.js$") & F.col("content").isNotNull()
+    wanted = F.col("rel_path").rlike(r"\.(" + "|".join(LOWER) + ")$") & ~F.col("rel_path").rlike(r"\.d\.ts$|[.-]min\.js$|\.bundle\.js$") & F.col("content").isNotNull()
     return spread(files.where(wanted).select("file_id", "repo", "rel_path", "content")).mapInPandas(look, FOUND)

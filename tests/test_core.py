@@ -199,11 +199,15 @@ def test_manifests(spark):
 TAINTED = {
     "a.py": "def f():\n    x = request.args['q']\n    y = 'a' + x\n    eval(y)\n", "b.py": "def g(v):\n    os.system('ls ' + v)\ndef f():\n    g(input())\n", "c.py": "def f():\n    q = ''\n    for p in request.form:\n        q = q + p\n    db.execute(q)\n",
     "d.py": "@app.route('/')\ndef f(name):\n    return redirect(name)\n", "e.py": "def h(a):\n    return a.strip()\ndef f():\n    open(h(request.args.get('p')))\n",
+    "a.php": "<?php\nfunction f($db) {\n  $id = $_GET['id'];\n  $q = \"select $id\" . $id;\n  return $db->query($q);\n}\n", "A.java": "class A {\n  void f(HttpServletRequest request) throws E {\n    String q = request.getParameter(\"q\");\n    stmt.executeQuery(\"select \" + q);\n  }\n}\n",
+    "a.go": "package a\n\nfunc f(w http.ResponseWriter, r *http.Request) {\n\tq := r.FormValue(\"q\")\n\trows, err := db.Query(\"select \" + q)\n}\n", "a.c": "int main(int argc, char **argv)\n{\n    char b[9];\n    sprintf(b, \"ls %s\", argv[1]);\n    system(b);\n}\n",
+    "a.rs": "fn f() {\n    let a = std::env::args();\n    Command::new(a);\n}\n", "a.rb": "def f\n  x = params[:q]\n  system \"ls #{x}\"\nend\n", "b.rb": "def f\n  User.where(\"a = #{params[:id]}\")\nend\n", "a.sh": "#!/bin/sh\nx=$1\neval \"$x\"\n",
     "a.js": "async function f(req, res) {\n  const id = req.query.id;\n  const rows = await db.all(`select * from t where id = ${id}`);\n}\n", "b.js": "const go = (req, res) => {\n  let u = 'x';\n  u += req.body.url;\n  res.redirect(u);\n};\n", "c.ts": "export function f(req) {\n  const c = req.body.c;\n  if (c) {\n    child_process.exec('ls ' + c);\n  }\n}\n",
 }
 CLEAN = {
     "a.py": "def f():\n    x = int(request.args['q'])\n    eval(str(x))\n", "b.py": "def f():\n    x = request.args['q']\n    if x not in ALLOWED:\n        return\n    os.system(x)\n", "c.py": "def f():\n    x = request.args['q']\n    x = 'safe'\n    eval(x)\n",
-    "d.py": "def f():\n    db.execute('select ?', request.args['q'])\n", "e.py": "x = (", "f.py": "def f(name):\n    return redirect(name)\n", "a.js": "function f(req) {\n  db.all(`select ${Number(req.query.id)}`);\n}\n", "b.js": "function f(req) {\n  const c = req.body.c;\n  if (!allowed.includes(c)) { return; }\n  child_process.exec(c);\n}\n",
+    "d.py": "def f():\n    db.execute('select ?', request.args['q'])\n", "e.py": "x = (", "a.php": "<?php\nfunction f($db) {\n  $id = intval($_GET['id']);\n  return $db->query('select ' . $id);\n}\n", "A.java": "class A {\n  void f(HttpServletRequest request) {\n    int q = Integer.parseInt(request.getParameter(\"q\"));\n    stmt.executeQuery(\"select \" + q);\n  }\n}\n",
+    "a.go": "package a\n\nfunc f(r *http.Request) {\n\tq, err := strconv.Atoi(r.FormValue(\"q\"))\n\tdb.Query(\"select ?\", q)\n}\n", "a.c": "int main(int argc, char **argv)\n{\n    int n = atoi(argv[1]);\n    system(\"ls\");\n    return n;\n}\n", "a.rb": "def f\n  x = params[:q].to_i\n  system \"ls #{x}\"\nend\n", "a.sh": "x=$1\ny='a $x'\neval 'ls'\necho \"$x\"\n", "f.py": "def f(name):\n    return redirect(name)\n", "a.js": "function f(req) {\n  db.all(`select ${Number(req.query.id)}`);\n}\n", "b.js": "function f(req) {\n  const c = req.body.c;\n  if (!allowed.includes(c)) { return; }\n  child_process.exec(c);\n}\n",
 }
 
 
