@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.session import checkpointed
+
 
 @dataclass(frozen=True)
 class Test:
@@ -87,8 +89,10 @@ def hits(resources: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(file_id, repo, rel_path, rule_id, severity, resource_type, name, start_line) of every rule that fires.
 
     Rules on attributes are one projection of booleans over the rows, so no rule costs a scan or a join; those on
-    types of a file are anti-joins on (file, type); repeats are windows within a file.
+    types of a file are anti-joins on (file, type); repeats are windows within a file. Rows are parsed once and kept
+    in the checkpoint folder, since several of these read them.
     """
+    resources = checkpointed(resources)
     keep = ["file_id", "repo", "rel_path", "resource_type", "name", "start_line"]
     flags = []
     for r in (r for r in rules if not r.absent and not r.repeat):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.operators import corpus, graph, patterns, risk, rules, taint
-from codestrata.session import ship
+from codestrata.session import checkpointed, ship
 from codestrata.sources import config, manifests
 
 
@@ -48,7 +48,7 @@ class Scan:
         return manifests.lock_wins(manifests.dependencies(self.all_files))
 
     def verdict(self) -> DataFrame:
-        scores = self.risk()
+        scores = checkpointed(self.risk())
         kept = patterns.gated(self.patterns(), scores.where("tier <> 'low'"))
         exports = corpus.export_counts(self.lined).join(self.lined.select("file_id", "repo"), "file_id")
         return risk.verdicts(scores, self.functions(), kept, graph.cycle_members(self.edges), graph.coupling(self.edges), graph.god_modules(exports), self.threshold)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.paths import corpus_fingerprint, relative_uri
 from codestrata.operators import corpus, drift, findings, fixes, graph, nested, patterns, risk, rules, scoring, taint
-from codestrata.session import read_table
+from codestrata.session import checkpointed, read_table
 from codestrata.sources import config
 
 
@@ -163,7 +163,8 @@ def risk_tiers(spark, sf):
 
 def verdict(spark, sf):
     scores, lined, fns = _risk(spark, sf)
-    e = _edges(spark, sf)
+    scores = checkpointed(scores)  # one narrow row a file, read four times
+    e = _packages(spark, sf)
     hits = patterns.line_findings(lined)
     kept = patterns.gated(hits, scores.where("tier <> 'low'"))
     exports = corpus.export_counts(lined).join(lined.select("file_id", "repo"), "file_id")
