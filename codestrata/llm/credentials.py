@@ -50,6 +50,17 @@ TOKENS = {k: re.compile(r"(?<![0-9A-Za-z_])" + v) for k, v in TOKENS.items()}
 PREFIXED = re.compile(r"(?<![0-9A-Za-z_./+-])[a-z]{2,5}(?:_[a-z]{2,5})?[._-][0-9A-Za-z]{18,}(?![0-9A-Za-z_/+=])")
 ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+#: What lies between two lines of armor: line ends, as they are or escaped, with a comment mark, or joined literals.
+_BETWEEN = r"""(?:\\+[nr]|[ \t]*\r?\n[ \t]*(?:[*\#>|]|//)?[ \t]*|["'`][ \t]*[+.,\\]?[ \t\r\n]*[+.]?[ \t]*[fbru]?["'`])"""
+#: What follows a BEGIN whose END is cut off: headers, lines of base64, and a shorter last line of it.
+ARMOR_BODY = re.compile(
+    rf"""(?:{_BETWEEN}++[A-Z][A-Za-z-]{{2,20}}:[ ](?:(?!\\+[nr])[^\n"'`])*+)*+
+    (?:(?:{_BETWEEN}|[ \t])*+(?=[a-z0-9+/]*[A-Z])(?=[A-Za-z]*[0-9+/])[A-Za-z0-9+/]{{16,}}+={{0,2}})*+
+    (?:{_BETWEEN}++(?:(?=[A-Za-z]*[0-9+/])[A-Za-z0-9+/]{{1,63}}+={{0,2}}|[A-Za-z]{{1,63}}={{1,2}})(?=[ \t]*(?:\r?\n|\Z|["'`]|\\+[nr])))?""",
+    re.X,
+)
+#: The rest of a line and the next one.
+REST = re.compile(r"[^\n]*\n?[^\n]*")
 CONNECTION = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://(?P<user>[^\s:/@'\"`<>${}]*):(?P<value>[^\s/@'\"`<>]+)@[^\s'\"`]")
 HEADER = re.compile(r"(?P<scheme>Basic|Bearer)\s+(?P<value>[0-9A-Za-z+/._~=-]{8,})")
 
@@ -78,8 +89,10 @@ NAMED = re.compile(
 #: A header in a quoted text, as commands send them.
 SENT = re.compile(r"""["'](?:X-[\w-]*(?:Auth|Token|Key|Secret)[\w-]*|[\w-]*Api-Key|Private-Token|Authorization):[ \t]*(?P<value>[^\s"']{12,})["']""", re.I)
 VARIABLE = re.compile(r'variable\s+"(?P<name>[\w-]+)"\s*\{(?:[^{}"]|"[^"\n]*")*?\bdefault\s*=\s*(?P<value>"(?:[^"\\\n]|\\.)*")')
-BOUND = re.compile(r"(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+)[ \t]*[:=][ \t]*(?P<value>[^\s\"'`,;(){}\[\]]+)[ \t]*;?[ \t]*(?=\r?$|\*/|-->|[ \t]#)", re.M)
-BINDER = re.compile(r"(?<![\w.-])[A-Za-z_][\w.-]*+[ \t]*[:=]")
+#: An unquoted value as far as it goes, and what may stand behind it.
+RUN = re.compile(r"[ \t]*+([^\s\"'`,;(){}\[\]]+)")
+BEHIND = re.compile(r"[ \t]*+(?:;[ \t]*+)?(?:(?=\r?$|\*/|-->)|(?<=[ \t])(?=#))", re.M)
+BINDER = re.compile(r"(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+)[ \t]*+[:=]")
 PART = re.compile(LITERAL)
 
 
@@ -191,10 +204,15 @@ def spans(text: str | None, rel_path: str | None) -> list[Span]:
         elif kind == "armor":
             m = ARMOR.match(text, start)
             if m:
-                e = ARMOR_END.search(text, m.end())
-                body = text[m.end() : e.start() if e else m.end() + 4000]
-                if len(re.findall(r"[A-Za-z0-9+/]{20,}", body)) >= 1 and not re.search(r"(?i)example|placeholder|your[-_ ]key|\.\.\.", body):
-                    found.append((start, e.end() if e else m.end() + len(body.rstrip()), "PRIVATE_KEY"))
+                # a key ends at its END, before the next BEGIN, or where its END is cut off with its last base64 line
+                nxt = text.find("-----BEGIN ", m.end())
+                nxt = len(text) if nxt < 0 else nxt
+                e = ARMOR_END.search(text, m.end(), nxt)
+                cut = m.end() if e else ARMOR_BODY.match(text, m.end(), nxt).end()
+                body = text[m.end() : e.start() if e else cut]
+                near = body if e else text[m.end() : REST.match(text, cut, nxt).end()]
+                if re.search(r"[A-Za-z0-9+/]{20,}", body) and not re.search(r"(?i)example|placeholder|your[-_ ]key|\.\.\.", near):
+                    found.append((start, e.end() if e else cut, "PRIVATE_KEY"))
         elif kind == "connection":
             a = start
             while a and (text[a - 1].isalnum() or text[a - 1] in "+.-") and start - a < 21:
@@ -237,12 +255,14 @@ def _named(text: str, rel_path: str) -> list[Span]:
         if literal_credential("", m["value"]):
             out.append((*m.span("value"), "AUTHORIZATION"))
     bare = bool(BARE.search(rel_path))
+    hi = -1
     for end, _ in anchors(text.lower() if len(text.lower()) == len(text) else text, name_automaton()):
-        # an unquoted value counts in configuration and in comments only
-        lo = text.rfind("\n", 0, end) + 1
-        hi = text.find("\n", end)
-        hi = len(text) if hi < 0 else hi
-        out += _unquoted(text, lo, hi, bare)
+        # an unquoted value counts in configuration and in comments only; each line is read once, however long
+        if end > hi:
+            lo = text.rfind("\n", 0, end) + 1
+            hi = text.find("\n", end)
+            hi = len(text) if hi < 0 else hi
+            out += _unquoted(text, lo, hi, bare)
     for m in PREFIXED.finditer(text):
         if token_credential(m.group()):
             out.append((*m.span(), "TOKEN"))
@@ -250,16 +270,38 @@ def _named(text: str, rel_path: str) -> list[Span]:
 
 
 def _unquoted(text: str, lo: int, hi: int, bare: bool) -> list[Span]:
-    if hi - lo > 4000 or not (bare or COMMENT.match(text, lo, hi) or COMMENT.match(text[lo:hi])):
+    comment = COMMENT.match(text[lo:hi])
+    if not (bare or comment):
         return []
     out = []
+    run_end = whole = closer = -1
     for name in BINDER.finditer(text, lo, hi):
-        m = BOUND.match(text, name.start(), hi)
-        if m and sensitive(m["name"]) and "://" not in m["value"] and literal_credential(m["name"], m["value"]):
-            out.append((*m.span("value"), "SECRET"))
+        m = RUN.match(text, name.end(), hi) if name.end() >= run_end else None
+        if m:
+            # what ends the run is the same for every name within it
+            run_end = m.end()
+            whole = bool(BEHIND.match(text, run_end, hi))
+            closer = max(text.rfind("*/", m.start(1), run_end), text.rfind("-->", m.start(1), run_end))
+        a = m.start(1) if m else name.end()
+        if a >= run_end or not sensitive(name["name"]):
+            continue
+        b = run_end if whole else closer
+        if b <= a:
+            continue
+        value = text[a:b]
+        if "://" not in value and literal_credential(name["name"], value) and (bare or _inside(text, lo, a, comment)):
+            out.append((a, b, "SECRET"))
     return out
 
 
+def _inside(text: str, lo: int, at: int, comment: re.Match) -> bool:
+    """Whether the comment that opens a line, or another of its kind, is still open at ``at``."""
+    mark = comment.group().strip()
+    if mark == "<!--":
+        return text.rfind("-->", lo, at) <= text.rfind("<!--", lo, at)
+    return mark not in ("/*", "*") or text.rfind("*/", lo, at) <= text.rfind("/*", lo, at)
+
+
 def redacted(text: str, found: list[Span]) -> str:
     """The text with a placeholder in place of each credential; quotes, other lines and line ends stay as they are."""
     out, at = [], 0
