@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.session import spread
+from codestrata.session import checkpointed, spread
 
 #: Nodes of one schema graph that may come to the driver. Keys that are data (map-like objects) are one node, so
 #: the graph grows with the formats, not with the rows; beyond this bound the analysis stops with an error.
@@ -36,35 +36,47 @@ def as_list(value):
 
 
 def is_map(obj: dict) -> bool:
-    """An object whose values are all objects: its keys are data, such as names of targets."""
-    return bool(obj) and all(isinstance(v, dict) for v in obj.values())
+    """An object whose values are objects, null ones aside: its keys are data, such as names of targets."""
+    return any(isinstance(v, dict) for v in obj.values()) and all(v is None or isinstance(v, dict) for v in obj.values())
 
 
-def _edges(obj: dict, node: str) -> Iterator[tuple[str, str, str]]:
-    """(node, child, form) of one record and all below it; form: scalar, object, list (of objects), map."""
+def _vote(obj: dict) -> str:
+    """What one object says of its node: map, mixed (objects of one form and other values, as in a map that has more), record."""
     if is_map(obj):
-        yield node, "*", "map"
-        for v in obj.values():
-            yield from _edges(v, f"{node}/*")
-        return
+        return "map"
+    inner = [v for v in obj.values() if isinstance(v, dict)]
+    alike = len(inner) > 1 and 2 * len(inner) > sum(v is not None for v in obj.values()) and set.intersection(*map(set, inner))
+    return "mixed" if alike else "record"
+
+
+def _edges(obj: dict, node: str, fixed: dict[str, bool]) -> Iterator[tuple[str, str, str]]:
+    """(node, child, form) of one record and all below it; form: scalar, object, list (of objects), map.
+
+    Each object that isn't empty also gives its vote as (node, "", "?map", "?mixed" or "?record"). ``fixed``: nodes
+    known to be maps or records, whatever the single object looks like.
+    """
+    vote = _vote(obj)
+    if obj:
+        yield node, "", f"?{vote}"
+    as_map = fixed.get(node, vote == "map")
     for name, v in obj.items():
         if isinstance(v, dict):
-            yield node, name, "object"
-            yield from _edges(v, f"{node}/{name}")
+            child, form = ("*", "map") if as_map else (name, "object")
+            yield node, child, form
+            yield from _edges(v, f"{node}/{child}", fixed)
         elif (items := as_list(v)) is not None and any(isinstance(x, dict) for x in items):
             yield node, name, "list"
             for x in items:
                 if isinstance(x, dict):
-                    yield from _edges(x, f"{node}/{name}")
+                    yield from _edges(x, f"{node}/{name}", fixed)
         elif v is not None:
             yield node, name, "scalar"
 
 
-def schema_graph(docs: DataFrame, kind_col: str, body_col: str) -> DataFrame:
-    """(kind, node, child, form, n): every edge of the schema graph with how often it occurs in which form.
-
-    Counts are made per batch in Python and added up before the shuffle; the result is as small as the formats.
-    """
+def _counted(docs: DataFrame, kind_col: str, body_col: str, fixed: dict[tuple[str, str], bool]) -> DataFrame:
+    of_kind: dict[str, dict[str, bool]] = {}
+    for (kind, node), as_map in fixed.items():
+        of_kind.setdefault(kind, {})[node] = as_map
 
     def count(batches):
         import collections
@@ -77,13 +89,40 @@ def schema_graph(docs: DataFrame, kind_col: str, body_col: str) -> DataFrame:
                 root = loads(body)
                 for r in root if isinstance(root, list) else [root]:
                     if isinstance(r, dict):
-                        seen.update((kind, *e) for e in _edges(r, ""))
+                        seen.update((kind, *e) for e in _edges(r, "", of_kind.get(kind, {})))
         yield pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["kind", "node", "child", "form", "n"])
 
     rows = spread(docs.select(F.col(kind_col).alias("kind"), F.col(body_col).alias("body")))
     return rows.mapInPandas(count, GRAPH).groupBy("kind", "node", "child", "form").agg(F.sum("n").alias("n"))
 
 
+def schema_graph(docs: DataFrame, kind_col: str, body_col: str) -> DataFrame:
+    """(kind, node, child, form, n): every edge of the schema graph with how often it occurs in which form.
+
+    Counts are made per batch in Python and added up before the shuffle; the result is as small as the formats.
+    """
+    return decided(docs, kind_col, body_col).where(~F.col("form").startswith("?"))
+
+
+def decided(docs: DataFrame, kind_col: str, body_col: str) -> DataFrame:
+    """The counted graph, with one decision for each node on whether it is a map.
+
+    A node whose objects disagree is a map if at least half of them are maps or hold more besides objects of one
+    form; so a value of another kind in some documents makes no record of it. A node of which no object is a map by
+    itself is a record. A decision names children anew, so the bodies are read again for the nodes below, from the
+    root downwards; where no objects disagree, they are read once.
+    """
+    fixed: dict[tuple[str, str], bool] = {}
+    while True:
+        graph = checkpointed(_counted(docs, kind_col, body_col, fixed))
+        votes = [F.sum(F.when(F.col("form") == f"?{v}", F.col("n")).otherwise(0)).alias(v) for v in ("map", "mixed", "record")]
+        split = graph.where("child = ''").groupBy("kind", "node").agg(*votes).where("map > 0 and mixed + record > 0")
+        open_ = {(r["kind"], r["node"]): r["map"] + r["mixed"] >= r["record"] for r in split.limit(MAX_NODES + 1).collect() if (r["kind"], r["node"]) not in fixed}
+        if not open_:
+            return graph
+        fixed |= {k: v for k, v in open_.items() if not any(k[0] == o[0] and k[1] != o[1] and k[1].startswith(o[1] + "/") for o in open_)}
+
+
 @dataclass
 class Inlining:
     """What becomes of each node. ``tables``: children with a table of their own, by (kind, node)."""
@@ -107,9 +146,8 @@ def plan_inlining(edges: list[tuple[str, str, str, str]]) -> Inlining:
         forms.setdefault((kind, node), {}).setdefault(child, set()).add(form)
     plan = Inlining()
     for key, children in forms.items():
-        if "*" in children and len(children) == 1:
+        if "*" in children:
             plan.maps.add(key)
-            continue
         for child, seen in children.items():
             recursive = child in key[1].split("/")
             if "list" in seen or (recursive and "object" in seen):
@@ -159,28 +197,27 @@ def shred(obj: dict, plan: Inlining, kind: str, node: str, path: str) -> Iterato
     """(node, child_path, parent_path, pos, fields) of every child record below ``obj``."""
     key = (kind, node)
     join = f"{path}/" if path else ""
-    if key in plan.maps and is_map(obj):
-        for pos, (name, v) in enumerate(obj.items()):
-            yield f"{node}/*", join + name, path, pos, _fields(v, plan, (kind, f"{node}/*"), "", {})
-            yield from shred(v, plan, kind, f"{node}/*", join + name)
-        return
-    for name in obj:
+    as_map = key in plan.maps
+    for at, (name, value) in enumerate(obj.items()):
         child = f"{node}/{name}"
-        if name in plan.tables.get(key, ()):
-            for pos, v in enumerate(as_list(obj[name]) or ()):
+        if as_map and isinstance(value, dict):
+            yield f"{node}/*", join + name, path, at, _fields(value, plan, (kind, f"{node}/*"), "", {})
+            yield from shred(value, plan, kind, f"{node}/*", join + name)
+        elif name in plan.tables.get(key, ()):
+            for pos, v in enumerate(as_list(value) or ()):
                 if isinstance(v, dict):
-                    at = f"{join}{name}/{pos}"
-                    yield child, at, path, pos, _fields(v, plan, (kind, child), "", {})
-                    yield from shred(v, plan, kind, child, at)
-        elif name in plan.inlined.get(key, ()) and isinstance(obj[name], dict):
-            yield from shred(obj[name], plan, kind, child, join + name)
+                    here = f"{join}{name}/{pos}"
+                    yield child, here, path, pos, _fields(v, plan, (kind, child), "", {})
+                    yield from shred(v, plan, kind, child, here)
+        elif name in plan.inlined.get(key, ()) and isinstance(value, dict):
+            yield from shred(value, plan, kind, child, join + name)
 
 
 def child_records(docs: DataFrame, id_col: str, kind_col: str, body_col: str, plan: Inlining | None = None) -> DataFrame:
     """Every child record of every document, linked to its parent: (id, kind, node, child_path, parent_path, pos, fields).
 
     ``parent_path`` is empty where the parent is the document itself. Null and broken bodies give no row; null
-    elements count as positions but are no records; a list held as text or replaced by its only object is read
+    elements and null values of a map count as positions but are no records; a list held as text or replaced by its only object is read
     as the list. Repeated documents give their rows each. Two passes over the bodies: the graph, the rows.
     """
     plan = plan or analyse(docs, kind_col, body_col)

@@ -88,3 +88,22 @@ def test_children_of_nested_reports(spark):
 def test_recursive_elements_get_tables():
     plan = nested.plan_inlining([("k", "", "node", "object"), ("k", "/node", "node", "object"), ("k", "/node", "v", "scalar")])
     assert plan.tables == {("k", "/node"): {"node"}} and plan.inlined == {("k", ""): {"node"}}
+
+
+def test_one_odd_document_hides_no_children(spark):
+    bodies = [
+        ("receipts", {"T": {"v": 1, "findings": [{"f": 1}]}, "U": {"v": 2}}, ["T", "T/findings/0", "U"]),
+        ("receipts", {"V": None, "X": {"findings": [{"f": 1}]}}, ["X", "X/findings/0"]),
+        ("receipts", {"at": "2025", "Y": {"findings": [{"f": 1}]}, "more": [{"m": 1}]}, ["Y", "Y/findings/0", "more/0"]),
+        ("receipts", {"Z": {"findings": [{"f": 1}], "deep": {"list": [{"d": 1}]}}}, ["Z", "Z/findings/0", "Z/deep/list/0"]),
+        ("taint", {"findings": {"flow": [{"s": 1}], "only": {"here": [{"h": 1}]}}}, ["findings/0", "findings/0/flow/0", "findings/0/only/here/0"]),
+        ("taint", {"n": 1, "findings": [{"x": 1, "flow": [{"s": 1}]}]}, ["findings/0", "findings/0/flow/0"]),
+        ("taint", {"n": 2, "findings": []}, []),
+    ]
+    df = spark.createDataFrame([(i, k, json.dumps(b), "", "") for i, (k, b, _) in enumerate(bodies)], REPORT)
+    plan = nested.analyse(df, "kind", "body")
+    assert plan.maps == {("receipts", "")}
+    recs = nested.child_records(df, "report_id", "kind", "body", plan)
+    assert sorted((r["report_id"], r["child_path"]) for r in recs.collect()) == sorted((i, p) for i, (_, _, ps) in enumerate(bodies) for p in ps)
+    targets = {(r["child_path"], r["pos"], r["v"]) for r in nested.child_table(recs, plan, "receipts", "/*").collect()}
+    assert targets == {("T", 0, "1"), ("U", 1, "2"), ("X", 1, None), ("Y", 1, None), ("Z", 0, None)}
