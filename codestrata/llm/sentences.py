@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +15,19 @@ from codestrata.session import spread
 # Terminators and closing marks after the sentence-break property of Unicode Annex 29.
 ASCII_TERMS = ".!?"
 ELLIPSIS = "…"
-WIDE_TERMS = "。！？．｡﹒"
-OTHER_TERMS = "؟۔।॥‼⁇⁈⁉։።፧។៕"
-TERMS = ASCII_TERMS + ELLIPSIS + WIDE_TERMS + OTHER_TERMS
+WIDE_TERMS = "。！？．｡﹒﹖﹗︒︕︖"
+#: The rest of STerm in all scripts, and U+2024, the rest of ATerm.
+_RANGES = """
+0589 061D-061F 06D4 0700-0702 07F9 0837 0839 083D-083E 0964-0965 104A-104B 1362 1367-1368 166E 1735-1736 17D4-17D5 1803 1809
+1944-1945 1AA8-1AAB 1B4E-1B4F 1B5A-1B5B 1B5E-1B5F 1B7D-1B7F 1C3B-1C3C 1C7E-1C7F 203C-203D 2047-2049 2CF9-2CFB 2E2E 2E3C 2E53-2E54 2E60-2E61
+A4FF A60E-A60F A6F3 A6F7 A876-A877 A8CE-A8CF A92F A9C8-A9C9 AA5D-AA5F AAF0-AAF1 ABEB 10A56-10A57 10F55-10F59 10F86-10F89
+11047-11048 110BE-110C1 11141-11143 111C5-111C6 111CD 111DE-111DF 11238-11239 1123B-1123C 112A9 113D4-113D5 1144B-1144C 115C2-115C3
+115C9-115D7 11641-11642 1173C-1173E 11944 11946 11A42-11A43 11A9B-11A9C 11C41-11C42 11EF7-11EF8 11F43-11F44 16A6E-16A6F 16AF5
+16B37-16B38 16B44 16D6E-16D6F 16E98 1BC9F 1DA88
+"""
+OTHER_TERMS = frozenset(chr(x) for r in _RANGES.split() for x in range(int(r[:5].partition("-")[0], 16), int(r.rpartition("-")[2], 16) + 1))
+DOT_LEADER = "\u2024"
+TERMS = frozenset(ASCII_TERMS + ELLIPSIS + WIDE_TERMS + DOT_LEADER) | OTHER_TERMS
 PAIRS = {"“": "”“", "„": "“”", "«": "»", "»": "«", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "‘": "’", "《": "》"}
 CLOSERS = ")]}”’」』»›）》"
 
@@ -26,6 +38,22 @@ NEVER_ENDS = set(
     p.ej ej ex т.е т.к т.н см ср напр dept gen col lt sgt rev hon gov u.s u.k ee uu ee.uu मि.से डॉ د
     """.split()
 )
+#: Of these, those that are words or word ends of other languages: where the text is in none of these languages, a
+#: capital letter after them begins a sentence.
+ONLY_IN = {
+    "env": {"fr"}, "ca": {"de"}, "d": {"de", "es"}, "hr": {"de"}, "fr": {"de"}, "sr": {"es", "en"}, "ex": {"fr", "es"}, "ee": {"es"}, "uu": {"es"},
+    "mme": {"fr"}, "mlle": {"fr"}, "sra": {"es"}, "srta": {"es"}, "dra": {"es"}, "col": {"en"}, "gen": {"en"}, "rev": {"en"}, "hon": {"en"}, "gov": {"en"}, "dept": {"en"}, "mrs": {"en"},
+}
+#: Of these, those that also end a sentence: a capital word that opens sentences and is no name decides.
+OPENED = frozenset("st gov dept col gen u.s u.k".split())
+OPENERS = frozenset("the this that these those then there it its we they he she you i but and so if when while after before now please see however as at for in on our no not why how what".split())
+# Frequent words of the languages that share a script.
+LANGUAGE_WORDS = {
+    "en": frozenset("the and is of to in that it for was with are not this".split()),
+    "de": frozenset("der die das und ist nicht ein eine mit für auf den von zu im wird".split()),
+    "fr": frozenset("le la les des et est une un dans pour pas que du sur avec".split()),
+    "es": frozenset("el la los las y es una un en para no que del con se por".split()),
+}
 # Abbreviations that go on where a number follows.
 BEFORE_NUMBER = set(
     """
@@ -61,7 +89,10 @@ FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
 HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]|\r?$)")
 ITEM = re.compile(r"[ \t]*(?:[-*+•‣·]|\d{1,9}[.)])[ \t]+(?=\S)")
 QUOTE_LINE = re.compile(r"[ \t]*(?:>[ \t]?)+")
-CANDIDATE = re.compile(f"[{re.escape(TERMS)}]+")
+CANDIDATE = re.compile(f"[{re.escape(''.join(sorted(TERMS)))}]+")
+#: The same for texts without a character beyond the first plane; classes of these alone are one table.
+NEAR_CANDIDATE = re.compile(f"[{re.escape(''.join(sorted(c for c in TERMS if ord(c) < 0x10000)))}]+")
+FAR = re.compile(r"[\U00010000-\U0010ffff]")
 THAI_SPACE = re.compile(r"(?<=[฀-๿])[ \t ]*(?:\r?\n)?[ \t ]*(?<=\s)(?=[฀-๿A-Za-z0-9])")
 LINE_MARK = re.compile(r"(?:[ \t]*(?:>|//|#|\*)[ \t]*)")
 WORD = re.compile(r"[^\W\d_]+")
@@ -169,7 +200,17 @@ def _wide(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "＀" <= c <= "￯" or c in "　、。"
 
 
-def _ends(text: str, a: int, b: int, i: int, run: str, j: int, quoted: bool, k: int) -> bool:
+def language(text: str, lang: str | None) -> str | None:
+    """The language of a text by its frequent words, as labels may be wrong; the label where the words don't tell."""
+    words = [w.lower() for w in WORD.findall(text)]
+    counts = {k: sum(w in known for w in words) for k, known in LANGUAGE_WORDS.items()}
+    best = max(counts, key=counts.get)
+    if counts[best] > 1 and sum(n == counts[best] for n in counts.values()) == 1:
+        return best
+    return re.split(r"[-_]", lang.strip().lower())[0] or None if lang else None
+
+
+def _ends(text: str, a: int, b: int, i: int, run: str, j: int, quoted: bool, k: int, lang: Callable[[], str | None]) -> bool:
     """Whether the terminators ``run`` at i, closed until j and followed by text at k, end the sentence begun at a."""
     c, spaced = text[k], k > j
     word = WORD.match(text, k)
@@ -196,7 +237,8 @@ def _ends(text: str, a: int, b: int, i: int, run: str, j: int, quoted: bool, k:
     s = i
     while s > a and not text[s - 1].isspace():
         s -= 1
-    token = text[s:i].lstrip("([{\"'“„«»‘’¿¡*_`").lower()
+    written = text[s:i].lstrip("([{\"'“„«»‘’¿¡*_`")
+    token = written.lower()
     before = text[max(a, s - 24) : s].split()
     prev = before[-1] if before else ""
     for apostrophe in "’'":
@@ -207,7 +249,11 @@ def _ends(text: str, a: int, b: int, i: int, run: str, j: int, quoted: bool, k:
             return False
         return not (len(token) <= 2 and prev.lower() in ("am", "vom", "zum", "den", "dem", "der", "das", "im", "bis", "ab", "seit") and nxt)
     if token in NEVER_ENDS:
-        return False
+        if token in OPENED and nxt[:1].isupper() and low in OPENERS:
+            return True
+        if token not in ONLY_IN or not nxt[:1].isupper() or written[:1].isupper():
+            return False
+        return (lang() or "") not in {"", *ONLY_IN[token]}
     if token in BEFORE_NUMBER and (c.isdigit() or c in "#§"):
         return False
     if token in MAY_END and not (len(token) == 1 and prev[:1].isdigit()):
@@ -224,16 +270,18 @@ def _ends(text: str, a: int, b: int, i: int, run: str, j: int, quoted: bool, k:
     return True
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
+def sentences(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of each sentence unit, end exclusive, without white space around it.
 
     Null, empty and blank texts give none. Blocks come first: blank lines, headings, list items and fenced code
     end a unit. Inside a block, terminators of any script end a sentence unless an abbreviation, a number or an
-    open quotation forbids it; closing marks and emoji belong to the sentence they follow.
+    open quotation forbids it, with abbreviations of the text's language; closing marks and emoji belong to the sentence they follow.
     """
     out: list[tuple[int, int]] = []
     if not text:
         return out
+    candidate = CANDIDATE if FAR.search(text) else NEAR_CANDIDATE
+    spoken = lru_cache(maxsize=1)(lambda: language(text, lang))
     for a, b, body in blocks(text):
         start = a
         if body < b:
@@ -241,7 +289,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             closing = {j: i for i, j in spans}
             cuts: list[int] = []
             n = 0
-            for m in CANDIDATE.finditer(text, body, b):
+            for m in candidate.finditer(text, body, b):
                 i, j = m.span()
                 if i < start:
                     continue
@@ -271,7 +319,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
                     start = e
                     cuts.append(e)
                     continue
-                if _ends(text, start, b, i, m.group(), j, quoted, k):
+                if _ends(text, start, b, i, m.group(), j, quoted, k, spoken):
                     cuts.append(j)
                     start = j
             if any("฀" <= c <= "๿" for c in text[body:b]):
@@ -308,9 +356,13 @@ def _thai_cuts(text: str, a: int, b: int, spans: list[tuple[int, int]]) -> list[
 
 
 
-def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sent_start int, sent_end int) of every sentence of every text; one narrow pass over Arrow batches."""
-    rows = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()))
+def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, sent_start int, sent_end int) of every sentence of every text; one narrow pass over Arrow batches.
+
+    ``lang_col`` may be missing; it counts only where the words of a text don't tell its language.
+    """
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    rows = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lang.alias("_lang")).where(F.col("_text").isNotNull()))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def cut(batches):
@@ -318,7 +370,7 @@ def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import pyarrow as pa
 
         for batch in batches:
-            units = [sentences(t) for t in batch.column(1).to_pylist()]
+            units = [sentences(t, x) for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             counts = [len(u) for u in units]
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(units)), counts)))
             flat = np.array([x for u in units for x in u], dtype=np.int32).reshape(-1, 2)

@@ -93,6 +93,25 @@ def test_sentences(text):
     assert [text[a:b] for a, b in sentences.sentences(text)] == CASES[text]
 
 
+MORE_CASES = [
+    ("en", "Set it in your env. Then run it.", ["Set it in your env.", "Then run it."]),
+    (None, "Set the path to it in your env. Then run it.", ["Set the path to it in your env.", "Then run it."]),
+    ("fr", "Il y a 30 env. Ensuite rien.", ["Il y a 30 env. Ensuite rien."]),
+    ("en", "It is on Main St. The house in St. Petersburg is not.", ["It is on Main St.", "The house in St. Petersburg is not."]),
+    ("my", "က ခ။ ဂ ဃ။", ["က ခ။", "ဂ ဃ။"]),
+    (None, "ܐܒ܀ ܓܕ܀", ["ܐܒ܀", "ܓܕ܀"]),
+    (None, "ᠠᠡ᠃ ᠢᠣ᠃", ["ᠠᠡ᠃", "ᠢᠣ᠃"]),
+    (None, "ሀለ፨ ሐመ።", ["ሀለ፨", "ሐመ።"]),
+    (None, "ߊߋ߹ ߌߍ߹", ["ߊߋ߹", "ߌߍ߹"]),
+    ("en", "What‽ Yes﹗ No﹖ End", ["What‽", "Yes﹗", "No﹖", "End"]),
+]
+
+
+@pytest.mark.parametrize(("lang", "text", "want"), MORE_CASES)
+def test_sentences_of_more_scripts_and_languages(lang, text, want):
+    assert [text[a:b] for a, b in sentences.sentences(text, lang)] == want
+
+
 def test_sentence_rows(spark):
     rows = [(1, "One. Two.", "x"), (1, "One. Two.", "x"), (2, None, "x"), (3, "", "x"), (4, " \n\t ", "x"), (5, "😀 One. Two", "x"), (6, "Long one. " * 20000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, sent_start string")
