@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,11 +100,14 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     return live.select("repo", F.col("src").alias("module")).unionByName(live.select("repo", F.col("dst").alias("module"))).distinct()
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int = 12) -> DataFrame:
-    """(repo, start, module, hops): modules within ``depth`` imports of the start modules (repo, module), by the shortest way."""
+def reachable(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(repo, start, module, hops): modules that the start modules (repo, module) reach, by the shortest way.
+
+    Rounds end when one finds no new module, at most as many as the longest shortest way; ``depth`` ends them earlier.
+    """
     seen = checkpointed(starts.select("repo", F.col("module").alias("start"), "module", F.lit(0).alias("hops")).distinct())
     front = seen
-    for hop in range(1, depth + 1):
+    for hop in count(1) if depth is None else range(1, depth + 1):
         step = front.join(edges.withColumnRenamed("src", "module"), ["repo", "module"]).select("repo", "start", F.col("dst").alias("module")).distinct()
         front = checkpointed(step.join(seen, ["repo", "start", "module"], "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():

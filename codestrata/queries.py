@@ -137,8 +137,8 @@ def cycle_members(spark, sf):
 
 
 def reachability(spark, sf):
-    e = _packages(spark, sf)
-    return graph.reachable(e, e.select("repo", F.col("src").alias("module")), depth=4)
+    e = checkpointed(_packages(spark, sf))  # read once a round
+    return graph.reachable(e, e.select("repo", F.col("src").alias("module")))
 
 
 def causal_chains(spark, sf):

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codestrata import queries
 from codestrata.functions import paths
 from codestrata.operators import corpus, findings, fixes, graph, patterns, risk, rules, scoring, taint
 from codestrata.plans.scan import Scan
@@ -53,6 +54,16 @@ def test_cycles(spark, case):
     assert far[text[0], text[1]] == 1 and far[text[0], text[0]] == 0
 
 
+def test_reachability_of_long_chains(spark, tmp_path):
+    n = 15
+    rows = [(i, "r", f"/r/p{i}/a.js", f"p{i}/a.js", "javascript", 1, f"import x from '../p{i + 1}/a.js'\n") for i in range(n)]
+    rows.append((n, "r", f"/r/p{n}/a.js", f"p{n}/a.js", "javascript", 1, "const x = 1;\n"))
+    files = spark.createDataFrame(rows, "file_id long, repo string, path string, rel_path string, language string, lines int, content string")
+    files.write.parquet(str(tmp_path / "files.parquet"))
+    got = {(r["start"], r["module"]): r["hops"] for r in queries.reachability(spark, str(tmp_path)).collect()}
+    assert got == {(f"p{i}", f"p{j}"): j - i for i in range(n) for j in range(i, n + 1)}
+
+
 @pytest.mark.parametrize(("lines", "exports", "want"), [(499, 9, 0), (500, 9, 0), (501, 8, 0), (501, 9, 1), (501, 50, 1)])
 def test_god_modules(spark, lines, exports, want):
     df = spark.createDataFrame([(1, "a.ts", lines, exports)], "file_id long, rel_path string, n_lines int, n_exports int")
