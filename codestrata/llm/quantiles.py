@@ -116,3 +116,31 @@ def radix_percentiles(measured: DataFrame, groups: list[str], probs: list[float]
     else:
         width = F.lit(0.0)
     return targets.select(*keys, "p", value_of_key(low).alias("value"), F.col("total").alias("n"), width.alias("error_bound"))
+
+
+def percentiles(histograms: DataFrame, groups: list[str], probs: list[float], digits: int = 2) -> DataFrame:
+    """(groups..., metric, p, value, n, error_bound) from partial results of ``daily_histograms``; no raw row is read.
+
+    ``histograms`` holds the counts of any days, partitions or clusters, each once (``combine`` adds them); ``digits``
+    is what they were made with. Ranks are followed digit by digit over the added counts, as in
+    ``radix_percentiles``: the value is the lower end of the last digit and ``error_bound`` its width, so the exact
+    percentile lies within [value, value + error_bound]. A group without measurements gives no row.
+    """
+    keys = [*groups, "metric"]
+    counts = checkpointed(combine(histograms))
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
+    targets = total.select(*keys, "total", ps).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.round(F.col("p") * F.col("total"), 9))).cast("long"))
+    targets = targets.withColumn("parent", F.lit(0).cast("long"))
+    for left in reversed(range(digits)):
+        # the top digit has no parent; below, only counts under a followed prefix are added up
+        parent = F.lit(0).cast("long") if left == digits - 1 else F.shiftright("prefix", DIGIT_BITS * (left + 1))
+        live = counts.withColumn("parent", parent)
+        if left < digits - 1:
+            live = live.join(small_side(targets.select(*keys, "parent").distinct()), [*keys, "parent"], "left_semi")
+        hist = live.groupBy(*keys, "parent", F.shiftright("prefix", DIGIT_BITS * left).alias("prefix")).agg(F.sum("n").alias("n"))
+        targets = checkpointed(_followed(hist, targets, keys))
+    shift = KEY_BITS - DIGIT_BITS * digits
+    low = F.shiftleft("parent", shift)
+    width = value_of_key(low + F.lit((1 << shift) - 1)) - value_of_key(low)
+    return targets.select(*keys, "p", value_of_key(low).alias("value"), F.col("total").alias("n"), width.alias("error_bound"))

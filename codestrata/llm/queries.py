@@ -75,6 +75,18 @@ def p7_daily(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.daily_histograms(_runs(spark, sf), ["corpus", "stage"])
 
 
+def p7_daily_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return quantiles.percentiles(p7_daily(spark, sf), ["corpus", "stage"], PROBS)
+
+
+def p7_scores_daily(spark: SparkSession, sf: str) -> DataFrame:
+    return quantiles.daily_histograms(_scores(spark, sf), ["tool"])
+
+
+def p7_scores_daily_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return quantiles.percentiles(p7_scores_daily(spark, sf), ["tool"], PROBS)
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_ids(read_table(spark, sf, "documents"))
 
@@ -105,6 +117,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_percentiles": p7_percentiles,
         "p7_scores": p7_scores,
         "p7_daily": p7_daily,
+        "p7_daily_percentiles": p7_daily_percentiles,
+        "p7_scores_daily": p7_scores_daily,
+        "p7_scores_daily_percentiles": p7_scores_daily_percentiles,
         "p8_ids": p8_ids,
         "p9_found": p9_found,
         "p9_leaks": p9_leaks,

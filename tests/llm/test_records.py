@@ -73,6 +73,20 @@ def test_percentiles_against_sorting(spark):
     assert both == {tuple(r)[:-1]: r["n"] for r in quantiles.combine(quantiles.daily_histograms(m, ["g"])).collect()}
 
 
+def test_percentiles_of_days_against_exact(spark):
+    rnd = random.Random(6)
+    rows = [(g, f"2025-01-{d:02d}", rnd.lognormvariate(3, 2)) for g in "ab" for d in range(1, 6) for _ in range(200)] + [("z", "2025-01-01", 0.0), ("z", "2025-01-02", 5.0), ("c", None, None)]
+    m = quantiles.measurements(spark.createDataFrame(rows, "g string, d string, v double"), ["g"], {"v": F.col("v")}, F.col("d"), positive=False)
+    ps = [0.0, 0.5, 0.9, 0.99, 1.0]
+    exact = {(r["g"], r["p"]): r for r in quantiles.radix_percentiles(m, ["g"], ps).collect()}
+    for digits in (1, 2, 3):
+        got = {(r["g"], r["p"]): r for r in quantiles.percentiles(quantiles.daily_histograms(m, ["g"], digits), ["g"], ps, digits).collect()}
+        assert got.keys() == exact.keys()
+        for k, r in got.items():
+            assert r["n"] == exact[k]["n"] and r["value"] <= exact[k]["value"] <= r["value"] + r["error_bound"]
+            assert digits < 2 or exact[k]["value"] == 0 or r["error_bound"] <= 2**-20 * exact[k]["value"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("ab c\n\t'sกข中!1 😀"), max_size=300), st.integers(3, 40))
 def test_joined_leaves_are_the_whole(text, size):
