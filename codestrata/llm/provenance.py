@@ -128,7 +128,7 @@ def by_path(rel_path: str, mined=()) -> str | None:
 
 def by_content(text: str, rel_path: str) -> str | None:
     """Class that the head or the texture of a text shows: generated, vendored, minified, data or none."""
-    head = "\n".join(text[:4000].splitlines()[:HEAD])
+    head = "\n".join(text.splitlines()[:HEAD])
     if BANNER.search(head):
         return "generated"
     if UPSTREAM.search(head):
@@ -146,9 +146,12 @@ def by_content(text: str, rel_path: str) -> str | None:
 
 
 def _short_names(text: str) -> bool:
-    """Whether most names have at most three letters, as renaming leaves them."""
-    names = re.findall(r"(?<![\w\"'.])[A-Za-z_$][\w$]*", text[:20000])
-    return len(names) >= 40 and sum(len(x) <= 3 for x in names) / len(names) > 0.6
+    """Whether most names of the whole text have at most three letters, as renaming leaves them."""
+    n = short = 0
+    for m in re.finditer(r"(?<![\w\"'.])[A-Za-z_$][\w$]*", text):
+        n += 1
+        short += m.end() - m.start() <= 3
+    return n >= 40 and short / n > 0.6
 
 
 def _data(text: str, n: int) -> bool:

@@ -169,6 +169,16 @@ PROVENANCE = {
 }
 
 
+def test_provenance_reads_whole_texts():
+    readable = "function readableHelperName(firstArgument,secondArgument){return firstArgument.concat(secondArgument)}\n" * 220
+    bundle = ("var a=b(c,d),e=f;" * 8 + "\n") * 800
+    assert len(readable) > 20_000
+    assert provenance.by_content(readable + bundle, "web/app.js") == "minified"
+    assert provenance.by_content(readable + bundle[:300], "web/app.js") is None
+    assert provenance.by_content("// " + "long words of a first line " * 200 + "\n// Code generated by g 1.0. DO NOT EDIT.\nx = 1\n", "a/x.js") == "generated"
+    assert provenance.by_content("x = 1\n" * 12 + "// Code generated by g 1.0. DO NOT EDIT.\n", "a/x.js") is None
+
+
 def test_provenance_rows(spark):
     rows = [(i, "r", "p", path, text, "clash") for i, (path, (text, _)) in enumerate(PROVENANCE.items())]
     rows += [(80, "d", "p", ".gitattributes", "*.api.ts linguist-generated\n*_pb2.py -linguist-generated", ""), (81, "d", "p", "x/a.api.ts", "x", ""), (82, "d", "p", "x/a_pb2.py", "x", ""), (83, "d", "p", "x/b.ts", "x", "")]
