@@ -45,7 +45,6 @@ SANITIZERS = frozenset(
 DANGER_TYPE = {"code": "injection", "command": "injection", "sql": "injection", "template": "injection", "html": "injection", "path": "path-traversal", "redirect": "open-redirect", "ssrf": "ssrf", "memory": "memory-safety"}
 # Last parts of a path after which a value is harmless.
 HARMLESS = frozenset("to_i to_f length size isdigit parse is_empty hashCode".split())
-MOST_ROUNDS = 8
 FOUND = "file_id long, repo string, rel_path string, line int, type string, danger string, source string, sink string, flow array<struct<line:int,name:string>>"
 
 Label = tuple  # (source, first line, path of (line, name)); source "@k" stands for parameter k
@@ -145,7 +144,7 @@ class Interpreter:
                     for k, v in x.items():
                         env[k] = env.get(k, set()) | v
             elif n.kind == "loop":
-                for _ in range(MOST_ROUNDS):
+                while True:  # labels without their paths are finite and only added
                     before = {k: {(s, a) for s, a, _ in v} for k, v in env.items()}
                     inner = dict(env)
                     self.block(n.then, inner, returns)

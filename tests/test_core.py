@@ -232,6 +232,14 @@ def test_no_flow(path):
     assert taint.analyse(CLEAN[path], path) == []
 
 
+def test_flow_through_a_long_loop():
+    n = 30
+    steps = "".join(f"        x{i} = x{i - 1}\n" for i in range(n, 0, -1))
+    head = "def f(n):\n" + "".join(f"    x{i} = ''\n" for i in range(n + 1))
+    text = head + f"    while n:\n{steps}        x0 = request.args['q']\n    eval(x{n})\n"
+    assert [(r[0], r[2], r[3]) for r in taint.analyse(text, "a.py")] == [(text.count("\n"), "eval", "request.args")]
+
+
 def test_flow_rows(spark):
     got = taint.flows(_files(spark, TAINTED | {"n.py": None, "m.py": ""})).collect()
     assert {r["rel_path"] for r in got} == set(TAINTED)
