@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.session import checkpointed
+
 #: Fields that a delivered record holds either as columns or in its JSON payload.
 PAYLOAD_SCHEMA = "file string, line string, type string, description string"
 
@@ -51,41 +53,60 @@ def multiset_hash(fields: Mapping[str, Column], lane: int) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def copies(records: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+#: Rows of one fingerprint above which its rows are salted. Groups beyond it number at most (all rows) / HOT, which
+#: bounds what is broadcast of them: 3,000 small rows for 300 million.
+HOT = 100_000
+
+
+def copies(records: DataFrame, id_col: str, fields: list[str], hot: int = HOT) -> DataFrame:
     """(first, other) for each row that equals an earlier one in all ``fields``; ``first`` is the smallest id.
 
     1. Two lanes of the multiset hash make a 118-bit fingerprint.
-    2. A partial aggregate keeps, for each fingerprint, the first row and the number of rows; a group that holds
-       a third of all rows shrinks to one row per map task before the shuffle. Groups of one row are dropped.
-    3. The rows join the remaining fingerprints and are compared, field by field, with the first row. A hot
-       fingerprint sits on the probing side only, where adaptive execution splits it.
-    4. Rows that differ from their group's first row (hash collisions) are grouped by their fields instead.
+    2. One hash aggregate of fixed width keeps, for each fingerprint, the smallest id, the number of rows and the
+       extremes of two check hashes over all field names, lengths and values. A group that holds a third of all rows shrinks
+       to one row per map task before the shuffle. Groups of one row are dropped, the others stand in a checkpoint.
+    3. A group whose check hashes do not vary is verified; its rows meet their first row by a hash join on the
+       fingerprint. No row carries texts through a shuffle, and nothing is sorted. Rows of a group of more than ``hot`` rows are
+       salted, so that no task gets more than about ``hot`` of them.
+    4. Groups whose check hashes vary hold different records of one fingerprint. Their rows are grouped by the fields
+       themselves.
 
     Nulls equal nulls. Repeated ids give repeated rows. Extra columns are ignored. An empty table gives no row.
     """
     named = {f: F.coalesce(F.col(f).cast("string"), F.lit("\0null")) for f in fields}
-    rows = records.select(
-        F.col(id_col).alias("id"),
-        multiset_hash(named, 1).alias("h1"),
-        multiset_hash(named, 2).alias("h2"),
-        F.struct(*[v.alias(k) for k, v in named.items()]).alias("fields"),
+    return _verified(
+        records,
+        F.col(id_col),
+        multiset_hash(named, 1),
+        multiset_hash(named, 2),
+        F.struct(*[v.alias(k) for k, v in named.items()]),
+        hot,
     )
-    return _verified(rows)
-
-
-def _groups(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "fields")).alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def _verified(rows: DataFrame) -> DataFrame:
-    firsts = _groups(rows).where("n > 1").select("h1", "h2", "first")
-    joined = rows.join(firsts, ["h1", "h2"]).where(F.col("id") != F.col("first.id"))
-    same = F.col("fields") == F.col("first.fields")
-    found = joined.where(same).select(F.col("first.id").alias("first"), F.col("id").alias("other"))
-    rest = joined.where(~same).select("id", "fields")
-    collided_first = rest.groupBy("fields").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    collided = rest.join(collided_first.select("fields", "first"), "fields").where("id <> first").select("first", F.col("id").alias("other"))
-    return found.unionByName(collided)
+def _check(fields: Column, lane: int) -> Column:
+    return F.xxhash64(F.lit(lane), fields)
+
+
+def _verified(records: DataFrame, key: Column, h1: Column, h2: Column, fields: Column, hot: int) -> DataFrame:
+    rows = records.select(key.alias("id"), h1.alias("h1"), h2.alias("h2"))
+    checked = records.select(key.alias("id"), h1.alias("h1"), h2.alias("h2"), _check(fields, 3).alias("c"), _check(fields, 4).alias("d"))
+    extremes = [f(c).alias(f"{n}_{c}") for c in "cd" for n, f in (("lo", F.min), ("hi", F.max))]
+    groups = checked.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), *extremes).where("n > 1")
+    groups = checkpointed(groups.select("h1", "h2", "first", "n", ((F.col("lo_c") == F.col("hi_c")) & (F.col("lo_d") == F.col("hi_d"))).alias("same")))
+    firsts = groups.where("same").select("h1", "h2", "first", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("salts"))
+    salted = firsts.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    spread_keys = F.broadcast(firsts.where("salts > 1").select("h1", "h2", "salts"))
+    salt = F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
+    probe = rows.join(spread_keys, ["h1", "h2"], "left").select("h1", "h2", "id", salt)
+    found = probe.join(salted.hint("shuffle_hash"), ["h1", "h2", "salt"]).where("id <> first").select("first", F.col("id").alias("other"))
+    mixed = groups.where("not same").select("h1", "h2")
+    if mixed.isEmpty():
+        return found
+    # records of other fields under one fingerprint: the fields are the key
+    rest = records.select(key.alias("id"), h1.alias("h1"), h2.alias("h2"), fields.alias("fields")).join(mixed.hint("shuffle_hash"), ["h1", "h2"], "left_semi")
+    by_fields = rest.groupBy("fields").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fields", "first")
+    return found.unionByName(rest.join(by_fields, "fields").where("id <> first").select("first", F.col("id").alias("other")))
 
 
 def distinct_records(records: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
