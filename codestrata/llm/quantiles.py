@@ -85,53 +85,18 @@ def _followed(hist: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame
     return joined.select(*keys, "p", "total", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), F.col("prefix").alias("parent"))
 
 
-def radix_percentiles(measured: DataFrame, groups: list[str], probs: list[float], digits: int = KEY_BITS // DIGIT_BITS) -> DataFrame:
-    """(groups..., metric, p, value, n, error_bound): the value of rank ceil(p * n) of each group.
-
-    Radix selection: digit by digit, each pass counts the next 16 bits of those keys only that share the followed
-    prefix with some target rank, then follows the digit that contains the rank. Counts combine before the
-    shuffle, so a group with a third of all rows costs its distinct digits. With all four digits the value is
-    exact and the bound 0; with fewer, the value is the lower end of the digit and ``error_bound`` its width.
-
-    A group without measurements gives no row. Ties are the same key.
-    """
-    keys = [*groups, "metric"]
-    shift = KEY_BITS - DIGIT_BITS
-    count = F.count(F.lit(1)).alias("n")
-    hist = measured.groupBy(*keys, F.shiftright("key", shift).alias("prefix")).agg(count).withColumn("parent", F.lit(0).cast("long"))
-    total = hist.groupBy(*keys).agg(F.sum("n").alias("total"))
+def _start(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """The target ranks of each group, ceil(p * n), with no digit followed yet."""
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
     targets = total.select(*keys, "total", ps).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.round(F.col("p") * F.col("total"), 9))).cast("long"))
-    # each pass uses the last one's result twice; written out, the plan stays of one size
-    targets = checkpointed(_followed(hist, targets.withColumn("parent", F.lit(0).cast("long")), keys))
-    for _ in range(digits - 1):
-        parents = small_side(targets.select(*keys, "parent").distinct())
-        live = measured.select(*keys, "key", F.shiftright("key", shift).alias("parent")).join(parents, [*keys, "parent"], "left_semi")
-        shift -= DIGIT_BITS
-        hist = live.groupBy(*keys, "parent", F.shiftright("key", shift).alias("prefix")).agg(count)
-        targets = checkpointed(_followed(hist, targets, keys))
-    low = F.shiftleft("parent", shift)
-    if shift:
-        width = value_of_key(low + F.lit((1 << shift) - 1)) - value_of_key(low)
-    else:
-        width = F.lit(0.0)
-    return targets.select(*keys, "p", value_of_key(low).alias("value"), F.col("total").alias("n"), width.alias("error_bound"))
-
+    return targets.withColumn("parent", F.lit(0).cast("long"))
 
-def percentiles(histograms: DataFrame, groups: list[str], probs: list[float], digits: int = 2) -> DataFrame:
-    """(groups..., metric, p, value, n, error_bound) from partial results of ``daily_histograms``; no raw row is read.
 
-    ``histograms`` holds the counts of any days, partitions or clusters, each once (``combine`` adds them); ``digits``
-    is what they were made with. Ranks are followed digit by digit over the added counts, as in
-    ``radix_percentiles``: the value is the lower end of the last digit and ``error_bound`` its width, so the exact
-    percentile lies within [value, value + error_bound]. A group without measurements gives no row.
-    """
-    keys = [*groups, "metric"]
+def _in_partials(histograms: DataFrame, keys: list[str], probs: list[float], digits: int) -> DataFrame:
+    """Target ranks followed through all ``digits`` digits of added partial results."""
     counts = checkpointed(combine(histograms))
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    targets = total.select(*keys, "total", ps).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.round(F.col("p") * F.col("total"), 9))).cast("long"))
-    targets = targets.withColumn("parent", F.lit(0).cast("long"))
+    targets = _start(counts, keys, probs)
     for left in reversed(range(digits)):
         # the top digit has no parent; below, only counts under a followed prefix are added up
         parent = F.lit(0).cast("long") if left == digits - 1 else F.shiftright("prefix", DIGIT_BITS * (left + 1))
@@ -140,7 +105,44 @@ def percentiles(histograms: DataFrame, groups: list[str], probs: list[float], di
             live = live.join(small_side(targets.select(*keys, "parent").distinct()), [*keys, "parent"], "left_semi")
         hist = live.groupBy(*keys, "parent", F.shiftright("prefix", DIGIT_BITS * left).alias("prefix")).agg(F.sum("n").alias("n"))
         targets = checkpointed(_followed(hist, targets, keys))
-    shift = KEY_BITS - DIGIT_BITS * digits
+    return targets
+
+
+def _result(targets: DataFrame, keys: list[str], shift: int) -> DataFrame:
     low = F.shiftleft("parent", shift)
-    width = value_of_key(low + F.lit((1 << shift) - 1)) - value_of_key(low)
+    width = value_of_key(low + F.lit((1 << shift) - 1)) - value_of_key(low) if shift else F.lit(0.0)
     return targets.select(*keys, "p", value_of_key(low).alias("value"), F.col("total").alias("n"), width.alias("error_bound"))
+
+
+def percentiles(histograms: DataFrame, groups: list[str], probs: list[float], digits: int = 2) -> DataFrame:
+    """(groups..., metric, p, value, n, error_bound) from partial results of ``daily_histograms``; no raw row is read.
+
+    ``histograms`` holds the counts of any days, partitions or clusters, each once (``combine`` adds them); ``digits``
+    is what they were made with. Radix selection over the added counts: digit by digit, only the digit that contains
+    the rank ceil(p * n) is followed. The value is the lower end of the last digit and ``error_bound`` its width, so the
+    exact percentile lies within [value, value + error_bound]. A group without measurements gives no row.
+    """
+    keys = [*groups, "metric"]
+    return _result(_in_partials(histograms, keys, probs, digits), keys, KEY_BITS - DIGIT_BITS * digits)
+
+
+def radix_percentiles(measured: DataFrame, groups: list[str], probs: list[float], partials: DataFrame | None = None, digits: int = 2) -> DataFrame:
+    """(groups..., metric, p, value, n, error_bound 0.0): the exact value of rank ceil(p * n) of each group.
+
+    The leading ``digits`` digits are followed in the partial results by day (``partials``; made here if not given), the rest
+    in the rows: each pass counts the next 16 bits of those keys only that share a followed prefix with some target
+    rank, two passes after two digits. Counts combine before the shuffle, so a group with a third of all rows costs
+    its distinct digits.
+
+    A group without measurements gives no row. Ties are the same key.
+    """
+    keys = [*groups, "metric"]
+    targets = _in_partials(daily_histograms(measured, groups, digits) if partials is None else partials, keys, probs, digits)
+    shift = KEY_BITS - DIGIT_BITS * digits
+    while shift:
+        parents = small_side(targets.select(*keys, "parent").distinct())
+        live = measured.select(*keys, "key", F.shiftright("key", shift).alias("parent")).join(parents, [*keys, "parent"], "left_semi")
+        shift -= DIGIT_BITS
+        hist = live.groupBy(*keys, "parent", F.shiftright("key", shift).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        targets = checkpointed(_followed(hist, targets, keys))
+    return _result(targets, keys, 0)

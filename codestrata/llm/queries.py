@@ -64,11 +64,11 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return quantiles.radix_percentiles(_runs(spark, sf), ["corpus", "stage"], PROBS)
+    return quantiles.radix_percentiles(_runs(spark, sf), ["corpus", "stage"], PROBS, p7_daily(spark, sf))
 
 
 def p7_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return quantiles.radix_percentiles(_scores(spark, sf), ["tool"], PROBS)
+    return quantiles.radix_percentiles(_scores(spark, sf), ["tool"], PROBS, p7_scores_daily(spark, sf))
 
 
 def p7_daily(spark: SparkSession, sf: str) -> DataFrame:
