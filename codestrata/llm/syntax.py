@@ -3,13 +3,12 @@
 Each lexer splits a text into tokens, keeps open brackets, blocks and strings on a stack and reports what no valid
 text of its language has: conflict markers, unterminated literals and comments, unbalanced delimiters, premature
 ends, and tokens that cannot stand side by side (as where a file holds another language than its name says).
-Python and JSON, whose grammars the platform brings, are then confirmed by an exact parse.
+What they find in Python is then confirmed by an exact parse.
 """
 
 from __future__ import annotations
 
 import ast
-import json
 import re
 import warnings
 from dataclasses import dataclass
@@ -57,14 +56,15 @@ _NUM = r"\.?\d(?:[eEpP][+-]|[\w.])*"
 _C_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
 
 _LEX = {
-    "javascript": rf"(?P<ws>[ \t\r\f\v\xa0﻿]+)|(?P<nl>\n)|(?P<com>{_C_COMMENT})|(?P<str>{_STRING}|{_CHAR})|(?P<id>[#@]?[$_a-zA-Z\x80-￿][\w$]*)|(?P<num>{_NUM})|(?P<op>=>|\?\.(?!\d)|\?\?=?|\.\.\.|[-+*/%&|^<>=!]=*|&&|\|\||[\s\S])",
-    "java": rf"(?P<ws>[ \t\r\f]+)|(?P<nl>\n)|(?P<com>{_C_COMMENT})|(?P<str>\"\"\"[\s\S]*?\"\"\"|{_STRING}|'(?:[^'\\\n]|\\u+[0-9a-fA-F]{{4}}|\\[0-7]{{1,3}}|\\.)')|(?P<id>@?[$_a-zA-Z\x80-￿][\w$]*)|(?P<num>{_NUM})|(?P<op>->|::|\.\.\.|[\s\S])",
-    "c": rf"(?P<ws>(?:[ \t\r\f]|\\\r?\n)+)|(?P<nl>\n)|(?P<com>{_C_COMMENT})|(?P<str>(?:u8|[LuU])?{_STRING}|[LuU]?'(?:[^'\\\n]|\\.){{1,4}}')|(?P<id>[$_a-zA-Z\x80-￿][\w$]*)|(?P<num>{_NUM})|(?P<op>->|\.\.\.|[\s\S])",
-    "go": rf"(?P<ws>[ \t\r\f]+)|(?P<nl>\n)|(?P<com>{_C_COMMENT})|(?P<str>{_STRING}|`[^`]*`|'(?:[^'\\\n]|\\[0-7]{{3}}|\\x..|\\u.{{4}}|\\U.{{8}}|\\.)')|(?P<id>[_a-zA-Z\x80-￿]\w*)|(?P<num>{_NUM})|(?P<op>:=|<-|\.\.\.|\+\+|--|&&|\|\||[-+*/%&|^<>=!]=+|[\s\S])",
-    "php": rf"(?P<ws>[ \t\r\f]+)|(?P<nl>\n)|(?P<com>{_C_COMMENT}|\#(?!\[)[^\n]*)|(?P<str>\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\]|\\[\s\S])*')|(?P<id>\$*[_a-zA-Z\x80-￿\\][\w\\]*)|(?P<num>{_NUM})|(?P<op>=>|->|\?->|::|\?\?=?|\.\.\.|[\s\S])",
-    "terraform": rf"(?P<ws>[ \t\r\f]+)|(?P<nl>\n)|(?P<com>{_C_COMMENT}|\#[^\n]*)|(?P<id>[_a-zA-Z\x80-￿][\w-]*)|(?P<num>\d[\d.]*(?:[eE][+-]?\d+)?)|(?P<op>=>|==|!=|<=|>=|&&|\|\||\.\.\.|[\s\S])",
+    "javascript": (r"[ \t\r\f\v\xa0﻿]+", rf"{_C_COMMENT}", rf"(?P<str>{_STRING}|{_CHAR})|(?P<id>[#@]?[$_a-zA-Z\x80-￿][\w$]*)|(?P<num>{_NUM})|(?P<op>=>|\?\.(?!\d)|\?\?=?|\.\.\.|[-+*/%&|^<>=!]=*|&&|\|\||[\s\S])"),
+    "java": (r"[ \t\r\f]+", rf"{_C_COMMENT}", rf"(?P<str>\"\"\"[\s\S]*?\"\"\"|{_STRING}|'(?:[^'\\\n]|\\u+[0-9a-fA-F]{{4}}|\\[0-7]{{1,3}}|\\.)')|(?P<id>@?[$_a-zA-Z\x80-￿][\w$]*)|(?P<num>{_NUM})|(?P<op>->|::|\.\.\.|[\s\S])"),
+    "c": (r"(?:[ \t\r\f]|\\\r?\n)+", rf"{_C_COMMENT}", rf"(?P<str>(?:u8|[LuU])?{_STRING}|[LuU]?'(?:[^'\\\n]|\\.){{1,4}}')|(?P<id>[$_a-zA-Z\x80-￿][\w$]*)|(?P<num>{_NUM})|(?P<op>->|\.\.\.|[\s\S])"),
+    "go": (r"[ \t\r\f]+", rf"{_C_COMMENT}", rf"(?P<str>{_STRING}|`[^`]*`|'(?:[^'\\\n]|\\[0-7]{{3}}|\\x..|\\u.{{4}}|\\U.{{8}}|\\.)')|(?P<id>[_a-zA-Z\x80-￿]\w*)|(?P<num>{_NUM})|(?P<op>:=|<-|\.\.\.|\+\+|--|&&|\|\||[-+*/%&|^<>=!]=+|[\s\S])"),
+    "php": (r"[ \t\r\f]+", rf"{_C_COMMENT}|\#(?!\[)[^\n]*", rf"(?P<str>\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\]|\\[\s\S])*')|(?P<id>\$*[_a-zA-Z\x80-￿\\][\w\\]*)|(?P<num>{_NUM})|(?P<op>=>|->|\?->|::|\?\?=?|\.\.\.|[\s\S])"),
+    "terraform": (r"[ \t\r\f]+", rf"{_C_COMMENT}|\#[^\n]*", rf"(?P<id>[_a-zA-Z\x80-￿][\w-]*)|(?P<num>\d[\d.]*(?:[eE][+-]?\d+)?)|(?P<op>=>|==|!=|<=|>=|&&|\|\||\.\.\.|[\s\S])"),
 }
-_LEX = {k: re.compile(v) for k, v in _LEX.items()}
+# white space and comments stand before a token
+_LEX = {k: re.compile(rf"(?:{ws}|{com})*+(?:(?P<nl>\n)|{rest}|\Z)") for k, (ws, com, rest) in _LEX.items()}
 
 _JS_NUM = re.compile(r"0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*)?\.?\d[\d_]*(?:\.?(?:[eE][+-]?\d+)?)n?|\d+\.(?:[eE][+-]?\d+)?")
 # Words after which an operand may stand on the same line.
@@ -111,14 +111,10 @@ def tokens(text: str, lang: str) -> list[Token]:
         at = text.find("\n") if "\n" in text else n
     while at < n:
         m = lex(text, at)
-        kind, part = m.lastgroup, m.group()
-        if kind == "ws" or kind == "com":
-            at = m.end()
-            continue
-        if kind == "nl":
-            out.append(Token("nl", part, at))
-            at = m.end()
-            continue
+        kind = m.lastgroup
+        if kind is None:
+            break
+        part, at = m.group(kind), m.start(kind)
         if kind == "op":
             c = part[0]
             if c == "/" and text.startswith("/*", at):
@@ -223,19 +219,26 @@ def balanced(toks: list[Token]) -> list[int]:
 _NEEDS_MORE = _set("= + - * / % & | ^ < > ! ? : , . => && || == === != !== <= >= += -= *= /= ?? ?. :: -> := <- ...")
 
 
+_JS_ASKS = _JS_PARENS | _set("enum interface import")
+_JS_HEADERS = _set("class interface enum namespace module extends implements declare global")
+_JS_TYPED = _set(": | & is => keyof")
+
+
 def check_js(text: str, lang: str) -> None:
     toks = tokens(text, lang)
     partner = balanced(toks)
     ts = lang == "typescript"
     known = _TS_WORDS if ts else _JS_WORDS
-    prev = None  # last token that is no newline
+    prev, at_prev = None, -1  # last token that is no newline
     broke = False  # newline since
+    in_case = headed = False  # since the statement began: case, default or ?; a word that opens a class or the like
+    typed = [False]  # for each open bracket, whether its statement has an annotation so far
     block_like: dict[int, bool] = {}  # opening brace -> block, not object
     enclosing: list[int] = []
     header_end: set[int] = set()
     for i, t in enumerate(toks):
         if t.kind == "nl":
-            broke = True
+            broke, in_case, headed = True, False, headed and ts
             continue
         p = prev
         if t.kind == "num" and not _JS_NUM.fullmatch(t.text):
@@ -245,24 +248,26 @@ def check_js(text: str, lang: str) -> None:
         operand = t.kind in ("num", "str") or (t.kind == "id" and t.text not in known) or (t.kind == "id" and t.text in _JS_VALUES)
         if p is not None and not broke and operand:
             before = p.kind in ("num", "str", "part") or (p.kind == "id" and (p.text not in known or p.text in _JS_VALUES)) or p.text == "]"
-            if p.text == ")" and partner[toks.index(p, max(0, i - 3))] not in header_end:
+            if p.text == ")" and partner[at_prev] not in header_end:
                 before = before or t.kind != "id" or not ts
             if before and not (t.kind == "str" and t.text[0] == "`"):
                 if not (ts and p.kind == "id" and p.text in known):
                     raise Broken("foreign token", t.at, f"{p.text[:20]} {t.text[:20]}")
         if t.kind == "id":
-            nxt = _next(toks, i)
+            following = _next(toks, i) if t.text in _JS_ASKS else -1
+            nxt = toks[following] if following >= 0 else None
             if t.text in _JS_PARENS and not (p and p.text in (".", "?.")) and nxt is not None:
                 ok = nxt.text == "(" or nxt.text in (":", ",", "=", "}", ";", ")", "?") or (t.text == "for" and nxt.text == "await") or (t.text == "catch" and nxt.text == "{")
                 if not ok:
                     raise Broken("foreign token", t.at, t.text)
                 if nxt.text == "(":
-                    header_end.add(toks.index(nxt, i))
+                    header_end.add(following)
             if not ts and t.text in ("enum", "interface") and nxt is not None and nxt.kind == "id":
                 raise Broken("foreign token", t.at, t.text)
             if t.text == "import" and not enclosing and not (p and p.text in (".", "?.")) and (p is None or broke or p.text == ";") and nxt is not None:
                 if nxt.kind == "id":
-                    after = _next(toks, toks.index(nxt, i))
+                    k = _next(toks, following)
+                    after = toks[k] if k >= 0 else None
                     if not ts and nxt.text == "type" and after and after.text == "{":
                         raise Broken("foreign token", t.at, "import type")
                     if after is None or after.text not in ("from", ",", "=", "{", "*") and after.kind != "id":
@@ -277,20 +282,39 @@ def check_js(text: str, lang: str) -> None:
                 if p is not None and p.text == ":" and enclosing and block_like.get(enclosing[-1]):
                     block = False
                 block_like[i] = block
-                if p is not None and p.kind == "id" and not broke and p.text not in known and not _class_header(toks, i, ts):
+                if p is not None and p.kind == "id" and not broke and p.text not in known and not (headed or (ts and any(typed[-1:]))):
                     raise Broken("foreign token", t.at, p.text + " {")
                 enclosing.append(i)
             elif t.text in ("(", "[", "${"):
                 enclosing.append(i)
             elif t.text in (")", "]", "}", "}$"):
                 enclosing.pop()
-            elif t.text == ":" and not ts and p is not None and p.kind == "str" and enclosing and block_like.get(enclosing[-1]) and not _in_case(toks, i):
+            elif t.text == ":" and not ts and p is not None and p.kind == "str" and enclosing and block_like.get(enclosing[-1]) and not in_case:
                 raise Broken("foreign token", t.at, "key in block")
-            elif t.text == ":" and not ts and p is not None and _annotates(toks, partner, i, enclosing):
+            elif t.text == ":" and not ts and p is not None and _annotates(toks, partner, i, enclosing, in_case):
                 raise Broken("foreign token", t.at, "type annotation")
             elif t.text in ("<", ">", "*", "%", "=", "==", "===", "=>", ",", ".", "&&", "||", ")") and (p is None or (p.kind == "op" and p.text in (";", "{"))) and not (t.text == ")" or (p and p.text == "{" and t.text in ("*", "<"))):
                 raise Broken("foreign token", t.at, t.text)
-        prev, broke = t, False
+        if t.kind == "op":
+            if t.text in (";", "{", "}", "="):
+                headed = False
+            if t.text in (";", "{", "}"):
+                in_case = False
+            in_case = in_case or t.text == "?"
+            if t.text in ("(", "[", "{", "${"):
+                typed.append(False)
+            elif t.text in (")", "]", "}", "}$"):
+                typed.pop()
+                typed[-1] = typed[-1] and t.text != "}"
+            elif t.text == ";":
+                typed[-1] = False
+            elif t.text in _JS_TYPED:
+                typed[-1] = True
+        elif t.kind == "id":
+            headed = headed or t.text in _JS_HEADERS
+            in_case = in_case or t.text in ("case", "default")
+            typed[-1] = typed[-1] or t.text in _JS_TYPED
+        prev, at_prev, broke = t, i, False
     if prev is not None and ((prev.kind == "op" and prev.text in _NEEDS_MORE) or (prev.kind == "id" and prev.text in ("const", "let", "var", "function", "class", "new", "import", "export", "from", "extends", "typeof", "async") and (len(toks) > 1))):
         raise Broken("premature end", prev.at, prev.text)
     _js_tail(toks)
@@ -319,42 +343,21 @@ def _is_function_header(toks: list[Token]) -> bool:
     return False
 
 
-def _next(toks: list[Token], i: int) -> Token | None:
+def _next(toks: list[Token], i: int) -> int:
+    """Index of the next token that is no newline, or -1."""
     for j in range(i + 1, len(toks)):
         if toks[j].kind != "nl":
-            return toks[j]
-    return None
-
-
-def _class_header(toks: list[Token], i: int, ts: bool) -> bool:
-    """Whether the brace at i opens the body of a class, interface, enum, namespace or labelled type."""
-    for j in range(i - 1, max(-1, i - 60), -1):
-        x = toks[j].text
-        if x in ("class", "interface", "enum", "namespace", "module", "extends", "implements", "declare", "global"):
-            return True
-        if x in (";", "{", "}", "=") or (toks[j].kind == "nl" and not ts):
-            break
-    # after a type annotation of a function, ": Name {"
-    return ts and any(t.text in (":", "|", "&", "is", "=>", "keyof") for t in toks[max(0, i - 12) : i])
-
-
-def _in_case(toks: list[Token], i: int) -> bool:
-    for j in range(i - 1, max(-1, i - 40), -1):
-        x = toks[j].text
-        if x in ("case", "default", "?"):
-            return True
-        if x in (";", "{", "}") or toks[j].kind == "nl":
-            return False
-    return False
+            return j
+    return -1
 
 
-def _annotates(toks: list[Token], partner: list[int], i: int, enclosing: list[int]) -> bool:
+def _annotates(toks: list[Token], partner: list[int], i: int, enclosing: list[int], in_case: bool) -> bool:
     """Whether the colon at i annotates a parameter or a result with a type, which plain scripts lack."""
     p = toks[i - 1]
     if p.text == ")" and partner[i - 1] > 0:
         o = partner[i - 1]
         named = toks[o - 1].kind == "id" and o > 1 and toks[o - 2].text in ("function", "async", "*")
-        return named and not _in_case(toks, i)
+        return named and not in_case
     if enclosing and toks[enclosing[-1]].text == "(" and p.kind == "id":
         o = enclosing[-1]
         return o > 1 and toks[o - 1].kind == "id" and toks[o - 2].text == "function" and toks[i - 2].text in ("(", ",")
@@ -635,105 +638,146 @@ def _same_line(text: str, a: Token, b: Token) -> bool:
 
 
 _PY = re.compile(
-    r"""(?P<ws>[ \t\r\f]+|\\\r?\n)|(?P<nl>\n)|(?P<com>\#[^\n]*)
-    |(?P<str>[rRbBuUfFtT]{0,2}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|"(?!"")(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"|'(?!'')(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'))
-    |(?P<id>[^\W\d]\w*)|(?P<num>\.?\d(?:[eE][+-]|[\w.])*)|(?P<op>:=|->|\*\*=?|//=?|<<=?|>>=?|[-+*/%&|^<>=!@]=|\.\.\.|[\s\S])""",
+    r"""(?:[ \t\r\f]|\\\r?\n)*+(?:(\n)|(\#[^\n]*)
+    |([rRbBuUfFtT]{0,2}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|"(?!"")(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"|'(?!'')(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'))
+    |([^\W\d]\w*)|(\.?\d(?:[eE][+-]|[\w.])*)|(:=|->|\*\*=?|//=?|<<=?|>>=?|[-+*/%&|^<>=!@]=|\.\.\.|[\s\S]))""",
     re.X,
 )
+_PY_NL, _PY_COMMENT, _PY_STR, _PY_ID, _PY_NUMBER, _PY_OP = range(1, 7)
 _PY_NUM = re.compile(r"0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d+)?[jJ]?|\d+\.(?:[eE][+-]?\d+)?[jJ]?")
-_PY_WORDS = _set("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type print exec")
+_PY_WORDS = _set("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield")
+_PY_SOFT = _set("match case type")
 _PY_OPENERS = _set("class def elif else except finally for if try while with async")
+_PY_HEADS = _set("( [ { - + ~ @ * ...")
+_PY_BINARY = _set("/ // % | & ^ << >> < > == != <= >= = += -= *= /= //= %= &= |= ^= <<= >>= **= @= ->")
+_PY_WANTS = _set("= + - * / % & | ^ < > == != <= >= << >> ** // ( [ { , += -= *= /=")
+_PY_DANGLING = _set("= + - * / . % @ -> and or import from in not is lambda def class")
 
 
 def check_python(text: str, lang: str) -> None:
-    toks: list[Token] = []
-    at, n = 0, len(text)
-    while at < n:
-        m = _PY.match(text, at)
-        kind = m.lastgroup
-        if kind == "op" and m.group() in ('"', "'"):
-            raise Broken("unterminated literal", at)
-        if kind == "op" and m.group() in ("$", "?", "`", "\\"):
-            raise Broken("foreign token", at, m.group())
-        if kind == "num" and not _PY_NUM.fullmatch(m.group()):
-            raise Broken("foreign token", at, m.group())
-        if kind not in ("ws", "com"):
-            toks.append(Token(kind, m.group(), at))
-        at = m.end()
-    balanced(toks)
-    # logical lines: indentation is the second stack
-    indents, depth, opened = [0], 0, False
-    line: list[Token] = []
-    for t in [*toks, Token("nl", "\n", n)]:
-        if t.kind == "op":
-            depth += (t.text in OPEN) - (t.text in CLOSE)
-        if t.kind != "nl":
-            line.append(t)
+    """Brackets on one stack, indentation on another; of each logical line what may stand side by side, and its ends."""
+    stack: list[tuple[str, int]] = []
+    indents, opened = [0], False
+    first = prev = ""  # texts of the line's first and last token; empty where it has none
+    first_at = prev_at = prev_kind = 0
+    colon = False
+    for m in _PY.finditer(text):
+        kind = m.lastindex
+        if kind == _PY_COMMENT:
             continue
-        if depth or not line:
+        if kind == _PY_NL:
+            if first and not stack:
+                opened = _python_line(text, indents, opened, first, first_at, prev, prev_kind, prev_at, colon)
+                first = prev = ""
+                prev_kind, colon = 0, False
             continue
-        begin = text.rfind("\n", 0, line[0].at) + 1
-        width = len(text[begin : line[0].at].expandtabs(8))
-        if opened and width <= indents[-1]:
-            raise Broken("premature end", line[0].at, "block without body")
-        if opened:
-            indents.append(width)
-        elif width > indents[-1]:
-            raise Broken("unbalanced delimiter", line[0].at, "unexpected indent")
+        part, at = m.group(kind), m.start(kind)
+        operand = False
+        if kind == _PY_OP:
+            if part in "\"'":
+                raise Broken("unterminated literal", at)
+            if part in "$?`\\!" or part == "\0":
+                raise Broken("foreign token", at, part)
+            if part in OPEN:
+                stack.append((part, at))
+            elif part in CLOSE:
+                if not stack:
+                    raise Broken("unbalanced delimiter", at, part)
+                if stack.pop()[0] != CLOSE[part]:
+                    raise Broken("unbalanced delimiter", at, part)
+            elif part == ":":
+                colon = True
+            if not first and part not in _PY_HEADS:
+                raise Broken("foreign token", at, part)
+            if part in _PY_BINARY and prev_kind == _PY_OP and prev in _PY_WANTS and not (part == "/" and prev in "(,"):
+                raise Broken("foreign token", at, f"{prev} {part}")
+        elif kind == _PY_NUMBER:
+            if not _PY_NUM.fullmatch(part):
+                raise Broken("foreign token", at, part)
+            operand = True
+        elif kind == _PY_STR:
+            operand = prev_kind != _PY_STR
         else:
-            while width < indents[-1]:
-                indents.pop()
-            if width != indents[-1]:
-                raise Broken("unbalanced delimiter", line[0].at, "indent matches no block")
-        for a, b in zip(line, line[1:], strict=False):
-            left = a.kind in ("num", "str") or (a.kind == "id" and a.text not in _PY_WORDS) or a.text in (")", "]", "}")
-            right = b.kind in ("num",) or (b.kind == "id" and b.text not in _PY_WORDS) or (b.kind == "str" and a.kind != "str")
-            if left and right:
-                raise Broken("foreign token", b.at, f"{a.text[:20]} {b.text[:20]}")
-        if line[0].text in _PY_OPENERS and line[-1].text != ":" and not any(x.text == ":" for x in line):
-            raise Broken("premature end", line[-1].at, line[0].text)
-        opened = line[-1].text == ":" and line[0].text in _PY_OPENERS | {"match", "case"}
-        if line[-1].kind == "op" and line[-1].text in ("=", "+", "-", "*", "/", ".", "%", "@", "->", "and", "or") or line[-1].text in ("import", "from", "in", "not", "and", "or", "is", "lambda", "def", "class"):
-            raise Broken("premature end", line[-1].at, line[-1].text)
-        line = []
+            operand = part not in _PY_WORDS
+        if operand and prev_kind and (prev in ")]}" if prev_kind == _PY_OP else prev_kind != _PY_ID or not (prev in _PY_WORDS or (prev in _PY_SOFT and prev_at == first_at))):
+            raise Broken("foreign token", at, f"{prev[:20]} {part[:20]}")
+        if not first:
+            first, first_at = part, at
+        prev, prev_kind, prev_at = part, kind, at
+    if stack:
+        raise Broken("premature end", stack[-1][1], stack[-1][0])
+    if first:
+        opened = _python_line(text, indents, opened, first, first_at, prev, prev_kind, prev_at, colon)
     if opened:
-        raise Broken("premature end", n, "block without body")
+        raise Broken("premature end", len(text), "block without body")
 
 
-def exact_python(text: str) -> Problem | None:
+def _python_line(text: str, indents: list[int], opened: bool, first: str, first_at: int, last: str, last_kind: int, last_at: int, colon: bool) -> bool:
+    """Fits one logical line into the open blocks; whether it opens a block itself."""
+    width = len(text[text.rfind("\n", 0, first_at) + 1 : first_at].expandtabs(8))
+    if opened:
+        if width <= indents[-1]:
+            raise Broken("premature end", first_at, "block without body")
+        indents.append(width)
+    elif width > indents[-1]:
+        raise Broken("unbalanced delimiter", first_at, "unexpected indent")
+    else:
+        while width < indents[-1]:
+            indents.pop()
+        if width != indents[-1]:
+            raise Broken("unbalanced delimiter", first_at, "indent matches no block")
+    if first in _PY_OPENERS and not colon:
+        raise Broken("premature end", last_at, first)
+    if last_kind in (_PY_OP, _PY_ID) and last in _PY_DANGLING:
+        raise Broken("premature end", last_at, last)
+    return last == ":" and (first in _PY_OPENERS or first in _PY_SOFT)
+
+
+def refuted_python(text: str) -> bool:
+    """Whether the platform's parser takes a text; what ends at one of its limits is not refuted."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return ("grammar", 0, str(e)[:80])
-    return None
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
+_JSON = re.compile(r'[ \t\r\n]*+(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|((?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)(?![\w.]))|([\[\]{},:]))')
 
 
 def check_json(text: str, lang: str) -> None:
-    at, stack = 0, []
-    lex = re.compile(r"[ \t\r\n]+|" + _STRING + r"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|[\[\]{},:]").match
-    while at < len(text):
-        m = lex(text, at)
+    """The grammar of JSON as a pushdown automaton: what may come next is the state, open lists and objects the stack."""
+    at, stack, want = 0, [], "value"
+    while True:
+        m = _JSON.match(text, at)
         if not m:
-            raise Broken("unterminated literal" if text[at] == '"' else "foreign token", at, text[at : at + 20])
-        c = m.group()
-        if c in OPEN:
+            rest = text[at:].lstrip(" \t\r\n")
+            at = len(text) - len(rest)
+            if rest:
+                raise Broken("unterminated literal" if rest[0] == '"' else "foreign token", at, rest[:20])
+            break
+        kind, at = m.lastindex, m.end()
+        c = m.group(kind)
+        if kind == 1 and want in ("key", "key or }"):
+            want = ":"
+        elif kind != 3 and want in ("value", "value or ]"):
+            want = ", or close" if stack else "end"
+        elif c in OPEN and want in ("value", "value or ]") and c != "(":
             stack.append(c)
-        elif c in CLOSE:
-            if not stack or stack.pop() != CLOSE[c]:
-                raise Broken("unbalanced delimiter", at, c)
-        at = m.end()
-    if stack:
-        raise Broken("premature end", at, stack[-1])
-
-
-def exact_json(text: str) -> Problem | None:
-    try:
-        json.loads(text)
-    except (ValueError, RecursionError) as e:
-        return ("grammar", 0, str(e)[:80])
-    return None
+            want = "value or ]" if c == "[" else "key or }"
+        elif c in CLOSE and stack and stack[-1] == CLOSE[c] and want in (", or close", "value or ]", "key or }"):
+            stack.pop()
+            want = ", or close" if stack else "end"
+        elif c == ":" and want == ":":
+            want = "value"
+        elif c == "," and want == ", or close":
+            want = "value" if stack[-1] == "[" else "key"
+        else:
+            raise Broken("unbalanced delimiter" if c in CLOSE else "foreign token", m.start(kind), f"{c[:20]} for {want}")
+    if want != "end":
+        raise Broken("premature end", at, want)
 
 
 _YAML_KEY = re.compile(r"""(?:[^\s#&*!|>'"%@`\[\]{},-][^#\n]*?|-[^\s][^\n#]*?|"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|\?)[ \t]*:(?=\s|$)""")
@@ -971,7 +1015,8 @@ def check_ruby(text: str, lang: str) -> None:
 
 def _endless(toks: list[Token], i: int) -> bool:
     depth = 0
-    for t in toks[i + 1 : i + 60]:
+    for j in range(i + 1, len(toks)):
+        t = toks[j]
         if t.kind == "nl":
             return False
         if t.kind == "op":
@@ -1186,23 +1231,7 @@ def check_shell(text: str, lang: str) -> None:
 
 
 def _sh_double(text: str, at: int) -> int:
-    n = len(text)
-    while at < n:
-        c = text[at]
-        if c == "\\":
-            at += 2
-        elif c == '"':
-            return at + 1
-        elif c == "$":
-            at = _sh_dollar(text, at)
-        elif c == "`":
-            e = text.find("`", at + 1)
-            if e < 0:
-                raise Broken("unterminated literal", at, "`")
-            at = e + 1
-        else:
-            at += 1
-    raise Broken("unterminated literal", n, '"')
+    return _sh_nested(text, at, '"')
 
 
 def _sh_dollar(text: str, at: int) -> int:
@@ -1214,39 +1243,50 @@ def _sh_dollar(text: str, at: int) -> int:
             raise Broken("unterminated literal", at, "$'")
         return m.end()
     if nxt not in ("{", "("):
-        m = re.compile(r"\$(?:\w+|[@*#?$!-])?").match(text, at)
-        return m.end()
-    close = {"{": "}", "(": ")"}[nxt]
-    depth, i, n = 1, at + 2, len(text)
-    while i < n:
-        c = text[i]
+        return re.compile(r"\$(?:\w+|[@*#?$!-])?").match(text, at).end()
+    return _sh_nested(text, at + 2, nxt)
+
+
+def _sh_nested(text: str, at: int, what: str) -> int:
+    """End of a double-quoted text, ${...} or $(...) whose inside begins at ``at``; what nests in it goes on a stack."""
+    stack = [[what, 1, at]]
+    i, n = at, len(text)
+    while stack:
+        top = stack[-1]
+        if i >= n:
+            raise Broken("unterminated literal", n, '"') if top[0] == '"' else Broken("premature end", top[2], "$" + top[0])
+        c, quoted = text[i], top[0] == '"'
         if c == "\\":
             i += 2
-            continue
-        if c == "'" and nxt == "(":
-            e = text.find("'", i + 1)
+        elif c == "$" and text[i + 1 : i + 2] in ("{", "("):
+            stack.append([text[i + 1], 1, i])
+            i += 2
+        elif c == "$" and quoted:
+            i = _sh_dollar(text, i)
+        elif c == '"':
+            if quoted:
+                stack.pop()
+            else:
+                stack.append(['"', 1, i])
+            i += 1
+        elif (c == "`" and quoted) or (c == "'" and top[0] == "("):
+            e = text.find(c, i + 1)
             if e < 0:
-                raise Broken("unterminated literal", i, "'")
+                raise Broken("unterminated literal", i, c)
             i = e + 1
-            continue
-        if c == '"':
-            i = _sh_double(text, i + 1)
-            continue
-        if c == "$" and text[i + 1 : i + 2] in ("{", "("):
-            i = _sh_dollar(text, i)
-            continue
-        depth += (c == nxt) - (c == close)
-        i += 1
-        if not depth:
-            return i
-    raise Broken("premature end", at, "$" + nxt)
+        else:
+            if not quoted:
+                top[1] += (c == top[0]) - (c == ("}" if top[0] == "{" else ")"))
+                if not top[1]:
+                    stack.pop()
+            i += 1
+    return i
 
 
 CHECKS = {
     "python": check_python, "javascript": check_js, "typescript": check_js, "java": check_java, "go": check_go, "c": check_c, "ruby": check_ruby, "php": check_php,
     "shell": check_shell, "terraform": check_hcl, "yaml": check_yaml, "json": check_json,
 }
-EXACT = {"python": exact_python, "json": exact_json}
 
 
 def _marker(text: str, lang: str) -> Problem | None:
@@ -1269,25 +1309,24 @@ def language_of(path: str | None) -> str | None:
 
 
 def first_problem(text: str | None, path: str | None) -> Problem | None:
-    """What makes a text no valid text of the language of its path; None for valid, null and empty texts and other files."""
+    """What makes a text no valid text of the language of its path; None for valid, null and empty texts and other files.
+
+    The lexers find every problem. For Python, whose parser is at hand, what they found is checked by it afterwards
+    and dropped where it parses.
+    """
     lang = language_of(path)
     if not text or not text.strip() or lang is None:
         return None
-    text = text.removeprefix("﻿")
+    text = text.removeprefix("\ufeff")
     found = None
     try:
         CHECKS[lang](text, lang)
     except Broken as e:
         found = e.problem
-    except RecursionError:
-        found = ("premature end", 0, "nesting")
-    if lang in EXACT:
-        exact = EXACT[lang](text)
-        if exact is None:
-            return None  # the lexer is stricter than the grammar; the grammar decides
-        found = found or exact
+    if lang == "python" and found and refuted_python(text):
+        return None
     marker = _marker(text, lang)
-    if marker and (found or not _quoted(text, marker[1], lang)):
+    if marker and (found or (lang not in ("python", "json") and not _quoted(text, marker[1], lang))):
         return marker
     return found
 

@@ -19,7 +19,7 @@ RANKS = environment_path("CODESTRATA_RANKS", "/opt/tokenizers/byte_bpe_50k.tikto
 #: Split rule of the vocabulary; a fixed value of its public description.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts above so many code points are halved; those above SPREAD are encoded by many tasks.
-LEAF, SPREAD = 1 << 9, 1 << 16
+LEAF, SPREAD = 1 << 10, 1 << 16
 #: Code points on each side of a join in the first window.
 WINDOW = 8
 #: Code points of one class on both sides of a join from which the join is settled by tokens.

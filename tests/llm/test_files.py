@@ -44,6 +44,30 @@ def test_invalid(path):
     assert syntax.first_problem(INVALID[path], "/r/" + path)
 
 
+def test_no_limit_decides():
+    assert syntax.first_problem("[" * 200_000 + "]" * 200_000, "/r/a.json") is None
+    assert syntax.first_problem("[" * 200_000 + "]" * 199_999, "/r/a.json")
+    assert syntax.first_problem("x = " + "(" * 250 + "1" + ")" * 250 + "\n", "/r/a.py") is None
+    assert syntax.first_problem("x = " + "(" * 250 + "1" + ")" * 249 + "\n", "/r/a.py")
+    deep = "$(" * 5000 + "a" + ")" * 5000
+    assert syntax.first_problem(f"echo {deep}\n", "/r/a.sh") is None
+    assert syntax.first_problem(f"echo {deep[:-1]}\n", "/r/a.sh")
+    long = "class A extends B(" + ", ".join(f"m{i}" for i in range(200)) + ") {\n  f() { return 1; }\n}\n"
+    assert syntax.first_problem(long, "/r/a.js") is None
+    assert syntax.first_problem("switch (x) {\n  case " + " + ".join(f"n{i}" for i in range(100)) + " + 'a': f();\n}\n", "/r/a.js") is None
+    assert syntax.first_problem("def f(" + ", ".join(f"a{i}" for i in range(90)) + ") = 1\n", "/r/a.rb") is None
+
+
+@pytest.mark.parametrize("text", ['{"a": NaN}', "[1,]", '{"a" 1}', "[01]", '["\t"]', '"\\x"', "{,}", "1 2", '{"a": 1,}', "[1}", "tru"])
+def test_json_grammar(text):
+    assert syntax.first_problem(text, "/r/a.json")
+
+
+@pytest.mark.parametrize("text", ["1", '"a\\u00e9"', "[]", "{}", " [1, {\"a\": [null, true, -0.5e+3]}]\r\n"])
+def test_json_texts(text):
+    assert syntax.first_problem(text, "/r/a.json") is None
+
+
 FILES = "file_id long, repo string, path string, rel_path string, content string, kind string"
 
 
