@@ -1,8 +1,9 @@
 """Credentials in source and configuration: found by one automaton of anchors and their grammars, and redacted.
 
 An Aho-Corasick automaton (deterministic, one pass for all anchors) runs over overlapping chunks of each text.
-Each hit names a grammar (token format, key armor, connection string, authorisation header, named literal) that is
-matched at its absolute offset. Spans found twice where chunks overlap are one; placeholders are spliced in.
+Each hit names a grammar (token format, key armor, connection string, authorisation header, variable with a default, named or
+joined literal, unquoted value) that is matched at its absolute offset. Spans found twice where chunks overlap are
+one; placeholders are spliced in. Only formats that nobody listed, which have no anchor, are looked for by their shape.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from codestrata.session import spread
 
 #: Chunk length and overlap in code points. The overlap only has to exceed the longest anchor, since grammars
 #: are matched on the whole text.
-CHUNK, OVERLAP = 1 << 16, 256
+CHUNK, OVERLAP = 1 << 12, 64
 #: Placeholder put in place of a credential; it holds no quote, backslash, dollar or line end of any language.
 PLACEHOLDER = "REDACTED_{kind}"
 
@@ -96,42 +97,50 @@ BINDER = re.compile(r"(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+)[ \t]*+[:=]")
 PART = re.compile(LITERAL)
 
 
+# Words that names of credentials hold, and beginnings of headers that carry one.
+NAME_ANCHORS = ("passw", "passphrase", "pwd", "pass", "pw", "secret", "token", "key", "cred")
+HEADER_ANCHORS = ("x-", "api-key", "private-token", "authorization")
+#: A literal that another one follows on the next line, and the ends by which the automaton finds it.
+JOIN = re.compile(r"""["'`][ \t]*[+.\\]?[ \t]*\r?\n[ \t]*[+.]?[ \t]*[fbru]?["'`]""")
+JOIN_ANCHORS = tuple(q + gap + end for q in "\"'`" for gap in ("", " ", "\t") for end in ("+", ".", "\\", "\n", "\r"))
+NAME = re.compile(r"(?<![\w.])(?<![\w.]-)[A-Za-z_][\w.-]*+")
+FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
 @lru_cache(maxsize=1)
 def automaton():
-    """Anchors of all grammars in one Aho-Corasick automaton; case counts only where the format's does."""
+    """Anchors of all grammars in one Aho-Corasick automaton over folded text: end of a hit gives (kind, anchor) of each."""
     import ahocorasick
 
+    words: dict[str, list[tuple[str, str]]] = {}
+    for kind, anchors_of in (
+        ("token", TOKENS), ("armor", ("-----BEGIN ",)), ("connection", ("://",)), ("header", ("Basic ", "Bearer ")), ("variable", ('variable "',)),
+        ("sent", HEADER_ANCHORS), ("join", JOIN_ANCHORS), ("name", NAME_ANCHORS),
+    ):
+        for anchor in anchors_of:
+            words.setdefault(folded(anchor), []).append((kind, anchor))
     a = ahocorasick.Automaton()
-    for anchor in TOKENS:
-        a.add_word(anchor, ("token", anchor))
-    a.add_word("-----BEGIN ", ("armor", "-----BEGIN "))
-    a.add_word("://", ("connection", "://"))
-    for w in ("Basic ", "Bearer "):
-        a.add_word(w, ("header", w))
+    for word, what in words.items():
+        a.add_word(word, tuple(what))
     a.make_automaton()
     return a
 
 
-@lru_cache(maxsize=1)
-def name_automaton():
-    """Words that make a name sensitive, over lower-cased text."""
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for w in ("passw", "passphrase", "pwd", "pass", "pw", "secret", "token", "key", "cred"):
-        a.add_word(w, w)
-    a.make_automaton()
-    return a
+def folded(text: str) -> str:
+    """Text with small letters at the same offsets; where lower-casing would move them, only A to Z are."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(FOLD)
 
 
-def anchors(text: str, machine) -> list[tuple[int, object]]:
-    """(absolute end, value) of each anchor, from chunks that overlap; what two chunks both see is one."""
+def anchors(text: str, machine) -> list[tuple[int, str, str]]:
+    """(absolute end, kind, anchor) of each hit, from chunks that overlap; what two chunks both see is one."""
     seen = set()
+    low = folded(text)
     step = CHUNK - OVERLAP
     for at in range(0, max(1, len(text)), step):
-        chunk = text[at : at + CHUNK]
-        for end, what in machine.iter(chunk):
-            seen.add((at + end + 1, what))
+        for end, what in machine.iter(low[at : at + CHUNK]):
+            for kind, anchor in what:
+                seen.add((at + end + 1, kind, anchor))
         if at + CHUNK >= len(text):
             break
     return sorted(seen)
@@ -195,24 +204,28 @@ def spans(text: str | None, rel_path: str | None) -> list[Span]:
     if not text:
         return []
     found: list[Span] = []
-    for end, (kind, anchor) in anchors(text, automaton()):
+    lines: dict[int, bool] = {}  # beginnings of lines with a name or a joined literal; whether a name stands there
+    bound = (-1, -1)
+    for end, kind, anchor in anchors(text, automaton()):
         start = end - len(anchor)
-        if kind == "token":
+        if kind in ("name", "join"):
+            if kind == "join" and not JOIN.match(text, start):
+                continue
+            if not bound[0] <= start < bound[1]:
+                bound = _line(text, start)
+            lines[bound[0]] = lines.get(bound[0], False) or kind == "name"
+            if kind == "join":
+                # the name of a literal in brackets stands before the bracket
+                before = text[: bound[0]].rstrip() if text[bound[0] : start].lstrip()[:2].strip("fbruRBU@")[:1] in "\"'`" else ""
+                if before.endswith("("):
+                    lines.setdefault(_line(text, len(before) - 1)[0], False)
+        elif kind == "token":
             m = TOKENS[anchor].match(text, start)
             if m and not PLACEHOLDERS.search(m.group()):
                 found.append((start, m.end(), "TOKEN"))
         elif kind == "armor":
-            m = ARMOR.match(text, start)
-            if m:
-                # a key ends at its END, before the next BEGIN, or where its END is cut off with its last base64 line
-                nxt = text.find("-----BEGIN ", m.end())
-                nxt = len(text) if nxt < 0 else nxt
-                e = ARMOR_END.search(text, m.end(), nxt)
-                cut = m.end() if e else ARMOR_BODY.match(text, m.end(), nxt).end()
-                body = text[m.end() : e.start() if e else cut]
-                near = body if e else text[m.end() : REST.match(text, cut, nxt).end()]
-                if re.search(r"[A-Za-z0-9+/]{20,}", body) and not re.search(r"(?i)example|placeholder|your[-_ ]key|\.\.\.", near):
-                    found.append((start, e.end() if e else cut, "PRIVATE_KEY"))
+            if m := ARMOR.match(text, start):
+                found += _armored(text, start, m.end())
         elif kind == "connection":
             a = start
             while a and (text[a - 1].isalnum() or text[a - 1] in "+.-") and start - a < 21:
@@ -220,11 +233,25 @@ def spans(text: str | None, rel_path: str | None) -> list[Span]:
             m = CONNECTION.match(text, a)
             if m and len(m["value"]) >= 4 and not PLACEHOLDERS.search(m["value"]) and m["value"].lower() not in ("pass", "pwd", "user", m["user"].lower()):
                 found.append((*m.span("value"), "PASSWORD"))
-        else:
+        elif kind == "header":
             m = HEADER.match(text, start)
             if m and header_credential(m["scheme"], m["value"]):
                 found.append((*m.span("value"), "AUTHORIZATION"))
-    found += _named(text, rel_path or "")
+        elif kind == "variable":
+            if m := VARIABLE.match(text, start):
+                value = m["value"][1:-1]
+                if (sensitive(m["name"]) and "://" not in value and literal_credential(m["name"], value)) or token_credential(value):
+                    found.append((m.start("value") + 1, m.end("value") - 1, "SECRET"))
+        else:
+            while start and (text[start - 1].isalnum() or text[start - 1] in "_-"):
+                start -= 1
+            m = SENT.match(text, start - 1) if start else None
+            if m and literal_credential("", m["value"]):
+                found.append((*m.span("value"), "AUTHORIZATION"))
+    found += _named(text, lines, bool(BARE.search(rel_path or "")))
+    for m in PREFIXED.finditer(text):
+        if token_credential(m.group()):
+            found.append((*m.span(), "TOKEN"))
     found.sort(key=lambda s: (s[0], -s[1]))
     out: list[Span] = []
     for s in found:
@@ -233,39 +260,50 @@ def spans(text: str | None, rel_path: str | None) -> list[Span]:
     return out
 
 
-def _named(text: str, rel_path: str) -> list[Span]:
+def _line(text: str, at: int) -> tuple[int, int]:
+    """Beginning of the line of an offset and of the next line."""
+    hi = text.find("\n", at)
+    return text.rfind("\n", 0, at) + 1, len(text) if hi < 0 else hi + 1
+
+
+def _armored(text: str, start: int, body_at: int) -> list[Span]:
+    """A key ends at its END, before the next BEGIN, or where its END is cut off with its last base64 line."""
+    nxt = text.find("-----BEGIN ", body_at)
+    nxt = len(text) if nxt < 0 else nxt
+    e = ARMOR_END.search(text, body_at, nxt)
+    cut = body_at if e else ARMOR_BODY.match(text, body_at, nxt).end()
+    body = text[body_at : e.start() if e else cut]
+    near = body if e else text[body_at : REST.match(text, cut, nxt).end()]
+    if re.search(r"[A-Za-z0-9+/]{20,}", body) and not re.search(r"(?i)example|placeholder|your[-_ ]key|\.\.\.", near):
+        return [(start, e.end() if e else cut, "PRIVATE_KEY")]
+    return []
+
+
+def _named(text: str, lines: dict[int, bool], bare: bool) -> list[Span]:
+    """Named literals and unquoted values that begin on the given lines; each line is read once, however long."""
     out: list[Span] = []
-    for m in NAMED.finditer(text):
-        parts = list(PART.finditer(text, *m.span("value")))
-        value = "".join(p.group()[1:-1] for p in parts)
-        a, b = parts[0].start() + 1, parts[-1].end() - 1
-        if len(parts) > 1 or PREFIXED.fullmatch(value):
-            h = HEADER.fullmatch(value)
-            c = CONNECTION.match(value)
-            if token_credential(value) or (h and header_credential(h["scheme"], h["value"])) or (c and not PLACEHOLDERS.search(c["value"])):
-                out.append((a, b, "TOKEN"))
+    done = -1
+    for lo in sorted(lines):
+        hi = _line(text, lo)[1]
+        for name in NAME.finditer(text, lo, hi):
+            m = NAMED.match(text, name.start()) if name.start() >= done else None
+            if not m:
                 continue
-        if sensitive(m["name"]) and not HEADER.fullmatch(value) and "://" not in value and literal_credential(m["name"], value):
-            out.append((a, b, "SECRET"))
-    for m in VARIABLE.finditer(text):
-        value = m["value"][1:-1]
-        if (sensitive(m["name"]) and "://" not in value and literal_credential(m["name"], value)) or token_credential(value):
-            out.append((m.start("value") + 1, m.end("value") - 1, "SECRET"))
-    for m in SENT.finditer(text):
-        if literal_credential("", m["value"]):
-            out.append((*m.span("value"), "AUTHORIZATION"))
-    bare = bool(BARE.search(rel_path))
-    hi = -1
-    for end, _ in anchors(text.lower() if len(text.lower()) == len(text) else text, name_automaton()):
-        # an unquoted value counts in configuration and in comments only; each line is read once, however long
-        if end > hi:
-            lo = text.rfind("\n", 0, end) + 1
-            hi = text.find("\n", end)
-            hi = len(text) if hi < 0 else hi
-            out += _unquoted(text, lo, hi, bare)
-    for m in PREFIXED.finditer(text):
-        if token_credential(m.group()):
-            out.append((*m.span(), "TOKEN"))
+            done = m.end()
+            parts = list(PART.finditer(text, *m.span("value")))
+            value = "".join(p.group()[1:-1] for p in parts)
+            a, b = parts[0].start() + 1, parts[-1].end() - 1
+            if len(parts) > 1 or PREFIXED.fullmatch(value):
+                h = HEADER.fullmatch(value)
+                c = CONNECTION.match(value)
+                if token_credential(value) or (h and header_credential(h["scheme"], h["value"])) or (c and not PLACEHOLDERS.search(c["value"])):
+                    out.append((a, b, "TOKEN"))
+                    continue
+            if sensitive(m["name"]) and not HEADER.fullmatch(value) and "://" not in value and literal_credential(m["name"], value):
+                out.append((a, b, "SECRET"))
+        if lines[lo]:
+            # an unquoted value counts in configuration and in comments only
+            out += _unquoted(text, lo, hi - (text[hi - 1] == "\n"), bare)
     return list(dict.fromkeys(out))
 
 
