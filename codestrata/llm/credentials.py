@@ -70,7 +70,7 @@ SECRET_WORDS = frozenset("password passwd passphrase pwd pass pw secret secrets
 KEY_WORDS = frozenset("api access private secret signing sign hmac encryption crypt aes auth deploy host tls ssl ssh cloud master session client service license account storage".split())
 # What calls itself no credential.
 PLACEHOLDERS = re.compile(
-    r"""^$|^[<{\[(%$*#@&]|[<>{}]|\$\{|%\(|^[xX*.•_-]+$|example|sample|placeholder|changeme|replace|change[-_ ]?me|dummy|fake|insert|redacted|your[-_ ]|^my[-_]|^(?:none|null|nil|true|false|undefined|todo|tbd|n/?a|secret|password|passwd|token|test|default|empty)\b
+    r"""^$|^[<{\[(%$*#@&]|[<>{}]|\$\{|%\(|^[xX*.•_-]+$|example|sample|placeholder|changeme|replace|change[-_ ]?me|dummy|fake|insert|redacted|your[-_ ]|^my[-_](?=(?-i:[a-z0-9_-]*)$)|^(?:none|null|nil|true|false|undefined|todo|tbd|n/?a|secret|password|passwd|token|test|default|empty)\b
     |goes[-_]here|^(?:env|vault|ssm|secret|secretsmanager|file|ref|op|arn)[:.]|^process\.|^os\.|getenv|environ|^(?:data|sha\d+|sha\d+-|md5)[:-]|^https?://[^@]*$""",
     re.I | re.X,
 )
@@ -166,13 +166,20 @@ def mixed(value: str) -> bool:
     return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
 
 
+def drawn(letters: str) -> bool:
+    """Letters drawn at random rather than words: many of either case, no word of small letters among them."""
+    n = len(letters)
+    upper, lower = sum(map(str.isupper, letters)), sum(map(str.islower, letters))
+    return n >= 16 and letters.isalpha() and letters.isascii() and 5 * min(upper, lower) >= n and not re.search("[a-z]{12}", letters)
+
+
 def literal_credential(name: str, value: str) -> bool:
     """Whether a sensitive name's value is a usable literal."""
     v = value.strip()
     if len(v) < 8 or PLACEHOLDERS.search(v) or UUID.fullmatch(v) or "PUBLIC KEY" in v or any(c.isspace() for c in v):
         return False
     if not mixed(v):
-        return len(v) >= 24 and v.isalnum() and not v.islower() and not v.isupper()
+        return drawn(re.split(r"[._-]", v)[-1])
     return len(set(v)) >= 5
 
 
@@ -183,7 +190,9 @@ def token_credential(value: str) -> bool:
     if any(p.fullmatch(value) for p in TOKENS.values()):
         return True
     tail = re.split(r"[._-]", value)[-1]
-    return bool(PREFIXED.fullmatch(value)) and any(c.isdigit() for c in tail) and any(c.isupper() for c in tail) and any(c.islower() for c in tail)
+    if not PREFIXED.fullmatch(value):
+        return False
+    return drawn(tail) or (any(c.isdigit() for c in tail) and any(c.isupper() for c in tail) and any(c.islower() for c in tail))
 
 
 def header_credential(scheme: str, value: str) -> bool:
