@@ -144,6 +144,14 @@ def quotations(text: str, a: int, b: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     i = a
     absent: set[str] = set()  # closing marks that stand nowhere further on; looked for once
+    partner: dict[int, int] = {}  # of each bracket that is closed, where; one pass with a stack for each kind
+    for kind in (r"[()]", r"[\[\]]"):
+        stack: list[int] = []
+        for m in re.compile(kind).finditer(text, a, b):
+            if m.group() in "([":
+                stack.append(m.start())
+            elif stack:
+                partner[stack.pop()] = m.start()
 
     def find(mark: str, at: int) -> int:
         if mark in absent:
@@ -169,15 +177,9 @@ def quotations(text: str, a: int, b: int) -> list[tuple[int, int]]:
                 out.append((i, j))
                 i = j
         elif close:
-            ends = [j for j in (find(x, i + 1) for x in close) if j > 0]
-            if c in "([" and ends:  # brackets nest, within a bounded distance
-                depth, j, far = 0, i, min(b, i + 4000)
-                while j < far:
-                    depth += (text[j] == c) - (text[j] == close)
-                    if not depth:
-                        break
-                    j += 1
-                ends = [j] if j < far else []
+            ends = [j for j in (find(x, i + 1) for x in close) if j > 0] if c not in "([" else []
+            if c in "([":
+                ends = [partner[i]] if i in partner else []
             if c == "»" and i > a and not text[i - 1].isspace() and text[i - 1] not in "([":
                 ends = []
             if ends:

@@ -183,8 +183,6 @@ def test_attribute_globs():
     assert provenance.declared("docs/a/b.md", rules) == {"vendored": True}
     assert provenance.declared("x/docs/a.md", rules) == {}
     assert provenance.glob_pattern("a/**/b?.[ch]").match("a/x/y/bz.c") and not provenance.glob_pattern("a/*.c").match("a/b/x.c")
-    mined = provenance.mine_globs([(f"out/{i}_api.pb.ts", "generated") for i in range(9)], ["src/a.ts", "src/b_api.ts"])
-    assert ("generated", "out/") in mined and ("generated", "*_api.pb.ts") in mined
 
 
 PROVENANCE = {
@@ -202,6 +200,10 @@ def test_provenance_reads_whole_texts():
     assert provenance.by_content(readable + bundle, "web/app.js") == "minified"
     assert provenance.by_content(readable + bundle[:300], "web/app.js") is None
     assert provenance.by_content("// " + "long words of a first line " * 200 + "\n// Code generated by g 1.0. DO NOT EDIT.\nx = 1\n", "a/x.js") == "generated"
+    licence = "/*\n" + " * words of a licence\n" * 40 + " */\n// another line\n" * 3
+    assert provenance.by_content(licence + "// Code generated by g 1.0. DO NOT EDIT.\nx = 1\n", "a/x.js") == "generated"
+    key = "-----BEGIN EC PRIVATE KEY-----\n" + "aB3/" * 300 + "\n-----END EC PRIVATE KEY-----"
+    assert provenance.by_content(f"const key = `{key}`;\n", "a/x.py") is None
     assert provenance.by_content("x = 1\n" * 12 + "// Code generated by g 1.0. DO NOT EDIT.\n", "a/x.js") is None
 
 
@@ -214,3 +216,18 @@ def test_provenance_rows(spark):
     want = {i: k for i, (_, k) in enumerate(PROVENANCE.values()) if k} | {81: "generated", 91: "generated"}
     assert got == want
     assert provenance.not_hand_written(df.where("false")).count() == 0
+
+
+def test_mined_globs_reach_undeclared_repositories(spark):
+    text = "plain = words\n"
+    rows = [(1, "d", "p", ".gitattributes", "stubs/** linguist-generated\n*.api.ts linguist-generated\nstubs/own.py -linguist-generated\n", "")]
+    rows += [(1, "d", "p", "sub/.gitattributes", "*.api.ts -linguist-generated\n", "")]
+    rows += [(100 + i, "d", "p", f"stubs/m{i}.py", text, "") for i in range(60)] + [(200 + i, "d", "p", f"web/c{i}.api.ts", text, "") for i in range(25)]
+    rows += [(30, "d", "p", "stubs/own.py", text, ""), (31, "d", "p", "sub/x.api.ts", text, ""), (32, "d", "p", "src/a.py", text, "")]
+    rows += [(40, "u", "p", "stubs/z.py", text, ""), (41, "u", "p", "x/y.api.ts", text, ""), (42, "u", "p", "site/c1.ts", text, ""), (43, None, "p", "a/stubs/b.py", text, ""), (44, "d", "p", "other/stubs/n.py", text, "")]
+    rows += [(50, None, "p", "q/.gitattributes", "gen.py linguist-vendored\n", ""), (51, None, "p", "q/gen.py", text, "")]
+    df = spark.createDataFrame(rows, FILES)
+    got = {r["file_id"]: (r["class"], r["evidence"]) for r in provenance.not_hand_written(df).collect()}
+    want = {i: ("generated", "declared") for i in [*range(100, 160), *range(200, 225)]}
+    want |= {40: ("generated", "mined"), 41: ("generated", "mined"), 51: ("vendored", "declared")}
+    assert got == want
