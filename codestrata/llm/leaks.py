@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.session import spread
+from codestrata.session import checkpointed, spread
 
 #: Words in a run that counts as a leak.
 RUN = 20
@@ -29,8 +29,8 @@ COSINE = 0.9
 CELLS, PROBES = 192, 3
 #: Part of an item's words, in order, that a paraphrase holds, and of its identifiers and numbers.
 PARAPHRASE, ANSWERS = 0.7, 0.5
-#: Items are broadcast; above so many words they are searched in blocks.
-ITEM_WORDS = 2_000_000
+#: Words of items in one index, which is broadcast (about 250 bytes a word); more items are searched block by block.
+ITEM_WORDS = 400_000
 SEED = 20231
 
 # Each character of these scripts (Han, Hiragana, Katakana) is a word of its own.
@@ -110,26 +110,34 @@ def vectors(rows, idf, basis):
     return z / np.maximum(n, 1e-12)
 
 
-def fit_space(docs: DataFrame, text_col: str, n_rows: int, item_rows, idf):
+def fit_sample(docs: DataFrame, text_col: str, n_rows: int, items: DataFrame) -> DataFrame:
+    """(text, step): what the space is fitted on: all items, and texts of the corpus with FIT_PASSAGES passages at most.
+
+    It stands in the checkpoint folder, since each round of the fit reads it.
+    """
+    share = min(1.0, FIT_PASSAGES / max(1, n_rows))
+    src = docs.select(F.col(text_col).alias("text"), F.lit(STEP).alias("step")).where(F.col("text").isNotNull())
+    if share < 1:
+        src = src.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return checkpointed(src.unionByName(items.select(F.col(text_col).alias("text"), F.lit(1).alias("step")).where(F.col("text").isNotNull())))
+
+
+def fit_space(sample: DataFrame, idf):
     """Basis (BUCKETS x RANK) of the latent space by distributed randomised SVD of TF-IDF passages.
 
     The matrix A (passages x words) stays in its partitions. A Gaussian test matrix G (words x rank + oversample)
     goes out, each partition sends back its part of A^T A G, the parts are added by word in the cluster, and the
     driver orthonormalises words x rank numbers, a size that no corpus changes. POWER rounds sharpen the range; the
-    last projected covariance gives the singular directions. The rows of A are the item passages and a sample of
-    the corpus's, at most FIT_PASSAGES; counts and search cover all rows.
+    last projected covariance gives the singular directions. The rows of A are those of ``fit_sample``; counts and search
+    cover all rows.
     """
     import numpy as np
 
     rng = np.random.default_rng(SEED)
-    share = min(1.0, FIT_PASSAGES / max(1, n_rows))
-    src = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    if share < 1:
-        src = src.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
-    src = spread(src)
+    src = spread(sample)
     k = RANK + OVERSAMPLE
     q = rng.standard_normal((BUCKETS, k)).astype(np.float32)
-    sc = docs.sparkSession.sparkContext
+    sc = sample.sparkSession.sparkContext
     for r in range(POWER + 1):
         sent = sc.broadcast((q, idf))
 
@@ -140,7 +148,7 @@ def fit_space(docs: DataFrame, text_col: str, n_rows: int, item_rows, idf):
             total = np.zeros((BUCKETS, k), dtype=np.float32)
             used = False
             for batch in batches:
-                rows = [passages(buckets(words(t))) for t in batch.column(0).to_pylist()]
+                rows = [passages(buckets(words(t)), step) for t, step in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
                 rows = np.concatenate(rows) if rows else np.empty((0, WIDTH), dtype=np.int32)
                 used = _add(total, rows, weights, g) or used
             if used:
@@ -156,7 +164,6 @@ def fit_space(docs: DataFrame, text_col: str, n_rows: int, item_rows, idf):
         table = sums.toArrow()  # words x rank at most
         for i in range(k):
             y[table.column("bucket").to_numpy(), i] = table.column(f"x{i}").to_numpy()
-        _add(y, item_rows, idf, q)
         sent.unpersist()
         if r < POWER:
             q = np.linalg.qr(y)[0].astype(np.float32)
@@ -319,7 +326,7 @@ def settle(docs: list[list[str]], ix: ItemIndex, rows, doc, pos, a, b) -> list[t
     once = np.unique(both * (len(rows) + 1) + np.concatenate([a, a]))  # each passage once on each diagonal
     keys, distinct = np.unique(once // (len(rows) + 1), return_counts=True)
     lines = np.stack([keys // span // len(ix.texts), keys // span % len(ix.texts), keys % span], axis=1)
-    need = np.maximum(2, np.ceil(0.3 * ix.lengths[lines[:, 1]] / STEP))
+    need = np.ceil(0.3 * ix.lengths[lines[:, 1]] / STEP)
     done: set[tuple[int, int]] = {(d, n) for d, n, *_ in out}
     for d, n, at in lines[distinct >= need].tolist():
         if (d, n) in done:
@@ -339,10 +346,14 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: s
     """(doc_id, item_id, kind, run, share) of every text and item that leaked into it.
 
     ``kind`` is verbatim (a run of at least RUN words in common, found with certainty: the run holds a corpus
-    passage whose twin is an item passage, with cosine 1) or paraphrase (found where the latent space brings the
-    passages together). Null, empty and short texts have none. Repeated ids give repeated rows. The corpus is read
-    once for counts, on a sample for the space, and once for the search; nothing of it is shuffled or gathered but
-    counts by hashed word. The items are the query set; above ITEM_WORDS words they are searched block by block.
+    passage whose twin is an item passage, with cosine 1, and all items are in the fitted space) or paraphrase (found where
+    the latent space brings the passages together). Null, empty and short texts have none. Repeated ids give repeated rows.
+    The corpus is read once for counts, once for the sample that the space is fitted on, and once for each block of items;
+    nothing of it is shuffled or gathered but counts by hashed word and that sample.
+
+    The items are the query set. Up to ITEM_WORDS words are one index; more are cut into blocks by a hash of their ids, and one
+    block after the other is gathered, broadcast, searched, written to the checkpoint folder and dropped, so the driver
+    and the executors hold one bounded index at a time.
     """
     import numpy as np
 
@@ -352,24 +363,16 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: s
     n[freq.column("bucket").to_numpy()] = freq.column("n").to_numpy()
     total = max(1.0, n[BUCKETS])
     idf = (np.log((1.0 + total) / (1.0 + n[:BUCKETS])) + 0.05).astype(np.float32)
-    item_rows_df = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(text_col))
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    size = 0
-    for i, t in item_rows_df.toLocalIterator():
-        w = words(t)
-        if len(w) >= WIDTH:
-            if size > ITEM_WORDS:
-                blocks.append([])
-                size = 0
-            blocks[-1].append((i, w))
-            size += len(w)
-    first = [passages(buckets(w), 1) for _, w in blocks[0]]
-    fit_rows = np.concatenate(first) if first else np.empty((0, WIDTH), dtype=np.int32)
-    basis = fit_space(docs, text_col, int(total), fit_rows, idf)
-
+    asked = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("_id"), F.col(text_col).alias(text_col))
+    basis = fit_space(fit_sample(docs, text_col, int(total), asked), idf)
+    # a character is a word at most, so the lengths bound the words
+    n_words = asked.agg(F.sum(F.greatest(F.size(F.split(text_col, r"\s+")), F.length(F.regexp_replace(text_col, r"[\x00-\x{2e7f}]", ""))))).first()[0] or 0
+    n_blocks = max(1, -(-int(n_words) // ITEM_WORDS))
     src = spread(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()))
-    parts = []
-    for block in blocks:
+    out = None
+    for k in range(n_blocks):
+        mine = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(n_blocks)) == k)
+        block = [(i, w) for i, t in mine.toLocalIterator() if len(w := words(t)) >= WIDTH]
         sent = spark.sparkContext.broadcast(build_index(block, idf, basis))
 
         def search(batches, sent=sent):
@@ -382,10 +385,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: s
                     out += _search(ix, pdf["_id"].tolist()[lo : lo + 512], pdf["_text"].tolist()[lo : lo + 512])
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "kind", "run", "share"])
 
-        parts.append(src.mapInPandas(search, "doc_id long, item_id long, kind string, run int, share double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        found = src.mapInPandas(search, "doc_id long, item_id long, kind string, run int, share double")
+        if n_blocks == 1:
+            return found
+        found = checkpointed(found)
+        sent.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 

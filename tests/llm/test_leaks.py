@@ -53,6 +53,24 @@ def test_runs_against_brute_force(spark, corpus):
     assert leaks.leaks(d, i.where("false")).count() == 0
 
 
+def test_blocks_of_items_and_a_sampled_fit(spark, corpus, monkeypatch):
+    docs, items = corpus
+    d, i = spark.createDataFrame([(*r, "") for r in docs], DOC), spark.createDataFrame([(*r, "") for r in items], ITEM)
+    monkeypatch.setattr(leaks, "ITEM_WORDS", 200)
+    monkeypatch.setattr(leaks, "FIT_PASSAGES", 20)
+    got = sorted((r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i).where("kind = 'verbatim'").collect())
+    assert got == _brute(docs, items)
+
+
+def test_short_items_copied_whole(spark):
+    rnd = random.Random(8)
+    items = [(n, " ".join(_words(rnd, 12 + n))) for n in range(12)]
+    docs = [(100 + n, " ".join(_words(rnd, 30 + n)) + " " + t + " " + " ".join(_words(rnd, 30))) for n, t in items]
+    d, i = spark.createDataFrame([(*r, "") for r in docs], DOC), spark.createDataFrame([(*r, "") for r in items], ITEM)
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i).collect()}
+    assert got <= {(100 + n, n) for n, _ in items} and {(100 + n, n) for n, _ in items if n >= 8} <= got
+
+
 def test_paraphrases(spark, corpus):
     rnd = random.Random(4)
     _, items = corpus
