@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.operators.nested import loads
-from codestrata.session import spread
+from codestrata.session import checkpointed, spread
 
 # The target schema with the spellings approved for each measure (path, factor to the target's unit).
 APPROVED = {
@@ -69,10 +70,12 @@ def flat(obj: dict, prefix: str = "") -> dict:
 def records_of(body: str | None) -> list[tuple[str | None, dict]]:
     """(result id, flat run record) of a result file; null and broken bodies and records that are no objects give none."""
     root = loads(body)
+    results = root.get("results") if isinstance(root, dict) else None
     out = []
-    for result in (root.get("results") if isinstance(root, dict) else None) or []:
+    for result in results if isinstance(results, list) else [results]:
         if isinstance(result, dict):
-            out += [(_text(result.get("id")), flat(r)) for r in result.get("runs") or [] if isinstance(r, dict)]
+            runs = result.get("runs")
+            out += [(_text(result.get("id")), flat(r)) for r in (runs if isinstance(runs, list) else [runs]) if isinstance(r, dict)]
     return out
 
 
@@ -80,17 +83,89 @@ def _text(value) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
-def ingest(files: DataFrame) -> DataFrame:
+NUMBER = re.compile(r"\s*([-+]?[0-9][0-9,_]*(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)\s*(%|[A-Za-z]+)?\s*")
+#: Units that a text may carry, by the measure's own unit, with the factor to it.
+CARRIED = {
+    "ms": {"ms": 1.0, "s": 1000.0, "sec": 1000.0, "seconds": 1000.0},
+    "mb": {"mb": 1.0, "bytes": 2**-20, "b": 2**-20, "kb": 2**-10, "gb": 2.0**10},
+    "bytes": {"bytes": 1.0, "b": 1.0, "kb": 2.0**10, "mb": 2.0**20, "gb": 2.0**30},
+}
+SIZES = {"int": 31, "bigint": 63}
+
+
+def cast(value, column: str, kind: str, factor: float):
+    """A delivered value as the column's type, in its unit; None where it doesn't cast without loss.
+
+    Texts may carry a unit or a percent sign, which count. Integers take whole numbers in range only; truth values, lists
+    and numbers that are not finite cast to nothing.
+    """
+    if kind == "string":
+        return value if isinstance(value, str) else None
+    if isinstance(value, str):
+        m = NUMBER.fullmatch(value)
+        if not m:
+            return None
+        unit = (m.group(2) or "").lower()
+        number = float(re.sub("[,_]", "", m.group(1)))
+        if unit == "%":
+            number /= 100.0
+        elif unit:
+            known = CARRIED.get(column.rsplit("_", 1)[-1], {})
+            if unit not in known:
+                return None
+            number, factor = number * known[unit], 1
+        number *= factor
+    elif isinstance(value, int | float) and not isinstance(value, bool):
+        if kind != "double" and factor == 1 and isinstance(value, int):
+            return value if abs(value) < 2 ** SIZES[kind] else None
+        try:
+            number = float(value) * factor
+        except OverflowError:
+            return None
+    else:
+        return None
+    if not math.isfinite(number):
+        return None
+    if kind == "double":
+        return number
+    return int(number) if number == int(number) and abs(number) < 2 ** SIZES[kind] else None
+
+
+def enforced(record: dict, approved: dict = APPROVED) -> tuple[dict, dict, dict]:
+    """(typed, rescued, origin) of one flat record under the target schema.
+
+    1. Enforce: every path the target doesn't know goes to ``rescued``, and so does every spelling of a column beside its first.
+    2. Promote: approved spellings that were rescued are replayed into their typed columns, in the order they are
+       approved, in the column's unit. What casts without loss leaves ``rescued``, one value for each column; every
+       other delivered value stays there, nulls excepted.
+    ``origin`` tells for each typed column which path filled it.
+    """
+    typed, rescued, origin = {}, {}, {}
+    target = {next(iter(paths)): name for name, (_, paths) in approved.items()}
+    for path, value in record.items():
+        name = target.get(path)
+        done = cast(value, name, approved[name][0], approved[name][1][path]) if name else None
+        if done is None:
+            rescued[path] = value
+        else:
+            typed[name], origin[name] = done, path
+    for name, (kind, paths) in approved.items():
+        for path, factor in paths.items():
+            if name in typed:
+                break
+            if rescued.get(path) is not None and (done := cast(rescued[path], name, kind, factor)) is not None:
+                typed[name], origin[name] = done, path
+                del rescued[path]
+    return typed, {k: v for k, v in rescued.items() if v is not None}, origin
+
+
+def ingest(files: DataFrame, approved: dict = APPROVED) -> DataFrame:
     """Run records under the target schema: (file_id, producer, generated_at, result_id, run_pos, typed..., rescued).
 
-    1. The target's own spelling fills each typed column where its value casts.
-    2. What is unknown or does not cast is kept, with its delivered value, in ``rescued`` (JSON by path).
-    3. Approved spellings are replayed from ``rescued`` into their typed columns, converted to the target's unit;
-       what was replayed leaves ``rescued``.
-    Files with the same producer and generated_at are one file; its records come from the smallest file_id.
-    Null bodies give no rows. Extra columns are dropped.
+    One Arrow pass parses, enforces, rescues and promotes (``enforced``). ``rescued`` holds, as JSON by path, each delivered value
+    that is in no typed column. Files with the same producer and generated_at are one file; its records come from
+    the smallest file_id. Null bodies give no rows. Extra columns are dropped.
     """
-    one = first_deliveries(files)
 
     def parse(batches):
         import pandas as pd
@@ -99,42 +174,16 @@ def ingest(files: DataFrame) -> DataFrame:
             out = []
             for fid, producer, at, body in zip(pdf["file_id"], pdf["producer"], pdf["generated_at"], pdf["body"], strict=True):
                 for pos, (rid, record) in enumerate(records_of(body)):
-                    out.append((fid, producer, at, rid, pos, {k: json.dumps(v, ensure_ascii=False) for k, v in record.items()}))
-            yield pd.DataFrame(out, columns=["file_id", "producer", "generated_at", "result_id", "run_pos", "rescued"])
+                    typed, rescued, _ = enforced(record, approved)
+                    rest = json.dumps(rescued, ensure_ascii=False, sort_keys=True) if rescued else None
+                    out.append((fid, producer, at, rid, pos, *[typed.get(c) for c in approved], rest))
+            frame = pd.DataFrame(out, columns=[*head, *approved, "rescued"])
+            yield frame.astype({c: "Int64" for c, (kind, _) in approved.items() if kind != "double" and kind != "string"})
 
-    raw = spread(one).mapInPandas(parse, "file_id long, producer string, generated_at timestamp, result_id string, run_pos int, rescued map<string,string>")
-    return promote(raw, APPROVED)
-
-
-def promote(raw: DataFrame, approved: dict) -> DataFrame:
-    """Replay approved spellings from ``rescued`` into typed columns; a value that doesn't cast stays rescued."""
-    typed, done = [], []
-    for name, (kind, paths) in approved.items():
-        options = []
-        for path, factor in paths.items():
-            cast = _cast(F.col("rescued")[path], kind, factor, name)
-            options.append(cast)
-            done.append(F.when(cast.isNotNull(), F.lit(path)))
-        typed.append(F.coalesce(*options).alias(name))
-    gone = F.array_compact(F.array(*done))
-    rest = F.map_filter("rescued", lambda k, v: ~F.array_contains(F.col("_gone"), k) & (v != "null"))
-    out = raw.withColumn("_gone", gone).withColumns({c: t for c, t in zip(approved, typed, strict=True)}).withColumn("rescued", rest)
-    keep = [c for c in raw.columns if c != "rescued"]
-    return out.select(*keep, *approved, F.when(F.size("rescued") > 0, F.to_json("rescued")).alias("rescued"))
-
-
-def _cast(value, kind: str, factor: float, name: str):
-    """A JSON value as the target type: texts may carry a unit, a percent sign or spaces; null where it doesn't cast."""
-    text = F.trim(F.regexp_replace(value, '^"|"$', ""))
-    if kind == "string":
-        return F.when(value.rlike('^"'), text)
-    number = F.regexp_extract(text, r"^([-+]?[0-9][0-9,_]*(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?) *(%|ms|MB|[Bb]ytes)?$", 1)
-    plain = F.regexp_replace(number, "[,_]", "").try_cast("double")
-    percent = text.endswith("%")
-    plain = F.when(percent, plain / 100.0).otherwise(plain)
-    if factor != 1:
-        plain = plain * F.lit(float(factor))
-    return plain if kind == "double" else plain.try_cast(kind)
+    head = ["file_id", "producer", "generated_at", "result_id", "run_pos"]
+    types = ["file_id long", "producer string", "generated_at timestamp", "result_id string", "run_pos int"]
+    schema = ", ".join([*types, *[f"{c} {kind}" for c, (kind, _) in approved.items()], "rescued string"])
+    return spread(first_deliveries(files)).mapInPandas(parse, schema)
 
 
 def first_deliveries(files: DataFrame) -> DataFrame:
@@ -144,10 +193,12 @@ def first_deliveries(files: DataFrame) -> DataFrame:
 
 
 def inventories(files: DataFrame) -> DataFrame:
-    """(producer, generated_at, file_id, fields): each file's fields with their types.
+    """(producer, generated_at, file_id, fields): what ingestion made of each file's fields, with their types.
 
-    Copies are one file with the smallest file_id; a field is there if any record of any copy has it. The type is
-    empty where only null was seen; several types within one file stand in order, separated by commas.
+    Each record is enforced as in ``ingest``; its fields are the paths that filled typed columns, the rescued ones and
+    those that held null only. Copies are one file with the smallest file_id; a field is there if any record of any
+    copy has it. The type is empty where only null was seen; several types within one file stand in order, separated by
+    commas.
     """
 
     def fields(batches):
@@ -158,34 +209,40 @@ def inventories(files: DataFrame) -> DataFrame:
             for fid, producer, at, body in zip(pdf["file_id"], pdf["producer"], pdf["generated_at"], pdf["body"], strict=True):
                 seen: dict[str, set] = {}
                 for _, record in records_of(body):
-                    for path, v in record.items():
-                        seen.setdefault(path, set()).update(filter(None, [kind_of(v)]))
-                out.append((producer, at, fid, {p: ",".join(sorted(k)) for p, k in seen.items()}))
+                    _, rescued, origin = enforced(record)
+                    for path in (*origin.values(), *rescued):
+                        seen.setdefault(path, set()).add(kind_of(record[path]))
+                    for path in record.keys() - seen.keys():
+                        seen[path] = set()
+                out.append((producer, at, fid, {p: ",".join(sorted(filter(None, k))) for p, k in seen.items()}))
             yield pd.DataFrame(out, columns=["producer", "generated_at", "file_id", "fields"])
 
     src = spread(files.select("file_id", "producer", "generated_at", "body"))
     raw = src.mapInPandas(fields, "producer string, generated_at timestamp, file_id long, fields map<string,string>")
-    # copies are few, and equal inventories melt into one before the shuffle
-    merged = raw.groupBy("producer", "generated_at").agg(F.min("file_id").alias("file_id"), F.collect_set(F.map_entries("fields")).alias("all"))
+    # equal inventories of one file melt into one before the shuffle: the set grows with its formats, not its copies
+    merged = raw.groupBy("producer", "generated_at").agg(F.min("file_id").alias("file_id"), F.collect_set(F.array_sort(F.map_entries("fields"))).alias("all"))
     entries = F.array_sort(F.array_distinct(F.flatten("all")))
     return merged.select("producer", "generated_at", "file_id", entries.alias("fields"))
 
 
-def previous(rows: DataFrame, group: list[str], order: str, value: str, bucket) -> DataFrame:
+def previous(rows: DataFrame, group: list[str], order: str, value: str, buckets: list) -> DataFrame:
     """``rows`` with ``prior``: the value of the row before, within the group, by ``order``.
 
     A window over the whole group would put a group with a third of all rows into one task. So the window runs
-    within (group, bucket); the first row of a bucket takes the last value of the latest earlier bucket, which
-    comes from one row for each bucket.
+    within (group, first of ``buckets``); the first row of a bucket takes the last value of the latest earlier bucket. Those
+    come from one row for each bucket, among which the same is done with the next, wider bucket.
     """
-    cut = rows.withColumn("_bucket", bucket)
-    inner = Window.partitionBy(*group, "_bucket").orderBy(order)
+    if not buckets:
+        return rows.withColumn("prior", F.lag(value).over(Window.partitionBy(*group).orderBy(order)))
+    here = f"_bucket{len(buckets)}"
+    cut = rows.withColumn(here, buckets[0])
+    inner = Window.partitionBy(*group, here).orderBy(order)
     marked = cut.withColumn("_rn", F.row_number().over(inner)).withColumn("_in", F.lag(value).over(inner))
-    lasts = cut.groupBy(*group, "_bucket").agg(F.max_by(value, order).alias("_last"))
-    carried = lasts.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*group).orderBy("_bucket"))).drop("_last")
-    joined = marked.join(carried, [*group, "_bucket"], "left")
+    lasts = cut.groupBy(*group, here).agg(F.max(order).alias(order), F.max_by(value, order).alias(value))
+    carried = previous(lasts, group, order, value, buckets[1:]).select(*group, here, F.col("prior").alias("_carried"))
+    joined = marked.join(carried, [*group, here], "left")
     prior = F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.col("_in"))
-    return joined.withColumn("prior", prior).drop("_bucket", "_rn", "_in", "_carried")
+    return joined.withColumn("prior", prior).drop(here, "_rn", "_in", "_carried")
 
 
 def compare(before: dict[str, str], after: dict[str, str]) -> list[tuple[str, str, str]]:
@@ -219,12 +276,15 @@ def _merge(entries) -> dict[str, str]:
 def changes(files: DataFrame) -> DataFrame:
     """(file_id, change_kind, field_before, field_after) of every field that differs from the producer's previous file.
 
+    Both files are seen as ingestion saw them: the fields that it promoted, rescued or found null. A rename is one column
+    filled from another path, or one rescued measure under another.
+
     Files without records count as files without fields. Producer null is a producer of its own. A file whose
     ``generated_at`` is null has no place in the order and is compared with none. Equal neighbours are dropped in
     the JVM; only pairs that differ reach Python.
     """
-    inv = inventories(files).where(F.col("generated_at").isNotNull())
-    seq = previous(inv.withColumn("producer", F.coalesce("producer", F.lit("\0"))), ["producer"], "generated_at", "fields", F.to_date("generated_at"))
+    inv = checkpointed(inventories(files).where(F.col("generated_at").isNotNull()))  # one narrow row a file, read for each width of bucket
+    seq = previous(inv.withColumn("producer", F.coalesce("producer", F.lit("\0"))), ["producer"], "generated_at", "fields", [F.date_trunc("hour", "generated_at"), F.date_trunc("month", "generated_at")])
     differing = seq.where(F.col("prior").isNotNull() & (F.col("prior") != F.col("fields"))).select("file_id", "prior", "fields")
 
     def rows(batches):

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -49,14 +50,30 @@ def test_ingest_promotes_and_rescues(spark):
     assert set(got) == {1, 3}
     r = got[1]
     assert (r["total_ms"], round(r["score"], 6), r["peak_rss_mb"], r["verdict"], r["circular_deps"]) == (47.5, 0.6198, 3.0, None, None)
-    assert json.loads(r["rescued"]) == {"verdict": "1", "cycles": "true", "odd.deep": "[1]"}
+    assert json.loads(r["rescued"]) == {"verdict": 1, "cycles": True, "odd.deep": [1]}
     assert (got[3]["total_ms"], got[3]["score"], got[3]["file_count"], got[3]["rescued"]) == (2.0, 0.5, 7, None)
 
 
+def test_ingestion_loses_nothing():
+    typed, rescued, origin = drift.enforced({"totalMs": 1, "elapsedMs": 9, "fileCount": 12.7, "peakRssMB": "512 bytes", "verdict": 'a"b', "score": None, "god_modules": 2**40, "cycles": "1,024"})
+    assert typed == {"total_ms": 1.0, "peak_rss_mb": 512 / 2**20, "verdict": 'a"b', "circular_deps": 1024}
+    assert rescued == {"elapsedMs": 9, "fileCount": 12.7, "god_modules": 2**40}
+    assert origin == {"total_ms": "totalMs", "peak_rss_mb": "peakRssMB", "verdict": "verdict", "circular_deps": "cycles"}
+    rnd = random.Random(3)
+    paths = [p for _, ps in drift.APPROVED.values() for p in ps] + ["odd", "other.deep"]
+    values = [None, True, 0, 1.5, -3, "7", "7 ms", "3 MB", "1e400", "x", "", [1], float("nan"), 2**70, "12%"]
+    for _ in range(2000):
+        record = {p: rnd.choice(values) for p in rnd.sample(paths, rnd.randint(0, 12))}
+        typed, rescued, origin = drift.enforced(record)
+        kept = set(rescued) | set(origin.values())
+        assert kept == {k for k, v in record.items() if v is not None} and not set(rescued) & set(origin.values())
+        assert all(rescued[k] is record[k] for k in rescued) and typed.keys() == origin.keys()
+
+
 def test_previous_equals_one_window(spark):
     rows = [(g, i * 7 % 23, f"v{i}") for i in range(23) for g in ("a", "b") if (i + len(g)) % 3]
     df = spark.createDataFrame(rows, "g string, at int, v string")
-    got = {(r["g"], r["at"]): r["prior"] for r in drift.previous(df, ["g"], "at", "v", F.floor(F.col("at") / 5)).collect()}
+    got = {(r["g"], r["at"]): r["prior"] for r in drift.previous(df, ["g"], "at", "v", [F.floor(F.col("at") / 3), F.floor(F.col("at") / 9)]).collect()}
     for g in ("a", "b"):
         mine = sorted((at, v) for x, at, v in rows if x == g)
         assert [got[g, at] for at, _ in mine] == [None, *[v for _, v in mine[:-1]]]
