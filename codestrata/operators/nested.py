@@ -41,24 +41,31 @@ def is_map(obj: dict) -> bool:
 
 
 def _vote(obj: dict) -> str:
-    """What one object says of its node: map, mixed (objects of one form and other values, as in a map that has more), record."""
-    if is_map(obj):
-        return "map"
+    """What one object says of its node.
+
+    map: several objects of one form, null values aside; single: one object, whose name may be data or not; mixed: objects
+    of one form and other values, as in a map that has more; record: anything else.
+    """
     inner = [v for v in obj.values() if isinstance(v, dict)]
-    alike = len(inner) > 1 and 2 * len(inner) > sum(v is not None for v in obj.values()) and set.intersection(*map(set, inner))
-    return "mixed" if alike else "record"
+    if is_map(obj) and len(inner) == 1:
+        return "single"
+    full = [set(v) for v in inner if v]
+    alike = len(inner) > 1 and (not full or set.intersection(*full))
+    if not alike:
+        return "record"
+    return "map" if is_map(obj) else "mixed" if 2 * len(inner) > sum(v is not None for v in obj.values()) else "record"
 
 
 def _edges(obj: dict, node: str, fixed: dict[str, bool]) -> Iterator[tuple[str, str, str]]:
     """(node, child, form) of one record and all below it; form: scalar, object, list (of objects), map.
 
-    Each object that isn't empty also gives its vote as (node, "", "?map", "?mixed" or "?record"). ``fixed``: nodes
-    known to be maps or records, whatever the single object looks like.
+    Each object that isn't empty also gives its vote as (node, "", "?map", "?mixed" or "?record"), or with its name as child and
+    "?single". ``fixed``: nodes known to be maps or records, whatever the single object looks like.
     """
     vote = _vote(obj)
     if obj:
-        yield node, "", f"?{vote}"
-    as_map = fixed.get(node, vote == "map")
+        yield node, next(k for k, v in obj.items() if isinstance(v, dict)) if vote == "single" else "", f"?{vote}"
+    as_map = fixed.get(node, vote in ("map", "single"))
     for name, v in obj.items():
         if isinstance(v, dict):
             child, form = ("*", "map") if as_map else (name, "object")
@@ -107,17 +114,20 @@ def schema_graph(docs: DataFrame, kind_col: str, body_col: str) -> DataFrame:
 def decided(docs: DataFrame, kind_col: str, body_col: str) -> DataFrame:
     """The counted graph, with one decision for each node on whether it is a map.
 
-    A node whose objects disagree is a map if at least half of them are maps or hold more besides objects of one
-    form; so a value of another kind in some documents makes no record of it. A node of which no object is a map by
-    itself is a record. A decision names children anew, so the bodies are read again for the nodes below, from the
-    root downwards; where no objects disagree, they are read once.
+    A node whose objects disagree is a map if at least half of them, single ones aside, are maps or hold more besides objects
+    of one form; so a value of another kind in some documents makes no record of it. A node whose objects all hold one
+    object under the same name is a record, under changing names a map. A decision names children anew, so the bodies are
+    read again for the nodes below, from the root downwards; where nothing is to be decided, they are read once.
     """
     fixed: dict[tuple[str, str], bool] = {}
     while True:
         graph = checkpointed(_counted(docs, kind_col, body_col, fixed))
-        votes = [F.sum(F.when(F.col("form") == f"?{v}", F.col("n")).otherwise(0)).alias(v) for v in ("map", "mixed", "record")]
-        split = graph.where("child = ''").groupBy("kind", "node").agg(*votes).where("map > 0 and mixed + record > 0")
-        open_ = {(r["kind"], r["node"]): r["map"] + r["mixed"] >= r["record"] for r in split.limit(MAX_NODES + 1).collect() if (r["kind"], r["node"]) not in fixed}
+        votes = [F.sum(F.when(F.col("form") == f"?{v}", F.col("n")).otherwise(0)).alias(v) for v in ("map", "mixed", "record", "single")]
+        named = F.count_if(F.col("form") == "?single").alias("names")
+        split = graph.where(F.col("form").startswith("?")).groupBy("kind", "node").agg(*votes, named)
+        split = split.where("(map + single > 0 and mixed + record > 0) or (map + mixed + record = 0 and names = 1)")
+        rows = split.limit(MAX_NODES + 1).collect()
+        open_ = {(r["kind"], r["node"]): r["map"] + r["mixed"] >= max(1, r["record"]) for r in rows if (r["kind"], r["node"]) not in fixed}
         if not open_:
             return graph
         fixed |= {k: v for k, v in open_.items() if not any(k[0] == o[0] and k[1] != o[1] and k[1].startswith(o[1] + "/") for o in open_)}
@@ -125,19 +135,25 @@ def decided(docs: DataFrame, kind_col: str, body_col: str) -> DataFrame:
 
 @dataclass
 class Inlining:
-    """What becomes of each node. ``tables``: children with a table of their own, by (kind, node)."""
+    """What becomes of each node. ``tables``: children with a table of their own, by (kind, node); ``shared``: for each place of an element with several parents all its places."""
 
     tables: dict[tuple[str, str], set[str]] = field(default_factory=dict)
     inlined: dict[tuple[str, str], set[str]] = field(default_factory=dict)
     maps: set[tuple[str, str]] = field(default_factory=set)
     columns: dict[tuple[str, str], list[str]] = field(default_factory=dict)
+    shared: dict[tuple[str, str], tuple[str, ...]] = field(default_factory=dict)
+
+    def nodes(self, kind: str, node: str) -> tuple[str, ...]:
+        """The nodes whose records one table holds: all places of a shared element, else the node itself."""
+        return self.shared.get((kind, node), (node,))
 
 
 def plan_inlining(edges: list[tuple[str, str, str, str]]) -> Inlining:
     """Shared inlining: repeated, shared and recursive elements get tables, singleton descendants are inlined.
 
     A child is repeated if it was ever a list of objects, and a map's values are. It is recursive if its name
-    stands among its ancestors' names. One object in place of a list is the list's only element.
+    stands among its ancestors' names. It is shared if elements of its name and form stand under several parents; these
+    have one table, whatever their parents. One object in place of a list is the list's only element.
     """
     if len(edges) > MAX_NODES:
         raise ValueError(f"the schema graph has more than {MAX_NODES} edges; name the keys that are data")
@@ -154,11 +170,36 @@ def plan_inlining(edges: list[tuple[str, str, str, str]]) -> Inlining:
                 plan.tables.setdefault(key, set()).add(child)
             elif "object" in seen:
                 plan.inlined.setdefault(key, set()).add(child)
+    _share(plan, forms)
     for key in forms:
         plan.columns[key] = sorted(_columns(plan, forms, key, ""))
+    for (kind, node), places in plan.shared.items():
+        plan.columns[kind, node] = sorted({c for place in places for c in plan.columns.get((kind, place), ())})
     return plan
 
 
+def _share(plan: Inlining, forms: dict) -> None:
+    """Give elements of one name and form that have several parents a table, and note all their places."""
+    places: dict[tuple[str, str], list[tuple[str, frozenset]]] = {}
+    for (kind, node), children in forms.items():
+        for child, seen in children.items():
+            below = f"{node}/{child}"
+            if child not in ("", "*") and seen & {"object", "list"} and (kind, below) in forms and child not in node.split("/"):
+                places.setdefault((kind, child), []).append((below, frozenset(forms[kind, below]) - {""}))
+    for (kind, child), found in places.items():
+        while found:
+            first = found[0][1]
+            alike = [p for p in found if 2 * len(p[1] & first) >= len(p[1] | first)]
+            found = [p for p in found if p not in alike]
+            if len(alike) > 1:
+                every = tuple(sorted(node for node, _ in alike))
+                for node in every:
+                    parent = (kind, node.rpartition("/")[0])
+                    plan.shared[kind, node] = every
+                    plan.tables.setdefault(parent, set()).add(child)
+                    plan.inlined.get(parent, set()).discard(child)
+
+
 def _columns(plan: Inlining, forms: dict, key: tuple[str, str], prefix: str) -> Iterator[str]:
     for child, seen in forms.get(key, {}).items():
         if child in plan.tables.get(key, ()) or child == "*":
@@ -216,7 +257,8 @@ def shred(obj: dict, plan: Inlining, kind: str, node: str, path: str) -> Iterato
 def child_records(docs: DataFrame, id_col: str, kind_col: str, body_col: str, plan: Inlining | None = None) -> DataFrame:
     """Every child record of every document, linked to its parent: (id, kind, node, child_path, parent_path, pos, fields).
 
-    ``parent_path`` is empty where the parent is the document itself. Null and broken bodies give no row; null
+    ``parent_path`` is empty where the parent is the document itself; where a document is a list of objects, each of them is a
+    document whose paths begin with its position. Null and broken bodies give no row; null
     elements and null values of a map count as positions but are no records; a list held as text or replaced by its only object is read
     as the list. Repeated documents give their rows each. Two passes over the bodies: the graph, the rows.
     """
@@ -229,8 +271,9 @@ def child_records(docs: DataFrame, id_col: str, kind_col: str, body_col: str, pl
             out = []
             for i, kind, body in zip(pdf["id"], pdf["kind"], pdf["body"], strict=True):
                 root = loads(body)
-                if isinstance(root, dict):
-                    out += [(i, kind, n, c, p, k, f) for n, c, p, k, f in shred(root, plan, kind, "", "")]
+                for pos, r in enumerate(root if isinstance(root, list) else [root]):
+                    if isinstance(r, dict):
+                        out += [(i, kind, n, c, p, k, f) for n, c, p, k, f in shred(r, plan, kind, "", str(pos) if isinstance(root, list) else "")]
             yield pd.DataFrame(out, columns=["id", "kind", "node", "child_path", "parent_path", "pos", "fields"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(kind_col).alias("kind"), F.col(body_col).alias("body"))
@@ -238,7 +281,10 @@ def child_records(docs: DataFrame, id_col: str, kind_col: str, body_col: str, pl
 
 
 def child_table(records: DataFrame, plan: Inlining, kind: str, node: str) -> DataFrame:
-    """The flat table of one kind of child; dots of inlined names become underscores, a clash gets a number."""
+    """The flat table of one kind of child; dots of inlined names become underscores, a clash gets a number.
+
+    The table of a shared element holds its records under all parents, whichever of its nodes is named.
+    """
     columns, names = plan.columns.get((kind, node), []), {}
     taken = set(records.columns)
     for c in columns:
@@ -248,5 +294,5 @@ def child_table(records: DataFrame, plan: Inlining, kind: str, node: str) -> Dat
         taken.add(name)
         names[c] = name
     keep = [c for c in records.columns if c not in ("kind", "node", "fields")]
-    mine = records.where((F.col("kind") == kind) & (F.col("node") == node))
+    mine = records.where((F.col("kind") == kind) & F.col("node").isin(*plan.nodes(kind, node)))
     return mine.select(*keep, *[F.col("fields")[c].alias(n) for c, n in names.items()])

@@ -124,3 +124,17 @@ def test_one_odd_document_hides_no_children(spark):
     assert sorted((r["report_id"], r["child_path"]) for r in recs.collect()) == sorted((i, p) for i, (_, _, ps) in enumerate(bodies) for p in ps)
     targets = {(r["child_path"], r["pos"], r["v"]) for r in nested.child_table(recs, plan, "receipts", "/*").collect()}
     assert targets == {("T", 0, "1"), ("U", 1, "2"), ("X", 1, None), ("Y", 1, None), ("Z", 0, None)}
+
+
+def test_list_roots_and_shared_elements(spark):
+    owner = {"name": "n", "mail": "m"}
+    bodies = [[{"findings": [{"v": 1}]}, None, {"findings": {"v": 2}}], {"findings": [{"v": 3, "owner": owner}], "owner": owner, "meta": {"author": {"a": 1}}, "parts": {"left": {"x": 1}, "right": {"y": 2}}}]
+    rows = [(n, "k", json.dumps(b), "", "") for n, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, REPORT)
+    plan = nested.analyse(df, "kind", "body")
+    records = nested.child_records(df, "report_id", "kind", "body", plan)
+    got = {(r["report_id"], r["child_path"], r["parent_path"]) for r in records.collect()}
+    assert got == {(0, "0/findings/0", "0"), (0, "2/findings/0", "2"), (1, "findings/0", ""), (1, "findings/0/owner/0", "findings/0"), (1, "owner/0", "")}
+    owners = nested.child_table(records, plan, "k", "/owner")
+    assert sorted((r["parent_path"], r["name"], r["mail"]) for r in owners.collect()) == [("", "n", "m"), ("findings/0", "n", "m")]
+    assert plan.nodes("k", "/findings/owner") == ("/findings/owner", "/owner")
