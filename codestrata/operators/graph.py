@@ -7,9 +7,10 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.operators.corpus import LANGUAGES
 from codestrata.session import checkpointed
 
-STRIP = r"\.(ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|kt|rb|swift|c|h|php)$"
+STRIP = r"\.(" + "|".join(e for g in LANGUAGES for e in g.extensions.split()) + r")$"
 COUPLED, STRONGLY, GOD_LINES, GOD_EXPORTS = 4, 8, 500, 8
 
 
@@ -81,15 +82,11 @@ def god_modules(exports: DataFrame) -> DataFrame:
     return exports.where((F.col("n_lines") > GOD_LINES) & (F.col("n_exports") > GOD_EXPORTS))
 
 
-def cycle_members(edges: DataFrame) -> DataFrame:
-    """(repo, module) of modules on or between cycles: what is left when modules without importers or imports are peeled.
-
-    Each round drops edges whose source nobody imports or whose target imports nothing; rounds end when none is
-    dropped, at most as many as the longest path. Two semi-joins a round, lineage cut in the shared folder.
-    """
-    live = checkpointed(edges)
+def _peeled(edges: DataFrame) -> DataFrame:
+    """The edges left when modules without importers or imports are taken away until none is: those on or between cycles."""
+    live = checkpointed(edges.select("repo", "src", "dst"))
     n = live.count()
-    while True:
+    while n:
         ins = live.select("repo", F.col("dst").alias("src")).distinct()
         outs = live.select("repo", F.col("src").alias("dst")).distinct()
         nxt = checkpointed(live.join(ins, ["repo", "src"], "left_semi").join(outs, ["repo", "dst"], "left_semi").select("repo", "src", "dst"))
@@ -97,7 +94,70 @@ def cycle_members(edges: DataFrame) -> DataFrame:
         if m == n:
             break
         live, n = nxt, m
-    return live.select("repo", F.col("src").alias("module")).unionByName(live.select("repo", F.col("dst").alias("module"))).distinct()
+    return live
+
+
+def _spread_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(repo, module, label): each module's smallest label, its own or one that an edge path brings; until none changes."""
+    while True:
+        brought = edges.join(labels.withColumnRenamed("module", "src"), ["repo", "src"]).groupBy("repo", F.col("dst").alias("module")).agg(F.min("label").alias("brought"))
+        step = labels.join(brought, ["repo", "module"], "left")
+        nxt = checkpointed(step.select("repo", "module", F.least("label", "brought").alias("label"), (F.col("brought") < F.col("label")).alias("fell")))
+        labels = nxt.drop("fell")
+        if nxt.where("fell").isEmpty():
+            return labels
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(repo, component, module) of modules on cycles; ``component`` is the smallest module of a strongly connected component.
+
+    Modules off all cycles are peeled first. Then, by colours: each module takes the smallest module that reaches it;
+    within one colour, the modules that reach the colour's own module are its component. Components are taken away and
+    the rest, modules between cycles, is peeled and coloured again. Each step is an equi-join or an aggregate by module,
+    with its lineage cut in the shared folder; no component is ever gathered.
+    """
+    found = None
+    live = _peeled(edges)
+    while not live.isEmpty():
+        modules = live.select("repo", F.col("src").alias("module")).unionByName(live.select("repo", F.col("dst").alias("module"))).distinct()
+        colours = _spread_labels(live, modules.withColumn("label", F.col("module")))
+        a = colours.select("repo", F.col("module").alias("src"), F.col("label").alias("component"))
+        b = colours.select("repo", F.col("module").alias("dst"), F.col("label").alias("component"))
+        within = checkpointed(live.join(a, ["repo", "src"]).join(b, ["repo", "dst", "component"]))
+        backward = within.select(F.struct("repo", "component").alias("repo"), F.col("dst").alias("src"), F.col("src").alias("dst"))
+        # 0 starts at the colour's own module, 1 everywhere else; what 0 reaches backwards is the component
+        seeds = colours.select(F.struct("repo", F.col("label").alias("component")).alias("repo"), "module", F.when(F.col("module") == F.col("label"), 0).otherwise(1).alias("label"))
+        reached = _spread_labels(backward, seeds).where("label = 0").select("repo.repo", "repo.component", "module")
+        found = reached if found is None else found.unionByName(reached)
+        gone = reached.select("repo", "module")
+        rest = live.join(gone.withColumnRenamed("module", "src"), ["repo", "src"], "left_anti").join(gone.withColumnRenamed("module", "dst"), ["repo", "dst"], "left_anti")
+        live = _peeled(rest)
+    if found is None:
+        return edges.select("repo", F.col("src").alias("component"), F.col("src").alias("module")).where("false")
+    size = found.groupBy("repo", "component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return checkpointed(found.join(size, ["repo", "component"], "left_semi"))
+
+
+def cycles(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(repo, root, n_modules, path): one row for each component of ``cycle_members``, with a shortest cycle through its smallest module.
+
+    Of several shortest ones the first by name. Rounds end when every component's cycle is closed, at most as many as the
+    longest of them has modules; a module is gone through once, by its first path.
+    """
+    names = members.select("repo", F.col("module").alias("src"), "component"), members.select("repo", F.col("module").alias("dst"), "component")
+    inner = checkpointed(edges.join(names[0], ["repo", "src"]).join(names[1], ["repo", "dst", "component"]).select("repo", "component", "src", "dst"))
+    sizes = checkpointed(members.groupBy("repo", "component").agg(F.count(F.lit(1)).alias("n_modules")))
+    front = sizes.select("repo", "component", F.col("component").alias("module"), F.array("component").alias("path"))
+    seen, closed = front, None
+    while True:
+        step = front.join(inner.withColumnRenamed("src", "module"), ["repo", "component", "module"]).select("repo", "component", F.col("dst").alias("module"), F.concat("path", F.array("dst")).alias("path"))
+        first = checkpointed(step.groupBy("repo", "component", "module").agg(F.min("path").alias("path")))
+        done = first.where("module = component")
+        closed = done if closed is None else closed.unionByName(done)
+        front = checkpointed(first.join(done, ["repo", "component"], "left_anti").join(seen, ["repo", "component", "module"], "left_anti"))
+        if front.isEmpty():
+            return closed.join(sizes, ["repo", "component"]).select("repo", F.col("component").alias("root"), "n_modules", "path")
+        seen = seen.unionByName(front)
 
 
 def reachable(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
@@ -116,9 +176,9 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int | None = None) ->
     return seen
 
 
-def causal_chains(cycles: DataFrame, coupled: DataFrame, gods: DataFrame) -> DataFrame:
-    """(kind, repo, root, severity): cycles HIGH, coupling HIGH beyond STRONGLY importers else MED, god modules MED."""
-    a = cycles.select(F.lit("cycle").alias("kind"), "repo", F.col("module").alias("root"), F.lit("HIGH").alias("severity"))
+def causal_chains(members: DataFrame, coupled: DataFrame, gods: DataFrame) -> DataFrame:
+    """(kind, repo, root, severity): cycles HIGH, one for each component; coupling HIGH beyond STRONGLY importers else MED; god modules MED."""
+    a = members.select(F.lit("cycle").alias("kind"), "repo", F.col("component").alias("root"), F.lit("HIGH").alias("severity")).distinct()
     b = coupled.select(F.lit("coupling").alias("kind"), "repo", F.col("module").alias("root"), F.when(F.col("n") > STRONGLY, "HIGH").otherwise("MED").alias("severity"))
     c = gods.select(F.lit("god-module").alias("kind"), "repo", F.col("rel_path").alias("root"), F.lit("MED").alias("severity"))
     return a.unionByName(b).unionByName(c)

@@ -13,7 +13,7 @@ def _map(pairs) -> str:
     return "map {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs) + "}"
 
 
-_LANGS = _map((e, n) for n, exts, _ in corpus.LANGUAGES for e in exts.split())
+_LANGS = _map((e, g.name) for g in corpus.LANGUAGES for e in g.extensions.split())
 _NAMES = _map(corpus.FILE_NAMES.items())
 _LANGUAGE = f"coalesce({_NAMES}[lower(regexp_extract(rel_path, '([^/]+)$', 1))], {_LANGS}[lower(regexp_extract(rel_path, '\\.([^./]+)$', 1))])"
 _IGNORED = ", ".join(f"'{x}'" for x in corpus.IGNORED)
@@ -25,37 +25,45 @@ x as (select file_id, repo, rel_path, lang, unnest(lines) as line, generate_subs
 """
 
 
-def _first_group(pattern: str, n: int) -> str:
-    return "coalesce(" + ", ".join(f"nullif(regexp_extract(line, '{_q(pattern)}', {k}), '')" for k in range(1, n + 1)) + ")"
+def _by_lang(value) -> str:
+    return "case lang " + " ".join(f"when '{g.name}' then {value(g)}" for g in corpus.LANGUAGES if g.extracted) + " end"
 
 
-_TODO = "(?i)" + corpus.TODO
-IMPORTS = f""", i as (select file_id, repo, rel_path, line_no, {_first_group(corpus.IMPORT, 7)} as source from x where regexp_matches(line, '{_q(corpus.IMPORT)}'))
-"""
+def _name(line: str, patterns: tuple[str, ...], skip: tuple[str, ...] = ()) -> str:
+    """What the first pattern captures that captures something but the words to skip."""
+    words = ", ".join(f"'{w}'" for w in ("", *skip))
+    return "coalesce(" + ", ".join(f"(select n from (select regexp_extract({line}, '{_q(p)}', 1) as n) where n not in ({words}))" for p in patterns) + ", null)" if patterns else "null"
 
 
+_TODO = "(?i)" + corpus.TODO
+IMPORTS = f""", i as (select * from (select file_id, repo, rel_path, line_no, {_by_lang(lambda g: _name("regexp_replace(line, '^[ \\t]+', '')", g.imports))} as source from x) where source is not null)
+"""
 PACKAGES = """, w as (select repo, regexp_replace(regexp_replace(rel_path, '[^/]*$', ''), '/$', '') as src,
-  regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(rel_path, '[^/]*$', '') || source, '[^/]+/[.][.]/', '', 'g'), './', ''), '[.](ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|kt|rb|swift|c|h|php)$', ''), '/index$', ''), '^/', '') as want
+  regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(rel_path, '[^/]*$', '') || source, '[^/]+/[.][.]/', '', 'g'), './', ''), '{strip}', ''), '/index$', ''), '^/', '') as want
   from i where starts_with(source, '.')),
 k as (select distinct repo, regexp_replace(regexp_replace(rel_path, '[^/]*$', ''), '/$', '') as folder from s),
 o as (select distinct w.repo, src, case when exists (select 1 from k where k.repo = w.repo and folder = want) then want
   when exists (select 1 from k where k.repo = w.repo and folder = regexp_replace(regexp_replace(want, '[^/]*$', ''), '/$', '')) then regexp_replace(regexp_replace(want, '[^/]*$', ''), '/$', '') end as dst from w),
 e as (select distinct repo, src, dst from o where src <> dst)
+""".replace("{strip}", graph.STRIP)
+#: Modules on cycles with the smallest module that reaches them and that they reach, over edges e; needs a recursive WITH.
+COMPONENTS = """, re as (select repo, src, dst from e union select re.repo, re.src, e.dst from re join e on e.repo = re.repo and e.src = re.dst),
+cy as (select a.repo, a.src as module, least(a.src, min(a.dst)) as component from re a join re b on b.repo = a.repo and b.src = a.dst and b.dst = a.src where a.src <> a.dst group by a.repo, a.src)
 """
+EXPORTS = r", ge as (select file_id, repo, rel_path, n_lines, len(regexp_extract_all(array_to_string(lines, chr(10)), '\bexport\b'))::integer as n_exports from l)" + "\n"
+GODS = f"n_lines > {graph.GOD_LINES} and n_exports > {graph.GOD_EXPORTS}"
 
 
 def _function_sql() -> str:
-    heads = " or ".join(f"(lang = '{k}' and regexp_matches(line, '{_q(p)}'))" for k, p in corpus.FUNCTION.items())
-    name = "case lang " + " ".join(f"when '{k}' then regexp_extract(line, '{_q(p)}', 1)" for k, p in corpus.FUNCTION.items()) + " end"
-    return f""", h as (select *, {name} as name from x where {heads}),
-    fe as (select h.*, coalesce(lead(h.line_no) over (partition by h.file_id order by h.line_no) - 1, greatest(h.line_no, l.n_lines)) as end_line, l.lines from h join l using (file_id)),
-    b as (select *, array_to_string(list_slice(lines, line_no, end_line), chr(10)) as body, regexp_extract(line, '\\(([^()]*)\\)[^(]*$', 1) as params from fe),
-    fn as (select file_id, rel_path, lang, name, line_no as start_line, end_line::integer as end_line, (end_line - line_no + 1)::integer as n_lines,
-      (1 + len(regexp_extract_all(body, '{_q(corpus.BRANCH)}')))::integer as complexity,
-      regexp_matches(line, '(^|[^A-Za-z0-9_])async($|[^A-Za-z0-9_])') as is_async,
-      regexp_matches(body, 'try|catch|except|rescue|Result<|if err') as has_error_handling,
-      (case when trim(params) = '' then 0 else len(string_split(params, ',')) end)::integer as n_params
-    from b)
+    """Heads, the lines ahead of each with running sums of its braces, and the first line where they are closed."""
+    return rf""", h as (select * from (select *, {_by_lang(lambda g: _name("line", g.functions, corpus.NO_NAMES))} as name from x) where name is not null),
+    rb as (select h.file_id, h.line_no as s, x.line_no as j, sum(length(x.line) - length(replace(x.line, '{{', ''))) over w as up, sum(length(replace(x.line, '}}', '')) - length(replace(x.line, '{{', ''))) over w as depth
+      from h join x on x.file_id = h.file_id and x.line_no between h.line_no and h.line_no + {corpus.MOST_LINES - 1} window w as (partition by h.file_id, h.line_no order by x.line_no)),
+    ends as (select file_id, s, coalesce(min(j) filter (where up > 0 and depth <= 0), s)::integer as e from rb group by file_id, s),
+    fb as (select h.*, e, array_to_string(list_slice(l.lines, h.line_no, e), chr(10)) as body from h join ends on ends.file_id = h.file_id and ends.s = h.line_no join l on l.file_id = h.file_id),
+    fn as (select file_id, repo, rel_path, lang, name, line_no as start_line, e as end_line, (e - line_no + 1)::integer as n_lines,
+      (1 + len(regexp_extract_all(body, {_by_lang(lambda g: f"'{_q(g.branches)}'")})))::integer as complexity, contains(line, 'async') as is_async, regexp_matches(body, '{_q(corpus.HANDLES)}') as has_error_handling,
+      len(list_filter(string_split(regexp_extract(line, '\(([^)]*)\)', 1), ','), lambda p: trim(p) <> ''))::integer as n_params from fb)
     """
 
 
@@ -68,20 +76,26 @@ def _risk() -> str:
     density = "case when d = 0 then 0.0::double " + " ".join(f"when d < {b} then {r}::double" for b, r in risk.DENSITY) + " else 0.8::double end"
     total = " + ".join(f"{w}::double * {k}" for k, w in risk.WEIGHTS.items())
     strip = _q(graph.STRIP)
+    folders = " or ".join(f"contains(rel_path, '{f}')" for f in risk.TEST_FOLDERS)
+    suffixes = ", ".join(f"'{x}'" for x in risk.TEST_SUFFIXES)
     return (
         SCANNED
         + IMPORTS
         + _function_sql()
-        + f""", wm as (select distinct repo, regexp_replace(rel_path, '{strip}', '') as src, regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(rel_path, '[^/]*$', '') || source, '[^/]+/[.][.]/', '', 'g'), './', ''), '{strip}', ''), '^/', '') as want
+        + rf""", wm as (select distinct repo, regexp_replace(rel_path, '{strip}', '') as src, regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(rel_path, '[^/]*$', '') || source, '[^/]+/[.][.]/', '', 'g'), './', ''), '{strip}', ''), '^/', '') as want
       from i where starts_with(source, '.')),
     me as (select distinct repo, src, dst from (select repo, src, unnest([want, want || '/index']) as dst from wm) q where src <> dst and exists (select 1 from s where s.repo = q.repo and regexp_replace(s.rel_path, '{strip}', '') = dst)),
     md as (select repo, dst as module, count(*) as n from me group by all),
     fa as (select file_id, avg(complexity) as avg_c, max(n_lines) as max_l from fn group by 1),
     ta as (select file_id, count(*) as n_todo from x where regexp_matches(line, '{_TODO}') group by 1),
-    st as (select distinct repo, regexp_extract(rel_path, '^(.*/)?([^/]+?)[._](test|spec)[.][a-z]+$', 2) as stem from l where regexp_matches(rel_path, '^(.*/)?([^/]+?)[._](test|spec)[.][a-z]+$')),
-    rb as (select l.*, regexp_replace(regexp_extract(rel_path, '([^/]+)$', 1), '[.][a-z]+$', '') as stem, regexp_replace(rel_path, '{strip}', '') as module from l where lang is not null and lang <> 'markdown'),
-    rf as (select rb.file_id, rb.repo, rb.rel_path, coalesce(avg_c, 1.0) as c, coalesce(n, 0) as k, (st.stem is not null) as has_test, coalesce(n_todo, 0)::double / greatest(n_lines, 1) as d, coalesce(max_l, 0) as m
-      from rb left join fa using (file_id) left join ta using (file_id) left join md on md.repo = rb.repo and md.module = rb.module left join st on st.repo = rb.repo and st.stem = rb.stem),
+    nm as (select *, regexp_extract(rel_path, '([^/]+)$', 1) as name from l),
+    tr as (select distinct repo from l where {folders}),
+    st as (select distinct repo, left(name, length(name) - length(u)) as stem from nm, unnest([{suffixes}]) q(u) where ends_with(name, u)
+      union select repo, regexp_extract(name, '^test_(.*)[.]pyw?$', 1) from nm where regexp_matches(name, '^test_.*[.]pyw?$')),
+    rb2 as (select *, case when position('.' in substr(name, 2)) > 0 then regexp_replace(name, '[.][^.]*$', '') else name end as stem, regexp_replace(rel_path, '{strip}', '') as module from nm where lang is not null and lang <> 'markdown'),
+    rf as (select r.file_id, r.repo, r.rel_path, coalesce(avg_c, 1.0) as c, coalesce(n, 0) as k, (exists (select 1 from st where st.repo = r.repo and st.stem = r.stem) or exists (select 1 from tr where tr.repo = r.repo)) as has_test,
+      coalesce(n_todo, 0)::double / greatest(n_lines, 1) as d, coalesce(max_l, 0) as m
+      from rb2 r left join fa using (file_id) left join ta using (file_id) left join md on md.repo = r.repo and md.module = r.module),
     rs as (select file_id, repo, rel_path, {_steps('c', risk.COMPLEXITY)} as complexity, {_steps('k', risk.COUPLING)} as coupling, case when has_test then 0.0::double else 0.5::double end as untested, {density} as density, {_steps('m', risk.SIZE)} as size from rf),
     rk as (select *, round(least(1.0::double, {total}), 9) as score from rs),
     rt as (select *, case when score >= {risk.HIGH} then 'high' when score >= {risk.MEDIUM} then 'medium' else 'low' end as tier from rk)
@@ -89,41 +103,95 @@ def _risk() -> str:
     )
 
 
+def _recursive(sql: str) -> str:
+    return sql.replace("with s as", "with recursive s as", 1)
+
+
+def _audit() -> str:
+    """Everything a verdict is made of: scores, cycles, coupling, god modules, and the findings that are reported."""
+    return _recursive(_risk()) + PACKAGES + COMPONENTS + EXPORTS + _pattern_rows() + _REPORTED + f", cp as (select repo, dst as module, count(*) as n from e group by all having count(*) > {graph.COUPLED})\n"
+
+
 def _verdict() -> str:
-    weight = "case severity " + " ".join(f"when '{s}' then case tier when 'high' then {h}::double when 'medium' then {m}::double else {o}::double end" for s, (h, m, o) in risk.PENALTY.items()) + " else 0.0::double end"
-    qual = ", ".join(f"'{r.name}'" for r in patterns.RULES if r.tier == "qual")
+    weight = "case when surface = 'quality' then 0.0 else case severity " + " ".join(f"when '{s}' then case tier when 'high' then {h}::double when 'medium' then {m}::double else {o}::double end" for s, (h, m, o) in risk.PENALTY.items()) + " else 0.0::double end end"
     return (
-        _risk().replace("with s as", "with recursive s as", 1)
-        + PACKAGES
-        + _pattern_rows()
-        + f""", kept as (select p.file_id, severity, tier, p.repo from p join rt using (file_id) where not regexp_matches(p.rel_path, '{patterns.TEST_FILE}') and (rule not in ({qual}) or tier <> 'low')),
-    re as (select repo, src, dst from e union select re.repo, re.src, e.dst from re join e on e.repo = re.repo and e.src = re.dst),
-    cy as (select distinct repo, src as module from re where src = dst),
-    bt as (select repo, module from cy union select a.repo, a.dst from re a join cy on cy.repo = a.repo and cy.module = a.src join re b on b.repo = a.repo and b.src = a.dst join cy c2 on c2.repo = b.repo and c2.module = b.dst),
-    ge as (select repo, file_id from l where n_lines > {graph.GOD_LINES} and len(regexp_extract_all(array_to_string(lines, chr(10)), '(?:^|[^A-Za-z0-9_])export(?:[^A-Za-z0-9_]|$)')) > {graph.GOD_EXPORTS}),
-    rr as (select repo, count(*) as n_files, avg(score) as mean_risk, count(*) filter (where tier = 'high') as n_high, count(*) filter (where tier = 'medium') as n_medium from rt group by 1),
+        _audit()
+        + f""", rr as (select repo, count(*) as n_files, avg(score) as mean_risk, count(*) filter (where tier = 'high') as n_high, count(*) filter (where tier = 'medium') as n_medium from rt group by 1),
     v as (select rr.repo, n_files, n_high, n_medium,
-      (select count(*) from kept where kept.repo = rr.repo) as n_findings, (select count(*) from bt where bt.repo = rr.repo) as n_cyclic,
-      (select count(*) from (select repo, dst from e group by all having count(*) > {graph.COUPLED}) q where q.repo = rr.repo) as n_coupled, (select count(*) from ge where ge.repo = rr.repo) as n_god,
-      coalesce((select avg(fn.complexity) from fn join rt using (file_id) where rt.repo = rr.repo), 1.0) as avg_c, coalesce((select sum({weight}) from kept where kept.repo = rr.repo), 0.0) as penalty, mean_risk from rr),
-    z as (select *, greatest(0.0, 1 - least(1.0, (avg_c - 1) / 30)) as a, greatest(0.0, 1 - least(1.0, 0.15 * n_cyclic) - least(0.3, 0.05 * n_coupled) - least(0.2, 0.05 * n_god))::double as b, 1 - mean_risk as c, 1 - least(1.0, penalty) as d from v)
-    select repo, n_files, n_high, n_medium, n_findings, n_cyclic, n_coupled, n_god, round(a, 6) as complexity_score, round(b, 6) as dependency_score, round(c, 6) as risk_score, round(d, 6) as adversarial_score,
+      (select count(*) from kept where kept.repo = rr.repo) as n_findings, (select count(*) from kept where kept.repo = rr.repo and surface = 'quality') as n_quality,
+      (select count(distinct component) from cy where cy.repo = rr.repo) as n_cycles, (select count(*) from cp where cp.repo = rr.repo) as n_coupled, (select count(*) from ge where ge.repo = rr.repo and {GODS}) as n_god,
+      coalesce((select avg(fn.complexity) from fn join rt using (file_id) where rt.repo = rr.repo), 1.0) as avg_c, coalesce((select sum({weight}) from kept join rt using (file_id) where kept.repo = rr.repo), 0.0) as penalty, mean_risk from rr),
+    z as (select *, greatest(0.0, 1 - least(1.0, (avg_c - 1) / 30)) as a, greatest(0.0, 1 - least(1.0, 0.15 * n_cycles) - least(0.3, 0.05 * n_coupled) - least(0.2, 0.05 * n_god))::double as b, 1 - mean_risk as c, 1 - least(1.0, penalty) as d from v)
+    select repo, n_files, n_high, n_medium, n_findings, n_quality, n_cycles, n_coupled, n_god, round(a, 6) as complexity_score, round(b, 6) as dependency_score, round(c, 6) as risk_score, round(d, 6) as adversarial_score,
       round(least(0.99, 1.5 * mean_risk), 6) as bug_probability, round(0.25 * a + 0.30 * b + 0.25 * c + 0.20 * d, 6) as score,
       case when round(0.25 * a + 0.30 * b + 0.25 * c + 0.20 * d, 6) >= {risk.THRESHOLD} then 'APPROVED' else 'REJECTED' end as verdict from z"""
     )
 
 
+def _issues() -> str:
+    sources = {
+        "cycle": ("select distinct repo, 'HIGH' as severity, component as file, null::integer as line, component as o1, 0 as o2, 0 as o3, '' as o4 from cy"),
+        "risk": ("select repo, 'HIGH', rel_path, null, '', -score, file_id, rel_path from rt where tier = 'high'"),
+        "finding": ("select repo, 'HIGH', rel_path, line_no, rel_path, file_id, line_no, rule from kept where severity = 'HIGH' and surface <> 'quality'"),
+        "god-module": (f"select repo, 'MED', rel_path, null, rel_path, file_id, 0, '' from ge where {GODS}"),
+        "coupling": ("select repo, 'MED', module, null, '', -n, 0, module from cp"),
+        "large-function": ("select rt.repo, 'MED', fn.rel_path, start_line, fn.rel_path, fn.file_id, start_line, '' from fn join rt using (file_id) where n_lines > 100"),
+    }
+    order = {"risk": "o2, o4, o3", "coupling": "o2, o4"}
+    parts = [
+        f"select *, row_number() over (partition by repo order by {order.get(k, 'o1, o2, o3, o4')}) as n, {i} as s, '{k}' as source from (select q.* from ({sql}) q(repo, severity, file, line, o1, o2, o3, o4)) qualify n <= {risk.ISSUES[k]}"
+        for i, (k, sql) in enumerate(sources.items())
+    ]
+    return (
+        _audit()
+        + ", every as ("
+        + " union all ".join(f"({x})" for x in parts)
+        + f"""), once as (select * from every qualify row_number() over (partition by repo, file, severity order by s, n) = 1)
+    select repo, row_number() over (partition by repo order by case severity when 'HIGH' then 0 else 1 end, s, n)::integer as rank, severity, source, file, line from once qualify rank <= {risk.MOST_ISSUES}"""
+    )
+
+
+def _condition(r: patterns.Rule) -> str:
+    """A rule as a predicate of the line number i over the array ``lines``."""
+    hit = lambda text, pattern: f"regexp_matches({text}, '{_q(pattern)}')"
+    parts = [hit("lines[i]", r.has)]
+    if r.lacks:
+        parts.append("not " + hit("lines[i]", r.lacks))
+    a, b = r.window
+    text = f"(case when i + ({b}) < 1 then '' else array_to_string(list_slice(lines, greatest(1, i + ({a})), i + ({b})), chr(10)) end)"
+    if r.no:
+        parts.append("not " + hit(text, r.no))
+    if r.some:
+        parts.append(hit(text, r.some))
+    part = f"regexp_extract(lines[i], '{_q(r.part)}', 1)"
+    if r.part_some:
+        parts.append(hit(part, r.part_some))
+    if r.part_no:
+        parts.append("not " + hit(part, r.part_no))
+    if r.whole_no:
+        parts.append("not " + hit(f"regexp_extract(lines[i], '{_q(r.part)}')", r.whole_no))
+    return " and ".join(parts)
+
+
 def _pattern_rows() -> str:
+    unread = ", ".join(f"'{x}'" for x in patterns.NOT_READ)
     parts = []
     for k, r in enumerate(patterns.RULES):
+        names = ", ".join(f"'{x}'" for x in r.langs.lstrip("-").split())
+        langs = "true" if not r.langs else f"lang {'not ' if r.langs[0] == '-' else ''}in ({names})"
         parts.append(
-            f"select file_id, repo, rel_path, {k} as detector, '{r.name}' as rule, '{r.type}' as type, '{r.severity}' as severity, "
-            f"unnest(list_filter(range(1, len(lines) + 1), lambda i: {patterns.condition_sql(r, False)}))::integer as line_no "
-            f"from l where lang is not null and lang <> 'markdown' and {patterns.applies_sql(r)}"
+            f"select file_id, repo, rel_path, {k} as detector, {r.stage} as stage, '{r.name}' as rule, '{r.type}' as type, '{r.severity}' as severity, '{r.tier}' as tier_of, '{r.surface}' as surface, "
+            f"unnest(list_filter(range(1, len(lines) + 1), lambda i: {_condition(r)}))::integer as line_no from l where lang not in ({unread}) and {langs}"
         )
     return ", p as (" + " union all ".join(parts) + ")\n"
 
 
+_NEAR = "row_number() over (partition by file_id, type, line_no // 3 order by stage, line_no, detector)"
+_REPORTED = f""", gt as (select p.* from p where tier_of = 'sec' and not regexp_matches(rel_path, '{patterns.TEST_FILE}') union all select p.* from p where tier_of = 'qual' and file_id in (select file_id from rt where tier <> 'low')),
+kept as (select * from (select *, {_NEAR} as near from gt) where near = 1 and not regexp_matches(rel_path, '{patterns.NOT_PRODUCT}'))
+"""
+
+
 DELIVERED = """with d as (
   select ord, scan_id, repo, source, coalesce(file, json_extract_string(payload, '$.file')) as file,
     greatest(coalesce(line, try_cast(trim(json_extract_string(payload, '$.line')) as integer), 0), 0)::integer as line,
@@ -173,6 +241,9 @@ def _conditions() -> str:
     return "with e as (select event_type, json_extract_string(props, '$.k') as v from events) " + rows
 
 
+#: Steps of each user from one type of event to another.
+_EVENTS = """with recursive e as (select distinct repo, src, dst from (select user_id::varchar as repo, event_type as src, lead(event_type) over (partition by user_id order by ts, event_id) as dst from events) where src <> dst)
+"""
 _RATIOS = "case when tp + fp = 0 then null else tp / (tp + fp) end as precision_val, case when tp + fn = 0 then null else tp / (tp + fn) end as recall"
 
 
@@ -183,24 +254,57 @@ def oracle_sql() -> dict[str, str]:
         "loc_per_file": SCANNED + "select file_id, lang, n_lines from l",
         "language_loc": SCANNED + "select lang, count(*) as n_files, sum(n_lines)::bigint as n_lines from l group by lang",
         "line_explode": SCANNED + "select file_id, line_no, length(line)::integer as n_chars from x",
-        "extract_imports": SCANNED + IMPORTS + "select file_id, rel_path, line_no, source, starts_with(source, '.') as is_relative from i where source is not null",
-        "extract_classes": SCANNED + f"select file_id, rel_path, line_no, regexp_extract(line, '{corpus.CLASS}', 1) as kind, regexp_extract(line, '{corpus.CLASS}', 2) as name from x where regexp_matches(line, '{corpus.CLASS}')",
+        "extract_imports": SCANNED + IMPORTS + "select file_id, rel_path, line_no, source, starts_with(source, '.') as is_relative from i",
+        "extract_classes": SCANNED
+        + f"""select * from (select file_id, rel_path, line_no, case when contains(lower(line), 'interface') then 'interface' when contains(lower(line), 'struct') then 'struct' when contains(lower(line), 'enum') then 'enum'
+          when contains(lower(line), 'protocol') then 'protocol' else 'class' end as kind, {_by_lang(lambda g: _name("line", g.classes))} as name from x) where name is not null""",
         "extract_todos": SCANNED + f"select file_id, rel_path, line_no, upper(regexp_extract(line, '{_TODO}', 1)) as kind from x where regexp_matches(line, '{_TODO}')",
-        "extract_functions": SCANNED + _function_sql() + "select * from fn",
-        "export_counts": SCANNED + "select file_id, rel_path, n_lines, len(regexp_extract_all(array_to_string(lines, chr(10)), '(?:^|[^A-Za-z0-9_])export(?:[^A-Za-z0-9_]|$)'))::integer as n_exports from l",
+        "extract_functions": SCANNED + _function_sql() + "select * exclude (repo) from fn",
+        "flagged_functions": SCANNED
+        + _function_sql()
+        + "select file_id, rel_path, name, start_line, n_lines, complexity, n_lines > 100 as is_large, complexity > 15 as is_complex from fn where n_lines > 100 or complexity > 15",
+        "unsupported_files": SCANNED
+        + r"select repo, lower(regexp_extract(rel_path, '[.]([^./]+)$', 1)) as extension, count(*) as n_files, sum(n_lines)::bigint as n_lines from l where lang in ('cpp', 'terraform', 'dockerfile') group by all",
+        "scan_metrics": SCANNED
+        + _function_sql()
+        + f""", t as (select repo, count(*) as n from x where regexp_matches(line, '{_TODO}') group by repo)
+        select repo, count(*) as n_files, sum(n_lines)::bigint as n_lines, coalesce((select count(*) from fn where fn.repo = l.repo), 0) as n_functions, coalesce((select sum(complexity) from fn where fn.repo = l.repo), 0)::bigint as total_complexity,
+          coalesce((select n from t where t.repo = l.repo), 0) as n_todos, (select count(*) from fn where fn.repo = l.repo and n_lines > 100) as n_large, (select count(*) from fn where fn.repo = l.repo and complexity > 15) as n_complex from l group by repo""",
+        "export_counts": SCANNED + EXPORTS + "select file_id, rel_path, n_lines, n_exports from ge",
         "pattern_findings": SCANNED + _pattern_rows() + "select file_id, rule, type, severity, line_no from p",
         "findings_by_type": SCANNED + _pattern_rows() + f"select type, severity, count(*) as n, count(distinct file_id) as n_files from p where not regexp_matches(rel_path, '{patterns.TEST_FILE}') group by type, severity",
-        "dedup_near_findings": SCANNED
+        "dedup_near_findings": SCANNED + _pattern_rows() + f"select file_id, type, line_no, rule, severity from (select *, {_NEAR} as rn from p) where rn = 1",
+        "missing_guards": _risk()
         + _pattern_rows()
-        + "select file_id, type, line_no, rule, severity from (select *, row_number() over (partition by file_id, type, line_no // 3 order by detector, line_no) as rn from p) where rn = 1",
+        + _REPORTED
+        + """select repo, count(*) filter (where type = 'async-race') as n_async, count(*) filter (where type = 'null-safety') as n_null, count(*) filter (where type = 'error-boundary') as n_boundary,
+          count(*) filter (where type = 'injection') as n_injection, count(*) filter (where type = 'hardcoded-secret') as n_secret, count(*) filter (where rule = 'eval-of-input') as n_eval, count(*) filter (where rule = 'where-clause') as n_where,
+          count(*) filter (where rule = 'regexp-of-input') as n_regexp, count(*) filter (where rule = 'force-unwrap') as n_unwrap, count(*) filter (where rule = 'bare-json-parse') as n_json from kept group by repo""",
         "risk_scores": _risk() + "select file_id, complexity, coupling, untested, density, size, score, tier from rt",
         "risk_tiers": _risk() + "select tier, count(*) as n, round(avg(score), 6) as mean_score from rt group by tier",
         "verdict": _verdict(),
-        "god_modules": SCANNED
-        + f"select * from (select file_id, rel_path, n_lines, len(regexp_extract_all(array_to_string(lines, chr(10)), '(?:^|[^A-Za-z0-9_])export(?:[^A-Za-z0-9_]|$)'))::integer as n_exports from l) where n_lines > {graph.GOD_LINES} and n_exports > {graph.GOD_EXPORTS}",
+        "audit_issues": _issues(),
+        "god_modules": SCANNED + EXPORTS + f"select file_id, rel_path, n_lines, n_exports from ge where {GODS}",
         "dep_edges": _risk() + "select repo, src, dst from me",
         "import_counts": _risk() + "select repo, module, n from md",
         "coupled_modules": _risk() + f"select repo, module, n from md where n > {graph.COUPLED}",
+        "cycle_members": _recursive(SCANNED) + IMPORTS + PACKAGES + COMPONENTS + "select repo, component, module from cy",
+        "causal_chains": _recursive(SCANNED)
+        + IMPORTS
+        + PACKAGES
+        + COMPONENTS
+        + EXPORTS
+        + f"""select distinct 'cycle' as kind, repo, component as root, 'HIGH' as severity from cy union all select 'god-module', repo, rel_path, 'MED' from ge where {GODS}
+          union all select 'coupling', repo, dst, case when count(*) > {graph.STRONGLY} then 'HIGH' else 'MED' end from e group by repo, dst having count(*) > {graph.COUPLED}""",
+        "event_cycle_members": _EVENTS + COMPONENTS + "select repo, component, module from cy",
+        "event_cycles": _EVENTS
+        + COMPONENTS
+        + """, walk as (select distinct cy.repo, component, module as here, 0 as n from cy where module = component union select walk.repo, walk.component, e.dst, n + 1 from walk join e on e.repo = walk.repo and e.src = walk.here
+            join cy on cy.repo = e.repo and cy.module = e.dst and cy.component = walk.component where n < (select count(*) from cy c2 where c2.repo = walk.repo and c2.component = walk.component))
+          select repo, component as root, (select count(*) from cy where cy.repo = walk.repo and cy.component = walk.component) as n_modules, min(n)::integer as n_steps from walk where n > 0 and here = component group by repo, component""",
+        "event_reachability": _EVENTS
+        + """, r as (select distinct repo, src as start, src as module, 0 as hops from e union select r.repo, r.start, e.dst, r.hops + 1 from r join e on e.repo = r.repo and e.src = r.module where r.hops < (select count(distinct event_type) from events))
+        select repo, start, module, min(hops)::integer as hops from r group by all""",
         "finding_ids": c + _IDS + "select ord, finding_id from k",
         "cwe_primary": c + "select ord, cwe, surface, level from c",
         "cwe_counts": c
@@ -235,11 +339,11 @@ def oracle_sql() -> dict[str, str]:
         "package_edges": SCANNED + IMPORTS + PACKAGES + "select repo, src, dst from e",
         "package_in_degrees": SCANNED + IMPORTS + PACKAGES + "select repo, dst as module, count(*) as n from e group by all",
         "package_importers": SCANNED + IMPORTS + PACKAGES + "select repo, dst as module, string_agg(src, ',' order by src) as imported_by, count(*) as n from e group by all",
-        "reachability": SCANNED.replace("with s as", "with recursive s as", 1)
+        "reachability": _recursive(SCANNED)
         + IMPORTS
         + PACKAGES
         + """, r as (select distinct repo, src as start, src as module, 0 as hops from e union
-          select r.repo, r.start, e.dst, r.hops + 1 from r join e on e.repo = r.repo and e.src = r.module where r.hops < 4)
+          select r.repo, r.start, e.dst, r.hops + 1 from r join e on e.repo = r.repo and e.src = r.module where r.hops < (select count(*) from e))
         select repo, start, module, min(hops)::integer as hops from r group by all""",
         "harmonic_f1": "select tool, count(*) as n, case when bool_or(f1 is null) then null when bool_or(f1 = 0) then 0.0 else round(count(*) / sum(1.0 / nullif(f1, 0)), 9) end as f1 from scores group by tool",
         "leaderboard": f"""with t as (select tool, count(distinct corpus) as n_corpora, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from scores group by tool),

@@ -18,7 +18,7 @@ class Scan:
     def __init__(self, files: DataFrame, rule_pack: tuple = rules.RULES, threshold: float = risk.THRESHOLD):
         ship(files.sparkSession)
         self.all_files, self.rule_pack, self.threshold = files, rule_pack, threshold
-        self.files = corpus.scanned(files)
+        self.files = corpus.scanned(corpus.unignored(files))
 
     @cached_property
     def lined(self) -> DataFrame:
@@ -38,6 +38,10 @@ class Scan:
     def patterns(self) -> DataFrame:
         return patterns.line_findings(self.lined)
 
+    def reported(self, scores: DataFrame) -> DataFrame:
+        """Pattern findings that a scan reports, given the risk scores that gate them."""
+        return patterns.reported(patterns.gated(self.patterns(), scores.where("tier <> 'low'")))
+
     def flows(self) -> DataFrame:
         return taint.flows(self.files)
 
@@ -47,8 +51,13 @@ class Scan:
     def dependencies(self) -> DataFrame:
         return manifests.lock_wins(manifests.dependencies(self.all_files))
 
+    def _parts(self) -> tuple[DataFrame, ...]:
+        scores = checkpointed(self.risk())  # one narrow row a file, read several times
+        edges = checkpointed(self.edges)
+        return scores, self.functions(), self.reported(scores), graph.cycle_members(edges), graph.coupling(edges), graph.god_modules(corpus.export_counts(self.lined))
+
     def verdict(self) -> DataFrame:
-        scores = checkpointed(self.risk())
-        kept = patterns.gated(self.patterns(), scores.where("tier <> 'low'"))
-        exports = corpus.export_counts(self.lined).join(self.lined.select("file_id", "repo"), "file_id")
-        return risk.verdicts(scores, self.functions(), kept, graph.cycle_members(self.edges), graph.coupling(self.edges), graph.god_modules(exports), self.threshold)
+        return risk.verdicts(*self._parts(), self.threshold)
+
+    def audit(self) -> DataFrame:
+        return risk.audit_issues(*self._parts())

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import corpus_fingerprint, relative_uri
 from codestrata.operators import corpus, drift, findings, fixes, graph, nested, patterns, risk, rules, scoring, taint
+from codestrata.plans.scan import Scan
 from codestrata.session import checkpointed, read_table
 from codestrata.sources import config
 
@@ -78,11 +79,24 @@ def extract_functions(spark, sf):
 
 
 def export_counts(spark, sf):
-    return corpus.export_counts(_lined(spark, sf))
+    return corpus.export_counts(_lined(spark, sf)).drop("repo")
 
 
 def god_modules(spark, sf):
-    return graph.god_modules(corpus.export_counts(_lined(spark, sf)))
+    return graph.god_modules(corpus.export_counts(_lined(spark, sf))).drop("repo")
+
+
+def flagged_functions(spark, sf):
+    return corpus.flagged(corpus.functions(_lined(spark, sf)))
+
+
+def unsupported_files(spark, sf):
+    return corpus.unsupported(corpus.scanned(read_table(spark, sf, "files")))
+
+
+def scan_metrics(spark, sf):
+    lined = _lined(spark, sf)
+    return corpus.metrics(lined, corpus.functions(lined), corpus.todos(lined))
 
 
 def pattern_findings(spark, sf):
@@ -95,7 +109,13 @@ def findings_by_type(spark, sf):
 
 
 def dedup_near_findings(spark, sf):
-    return patterns.dedup_near(patterns.line_findings(_lined(spark, sf))).drop("rel_path")
+    return patterns.dedup_near(patterns.line_findings(_lined(spark, sf))).drop("repo", "rel_path", "surface")
+
+
+def missing_guards(spark, sf):
+    lined = _lined(spark, sf)
+    scores = _risk(spark, sf)[0].where("tier <> 'low'")
+    return patterns.guards(patterns.reported(patterns.gated(patterns.line_findings(lined), scores)))
 
 
 def _edges(spark, sf):
@@ -143,8 +163,28 @@ def reachability(spark, sf):
 
 def causal_chains(spark, sf):
     e = _packages(spark, sf)
-    exports = corpus.export_counts(_lined(spark, sf)).join(read_table(spark, sf, "files").select("file_id", "repo"), "file_id")
-    return graph.causal_chains(graph.cycle_members(e), graph.coupling(e), graph.god_modules(exports))
+    return graph.causal_chains(graph.cycle_members(e), graph.coupling(e), graph.god_modules(corpus.export_counts(_lined(spark, sf))))
+
+
+def _event_edges(spark, sf):
+    """Each user's steps from one type of event to another, as a graph that has cycles."""
+    e = read_table(spark, sf, "events").select(F.col("user_id").cast("string").alias("repo"), "event_type", "ts", "event_id")
+    step = F.lead("event_type").over(Window.partitionBy("repo").orderBy("ts", "event_id"))
+    return e.select("repo", F.col("event_type").alias("src"), step.alias("dst")).where("src <> dst").distinct()
+
+
+def event_cycle_members(spark, sf):
+    return graph.cycle_members(checkpointed(_event_edges(spark, sf)))
+
+
+def event_cycles(spark, sf):
+    e = checkpointed(_event_edges(spark, sf))
+    return graph.cycles(e, graph.cycle_members(e)).select("repo", "root", "n_modules", (F.size("path") - 1).alias("n_steps"))
+
+
+def event_reachability(spark, sf):
+    e = checkpointed(_event_edges(spark, sf))
+    return graph.reachable(e, e.select("repo", F.col("src").alias("module")).distinct())
 
 
 def _risk(spark, sf):
@@ -162,13 +202,11 @@ def risk_tiers(spark, sf):
 
 
 def verdict(spark, sf):
-    scores, lined, fns = _risk(spark, sf)
-    scores = checkpointed(scores)  # one narrow row a file, read four times
-    e = _packages(spark, sf)
-    hits = patterns.line_findings(lined)
-    kept = patterns.gated(hits, scores.where("tier <> 'low'"))
-    exports = corpus.export_counts(lined).join(lined.select("file_id", "repo"), "file_id")
-    return risk.verdicts(scores, fns, kept, graph.cycle_members(e), graph.coupling(e), graph.god_modules(exports))
+    return Scan(read_table(spark, sf, "files")).verdict()
+
+
+def audit_issues(spark, sf):
+    return Scan(read_table(spark, sf, "files")).audit()
 
 
 def _delivered(spark, sf):
@@ -293,7 +331,7 @@ def relative_uris(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
-        p3_found, p3_runs, p4_found, p4_graph, loc_per_file, language_loc, line_explode, extract_imports, extract_classes, extract_todos, extract_functions, export_counts, god_modules,
+        p3_found, p3_runs, p4_found, p4_graph, loc_per_file, language_loc, line_explode, extract_imports, extract_classes, extract_todos, extract_functions, export_counts, god_modules, flagged_functions, unsupported_files, scan_metrics, missing_guards, audit_issues, event_cycle_members, event_cycles, event_reachability,
         pattern_findings, findings_by_type, dedup_near_findings, dep_edges, package_edges, package_in_degrees, package_importers, import_counts, coupled_modules, cycle_members, reachability, causal_chains, risk_scores, risk_tiers, verdict,
         finding_ids, cwe_primary, cwe_counts, surface_split, dedup_first_wins, merge_findings, fix_diff, top_issues, sarif_results, sarif_rules, weakness_candidates, band_match_candidates, precision_recall,
         harmonic_f1, leaderboard, run_variance, taint_flows, config_resources, rule_hits, rule_conditions, fix_proposals, fingerprints, relative_uris,

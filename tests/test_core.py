@@ -42,14 +42,53 @@ def test_scan_extracts(spark):
     assert p == {("src", "src/lib"), ("src/lib", "src/other"), ("src/other", "src/lib")}
 
 
-CYCLES = {"line": ("ab bc cd", ""), "two": ("ab ba", "ab"), "three": ("ab bc ca", "abc"), "diamond": ("ab ac bd cd", ""), "embedded": ("xa ab bc cb cy", "bc")}
+HEADS = {
+    "a.ts": "export const add = async (a: number, b: number) => {\n  if (a) {\n    return b ? a : b;\n  }\n};\nclass C {\n  private run(x: string): void {\n    for (;;) {}\n  }\n  constructor(y) {\n  }\n}\n",
+    "b.py": "def f(a):\n    return {a: 1}\n\nasync def g():\n    pass\n", "c.c": "static int f(int a) {\n  return a ? 1 : 2;\n}\nint g(int a)\n{\n}\n", "d.go": "func (s *T) Do(x int) error {\n\tif x > 1 || x < 0 {\n\t}\n}\n",
+    "e.cpp": "int f(int a) {\n}\n", "long.js": "function open() {\n" + "a();\n" * 600 + "}\n",
+}
+
+
+def test_function_heads_and_ends(spark):
+    got = {(r["rel_path"], r["name"], r["start_line"], r["end_line"], r["complexity"], r["n_params"]) for r in corpus.functions(corpus.with_lines(corpus.scanned(_files(spark, HEADS)))).collect()}
+    assert got == {
+        ("a.ts", "add", 1, 5, 3, 2), ("a.ts", "run", 7, 9, 2, 1), ("b.py", "f", 1, 2, 1, 1), ("b.py", "g", 4, 4, 1, 0), ("c.c", "f", 1, 3, 2, 1), ("d.go", "Do", 1, 4, 3, 1), ("long.js", "open", 1, 1, 1, 0),
+    }
+
+
+def test_content_is_split_once(spark):
+    lined = corpus.with_lines(corpus.scanned(_files(spark, HEADS)))
+    for df in (corpus.functions(lined), corpus.imports(lined), corpus.todos(lined), patterns.line_findings(lined)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(regexp_replace(coalesce(content") == 1
+
+
+def test_ignore_files(spark):
+    f = _files(spark, {".gitignore": "# c\n/gen/\n*.log\n\nskip.py\r\n", "gen/a.py": "", "x/gen/b.py": "", "generic.py": "", "x/skip.py": "", "keep.py": ""}).unionByName(_files(spark, {"gen/c.py": ""}, "other"))
+    assert {(r["repo"], r["rel_path"]) for r in corpus.unignored(f).collect()} == {("r", ".gitignore"), ("r", "keep.py"), ("other", "gen/c.py")}
+
+
+def test_counts_of_unsupported_files_and_flags(spark):
+    f = corpus.scanned(_files(spark, {"a.cpp": "x\ny\n", "b.tf": "a\n", "Dockerfile": "FROM x\n", "c.py": "x\n", "d.md": "x\n"}))
+    assert {(r["extension"], r["n_files"], r["n_lines"]) for r in corpus.unsupported(f).collect()} == {("cpp", 1, 2), ("tf", 1, 1), ("", 1, 1)}
+    big = _files(spark, {"big.js": "function f() {\n" + "if (a) b();\n" * 101 + "}\n"})
+    assert [(r["n_lines"], r["complexity"], r["is_large"], r["is_complex"]) for r in corpus.flagged(corpus.functions(corpus.with_lines(big))).collect()] == [(103, 102, True, True)]
+
+
+CYCLES = {
+    "line": ("ab bc cd", ""), "two": ("ab ba", "ab"), "three": ("ab bc ca", "abc"), "diamond": ("ab ac bd cd", ""), "embedded": ("xa ab bc cb cy", "bc"), "between": ("ab ba bm mc cd dc", "abcd"), "nothing": ("", ""), "figure": ("ab bc ca ad de ea", "abcde"),
+}
+PATHS = {"two": ["aba"], "three": ["abca"], "embedded": ["bcb"], "between": ["aba", "cdc"], "figure": ["abca"]}
 
 
 @pytest.mark.parametrize("case", list(CYCLES))
 def test_cycles(spark, case):
     text, want = CYCLES[case]
-    e = spark.createDataFrame([("r", s[0], s[1]) for s in text.split()], "repo string, src string, dst string")
-    assert {r["module"] for r in graph.cycle_members(e).collect()} == set(want)
+    e = spark.createDataFrame([("r", s[0], s[1]) for s in text.split()] + [(x, "p", "q") for x in text.split()[:1]], "repo string, src string, dst string")
+    members = graph.cycle_members(e)
+    assert {r["module"] for r in members.collect()} == set(want)
+    assert sorted("".join(r["path"]) for r in graph.cycles(e, members).collect()) == PATHS.get(case, [])
+    if not text:
+        return
     far = {(r["start"], r["module"]): r["hops"] for r in graph.reachable(e, e.select("repo", F.col("src").alias("module"))).collect()}
     assert far[text[0], text[1]] == 1 and far[text[0], text[0]] == 0
 
@@ -74,18 +113,42 @@ def test_patterns_and_gates(spark):
     lined = corpus.with_lines(corpus.scanned(_files(spark, CORPUS)))
     hit = patterns.line_findings(lined)
     got = {(r["rel_path"], r["rule"], r["line_no"]) for r in hit.collect()}
-    assert got == {("src/a.js", "bare-json-parse", 5), ("src/a.js", "eval-of-input", 6), ("src/b.js", "named-secret", 3), ("src/b.js", "promise-without-catch", 5), ("src/a_test.js", "eval-of-input", 2)}
+    assert got == {("src/a.js", "bare-json-parse", 5), ("src/a.js", "eval-of-input", 6), ("src/b.js", "named-secret", 3), ("src/b.js", "promise-without-catch", 5), ("src/a_test.js", "eval-of-input", 2)} | {
+        ("src/a.js", "deep-access", 6), ("src/lib/index.js", "division", 1), ("src/other/q.js", "division", 1), ("src/a.js", "division", 2),
+    }
     ids = lined.where("rel_path = 'src/a.js'")
-    assert {r["rule"] for r in patterns.gated(hit, ids).collect()} == {"bare-json-parse", "eval-of-input", "named-secret"}
-    near = spark.createDataFrame([(1, "r", "a", 0, "x", "t", "LOW", "sec", n) for n in (3, 5, 6)], hit.schema)
+    assert {r["rule"] for r in patterns.gated(hit, ids).collect()} == {"bare-json-parse", "eval-of-input", "named-secret", "deep-access", "division"}
+    near = spark.createDataFrame([(1, "r", "a", 0, 5, "x", "t", "LOW", "sec", "security", n) for n in (3, 5, 6)], hit.schema)
     assert sorted(r["line_no"] for r in patterns.dedup_near(near).collect()) == [3, 6]
 
 
+DETECTED = {
+    "async-without-boundary": ("a.js", "const f = async x => {\n  await g(x);\n};\n", "const f = async x => {\n  try { await g(x); } finally {}\n};\n"), "promise-without-catch": ("a.ts", "a().then(b)\n", "a().then(b)\n  .catch(c)\n"),
+    "force-unwrap": ("a.swift", "let x = y! + 1\n", "// y! + 1\n"), "deep-access": ("a.js", "const x = a.b.c;\n", "const x = a?.b.c;\nconst y = a.b;\n"), "literal-index": ("a.go", "x := y[0]\n", "if n > 0 {\n\tx := y[0]\n"),
+    "division": ("a.py", "x = a / bc\n", "x = a / len(length)\n# x\n"), "bare-json-parse": ("a.js", "x = JSON.parse(y)\n", "try {\n  x = JSON.parse(y)\n"), "throwing-call": ("a.swift", "func f() throws {\nload(x)\n", "func f() throws {\ntry load(x)\n"),
+    "eval-of-input": ("a.php", "eval($user);\n", "// eval($user);\n"), "eval": ("a.rb", "eval(x)\n", "evaluate(x)\n"), "where-clause": ("a.js", "f({ $where: `this.a == ${x}` })\n", "f({ $where: 'this.a' })\n"), "regexp-of-input": ("a.js", "new RegExp(x)\n", "new RegExp('x')\n"),
+    "private-key": ("a.py", "k = '-----BEGIN RSA PRIVATE KEY-----'\n", "k = '-----BEGIN PUBLIC KEY-----'\n"), "named-secret": ("a.js", "const apiToken = 'abcdefghij0123456789xyz';\n", "const apiToken = 'placeholder0123456789xyz';\nconst TOKEN_UID = 'abcdefghij0123456789xyz';\n"),
+    "assigned-secret": ("a.py", "jwt_secret = 'abcdefghij0123456789xyz'\n", "jwt_secret = 'api::thing0123456789xyz'\n"), "hex-key": ("a.js", "const hashSeed = '0123456789abcdef0123456789abcdef';\n", "const label = '0123456789abcdef0123456789abcdef';\n"),
+    "literal-crypto-key": ("a.js", "crypto.createHmac('sha256', 'abcdefgh1')\n", "crypto.createHmac('sha256', key)\n"),
+}
+
+
+def test_detectors_fire_and_stay_silent(spark):
+    rows = [(2 * n + k, "r", "p", path, texts[k]) for n, (path, *texts) in enumerate(DETECTED.values()) for k in (0, 1)]
+    hit = patterns.line_findings(corpus.with_lines(spark.createDataFrame(rows, FILES)))
+    got = {(r["file_id"], r["rule"]) for r in hit.collect()}
+    for n, rule in enumerate(DETECTED):
+        assert (2 * n, rule) in got and (2 * n + 1, rule) not in got, rule
+
+
 def test_verdict_of_a_clean_and_a_bad_corpus(spark):
     files = _files(spark, CORPUS).unionByName(_files(spark, {"ok.py": "x = 1\n", "ok_test.py": "y = 1\n"}, "clean").withColumn("file_id", F.col("file_id") + 100))
     got = {r["repo"]: r for r in Scan(files).verdict().collect()}
     assert got["clean"]["verdict"] == "APPROVED" and got["clean"]["score"] > got["r"]["score"]
-    assert got["r"]["n_cyclic"] == 2 and got["r"]["n_findings"] == 3
+    assert got["r"]["n_cycles"] == 1 and (got["r"]["n_findings"], got["r"]["n_quality"]) == (4, 1)
+    assert got["r"]["dependency_score"] == 0.85 and got["r"]["adversarial_score"] == round(1 - 3 * 0.08, 6)
+    issues = [(r["severity"], r["source"], r["file"]) for r in Scan(files).audit().orderBy("repo", "rank").collect()]
+    assert issues == [("HIGH", "cycle", "src/lib"), ("HIGH", "finding", "src/a.js"), ("HIGH", "finding", "src/a_test.js"), ("HIGH", "finding", "src/b.js")]
     assert Scan(files.where("false")).verdict().count() == 0
 
 
@@ -268,7 +331,7 @@ def test_paths_tree_and_stream(spark, tmp_path):
     _files(spark, CORPUS).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(FILES).parquet(str(tmp_path / "in"))
     scan_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 9
     a, b = (paths.corpus_fingerprint(x).first()["fingerprint"] for x in (_files(spark, {"a": "1", "b": "2"}), _files(spark, {"b": "2", "a": "1"})))
     assert a == b != paths.corpus_fingerprint(_files(spark, {"a": "1", "b": "3"})).first()["fingerprint"]
 
