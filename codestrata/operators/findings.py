@@ -22,6 +22,8 @@ SECURITY = r"(?i)inject|secret|credential|token|password|traversal|confined|redi
 QUALITY_TYPES = ("null-safety", "edge-case", "async-race", "error-boundary", "risk")
 TEST_PATH = r"(_|\.)(test|spec)\.[a-z]+$|(^|/)(__tests__|e2e|cypress|tests?|fixtures|benchmarks|stories)/"
 PAYLOAD = "file string, line string, type string, description string"
+#: Columns of findings as they are delivered.
+DELIVERED = ("ord", "scan_id", "repo", "source", "file", "line", "type", "severity", "description", "payload")
 
 
 def delivered(findings: DataFrame) -> DataFrame:

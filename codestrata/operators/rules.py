@@ -125,6 +125,12 @@ def hits(resources: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return found
 
 
+def as_findings(hits: DataFrame, engine: str = "RULES") -> DataFrame:
+    """Rule hits in the shape of findings: (file_id, repo, engine, file, line, type, severity, description)."""
+    text = F.concat(F.lit(f"[{engine}] "), F.col("rule_id"), F.lit(": "), F.col("resource_type"), F.lit(" "), F.col("name"))
+    return hits.select("file_id", "repo", F.lit(engine).alias("engine"), F.col("rel_path").alias("file"), F.col("start_line").alias("line"), F.lit("edge-case").alias("type"), "severity", text.alias("description"))
+
+
 def _any_element(rule: Rule) -> Column:
     return F.exists("items", lambda x: (x["path"] == rule.element) & _applies(rule, x["attrs"]))
 

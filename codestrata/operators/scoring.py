@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lines between a finding and a weakness that still match; most labelled weaknesses a corpus may have here.
-LINES, MOST_LABELS = 5, 10_000
+#: Lines between a finding and a weakness that still match.
+LINES = 5
 
 
 def same_file(a: Column, b: Column) -> Column:
@@ -31,12 +31,12 @@ def claims(candidates: DataFrame) -> DataFrame:
     """(source, corpus, ord, id): greedy one-to-one assignment in order of findings, first free weakness by id.
 
     Of the findings that may claim exactly the same set of weaknesses only as many can succeed as the set has, so
-    the rest are dropped by a ranked limit before anything is gathered; what reaches one task is bounded by the
-    labels, whatever the findings.
+    the rest are dropped by rank before anything is gathered. What reaches one task is bounded by the labels of one corpus,
+    which people wrote: for each set of them at most as many findings as the set has, whatever the findings.
     """
     sets = candidates.groupBy("source", "corpus", "ord").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     w = Window.partitionBy("source", "corpus", "ids").orderBy("ord")
-    kept = sets.withColumn("rn", F.row_number().over(w)).where(f"rn <= {MOST_LABELS}").where("rn <= size(ids)").drop("rn")
+    kept = sets.withColumn("rn", F.row_number().over(w)).where("rn <= size(ids)").drop("rn")
 
     def assign(pdf):
         import pandas as pd

@@ -47,7 +47,31 @@ DANGER_TYPE = {"code": "injection", "command": "injection", "sql": "injection",
 HARMLESS = frozenset("to_i to_f length size isdigit parse is_empty hashCode".split())
 FOUND = "file_id long, repo string, rel_path string, line int, type string, danger string, source string, sink string, flow array<struct<line:int,name:string>>"
 
-Label = tuple  # (source, first line, path of (line, name)); source "@k" stands for parameter k
+# Labels of a value: (source, first line) -> path, the shortest that was found; source "@k" stands for parameter k.
+# A path is None or (length, path before, (line, name)), so that a step costs the same however long it is.
+Labels = dict
+
+
+def pushed(path, step: tuple):
+    return ((path[0] if path else 0) + 1, path, step)
+
+
+def steps(path) -> list[tuple]:
+    out = []
+    while path:
+        out.append(path[2])
+        path = path[1]
+    return out[::-1]
+
+
+def merged(*many: Labels) -> Labels:
+    """All labels, each with its shortest path; the first of several."""
+    out: Labels = {}
+    for labels in many:
+        for k, path in labels.items():
+            if k not in out or (path[0] if path else 0) < (out[k][0] if out[k] else 0):
+                out[k] = path
+    return out
 
 
 @dataclass
@@ -89,44 +113,43 @@ class Interpreter:
 
     def __init__(self, functions: list[Function]):
         self.functions = {f.name: f for f in functions}
-        self.memo: dict[str, tuple[set, list]] = {}
+        self.memo: dict[str, tuple[Labels, list]] = {}
         self.active: set[str] = set()
         self.found: dict[tuple, tuple] = {}
 
     def run(self) -> list[tuple]:
         for f in self.functions.values():
-            env = {p: {(p, 0, ())} for p in f.params} if f.tainted else {}
-            self.block(f.body, env, set())
-        return [v for _, v in sorted(self.found.items(), key=lambda kv: (kv[1][0], str(kv[0])))]
+            env = {p: {(p, 0): None} for p in f.params} if f.tainted else {}
+            self.block(f.body, env, {})
+        return [(*v[:5], steps(v[5])) for _, v in sorted(self.found.items(), key=lambda kv: (kv[1][0], str(kv[0])))]
 
-    def summary(self, f: Function) -> tuple[set, list]:
+    def summary(self, f: Function) -> tuple[Labels, list]:
         """Labels a call returns, with parameters as @k, and the sinks that parameters reach."""
         if f.name in self.memo:
             return self.memo[f.name]
         if f.name in self.active:
-            return set(), []
+            return {}, []
         self.active.add(f.name)
-        returns: set = set()
+        returns: Labels = {}
         held, self.found = self.found, {}
-        self.block(f.body, {p: {(f"@{k}", 0, ())} for k, p in enumerate(f.params)}, returns)
+        self.block(f.body, {p: {(f"@{k}", 0): None} for k, p in enumerate(f.params)}, returns)
         sinks = [v for v in self.found.values() if v[3].startswith("@")]
         self.found = held
         self.active.discard(f.name)
         self.memo[f.name] = (returns, sinks)
         return returns, sinks
 
-    def block(self, body: list[Node], env: dict, returns: set) -> bool:
+    def block(self, body: list[Node], env: dict, returns: Labels) -> bool:
         """Runs statements; True if the end cannot be reached."""
         for n in body:
             if n.kind == "assign":
-                labels = self.value(n.value, env)
-                env[n.name] = {(s, a, (*path, (n.line, n.name))) if len(path) < 12 else (s, a, path) for s, a, path in labels}
+                env[n.name] = {k: pushed(path, (n.line, n.name)) for k, path in self.value(n.value, env).items()}
                 for k in [k for k in env if k.startswith(n.name + ".")]:
                     del env[k]
             elif n.kind == "expr":
                 self.value(n.value, env)
             elif n.kind == "return":
-                returns |= self.value(n.value, env)
+                returns.update(merged(returns, self.value(n.value, env)))
                 return True
             elif n.kind == "exit":
                 return True
@@ -134,7 +157,7 @@ class Interpreter:
                 self.value(n.value, env)
                 a, b = dict(env), dict(env)
                 for name in n.name.split():  # names that the test restricts to known values
-                    (a if not name.startswith("!") else b)[name.lstrip("!")] = set()
+                    (a if not name.startswith("!") else b)[name.lstrip("!")] = {}
                 ends_a, ends_b = self.block(n.then, a, returns), self.block(n.other, b, returns)
                 joined = [x for x, e in ((a, ends_a), (b, ends_b)) if not e]
                 if not joined:
@@ -142,68 +165,75 @@ class Interpreter:
                 env.clear()
                 for x in joined:
                     for k, v in x.items():
-                        env[k] = env.get(k, set()) | v
+                        env[k] = merged(env[k], v) if k in env else v
             elif n.kind == "loop":
-                while True:  # labels without their paths are finite and only added
-                    before = {k: {(s, a) for s, a, _ in v} for k, v in env.items()}
+                while True:  # labels are finite and only added; a label that is there keeps its path
                     inner = dict(env)
                     self.block(n.then, inner, returns)
+                    grown = False
                     for k, v in inner.items():
-                        have = {(s, a) for s, a, _ in env.get(k, ())}
-                        env[k] = env.get(k, set()) | {x for x in v if x[:2] not in have}
-                    if before == {k: {(s, a) for s, a, _ in v} for k, v in env.items()}:
+                        new = {x: path for x, path in v.items() if x not in env.get(k, {})}
+                        if new or k not in env:
+                            grown = grown or bool(new)
+                            env[k] = env.get(k, {}) | new
+                    if not grown:
                         break
         return False
 
-    def value(self, v, env: dict) -> set:
+    def value(self, v, env: dict) -> Labels:
         if v is None:
-            return set()
+            return {}
         if isinstance(v, Join):
-            return set().union(*[self.value(p, env) for p in v.parts]) if v.parts else set()
+            return merged(*[self.value(p, env) for p in v.parts])
         if isinstance(v, Call):
             return self.call(v, env)
         path, line = v
         if path.rpartition(".")[2] in HARMLESS:
-            return set()
+            return {}
         for s in SOURCES:
             if (path == s and s not in ("input",)) or path.startswith(s + "."):
-                return {(s, line, ())}
+                return {(s, line): None}
         while path:
             if path in env:
                 return env[path]
             path = path.rpartition(".")[0]
-        return set()
+        return {}
 
-    def call(self, c: Call, env: dict) -> set:
+    def call(self, c: Call, env: dict) -> Labels:
         args = [self.value(a, env) for a in c.args]
-        every = set().union(*args) if args else set()
+        every = merged(*args)
         if c.path in SANITIZERS or c.path.rpartition(".")[2] in HARMLESS | {"isalnum", "test"}:
-            return set()
+            return {}
         if c.path in SOURCES or any(c.path.startswith(s + ".") for s in SOURCES):
-            return {(next(s for s in SOURCES if c.path == s or c.path.startswith(s + ".")), c.line, ())}
+            return {(next(s for s in SOURCES if c.path == s or c.path.startswith(s + ".")), c.line): None}
         danger = SINKS.get(c.path) or SINKS.get("*." + c.path.rpartition(".")[2] if "." in c.path else "")
         if danger:
             k = SINK_ARG.get(c.path, 0)
-            risky = (args[k] if len(args) > k else set()) if danger in ("sql", "path", "redirect", "ssrf", "memory") else every
-            for label in risky:
-                self.report(c.line, danger, c.path, label)
+            risky = (args[k] if len(args) > k else {}) if danger in ("sql", "path", "redirect", "ssrf", "memory") else every
+            for (source, at), path in risky.items():
+                self.report(c.line, danger, c.path, source, at, path)
         local = self.functions.get(c.path)
         if local:
             returns, sinks = self.summary(local)
-            out = {x for x in returns if not x[0].startswith("@")}
-            for s, _, path in returns:
+            through = [{k: path for k, path in returns.items() if not k[0].startswith("@")}]
+            for (s, _), path in returns.items():
                 if s.startswith("@") and int(s[1:]) < len(args):
-                    out |= {(t, a, (*p, *path)[:12]) for t, a, p in args[int(s[1:])]}
+                    through.append({k: self.after(p, steps(path)) for k, p in args[int(s[1:])].items()})
             for line, dang, sink, s, _, path in sinks:
                 if int(s[1:]) < len(args):
-                    for t, a, p in args[int(s[1:])]:
-                        self.report(line, dang, sink, (t, a, (*p, (c.line, c.path), *path)[:12]))
-            return out
+                    for (t, a), p in args[int(s[1:])].items():
+                        self.report(line, dang, sink, t, a, self.after(p, [(c.line, c.path), *steps(path)]))
+            return merged(*through)
         owner = c.path.rpartition(".")[0]
-        return every | (self.value((owner, c.line), env) if owner else set())
+        return merged(every, self.value((owner, c.line), env)) if owner else every
+
+    @staticmethod
+    def after(path, more: list[tuple]):
+        for step in more:
+            path = pushed(path, step)
+        return path
 
-    def report(self, line: int, danger: str, sink: str, label: Label) -> None:
-        source, at, path = label
+    def report(self, line: int, danger: str, sink: str, source: str, at: int, path) -> None:
         self.found.setdefault((line, danger, sink, source), (line, danger, sink, source, at, path))
 
 
@@ -296,7 +326,7 @@ def lower_python(text: str) -> list[Function]:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except (SyntaxError, ValueError):
         return []
     out = [Function("<top>", [], _py_block(tree.body))]
     for n in ast.walk(tree):
@@ -570,15 +600,34 @@ def _braces(lang: str):
 LOWER = {"php": _braces("php"), "java": _braces("java"), "go": _braces("go"), "c": _braces("c"), "h": _braces("c"), "rs": _braces("rs"), "rb": lower_ruby, "sh": lower_shell, "bash": lower_shell, "py": lower_python, "js": lower_javascript, "mjs": lower_javascript, "ts": lower_javascript, "tsx": lower_javascript, "jsx": lower_javascript}
 
 
-def analyse(text: str | None, rel_path: str) -> list[tuple]:
-    """(line, danger, sink, source, source line, flow) of a file's flows; null, empty and broken texts give none."""
+def analyse(text: str | None, rel_path: str) -> list[tuple] | None:
+    """(line, danger, sink, source, source line, flow) of a file's flows; null, empty and broken texts give none.
+
+    None where the text is nested too deeply for the analysis, which ``not_analysed`` lists.
+    """
     lower = LOWER.get(rel_path.rsplit(".", 1)[-1].lower())
     if not text or not lower:
         return []
     try:
         return Interpreter(lower(text)).run()
-    except RecursionError:
-        return []
+    except (RecursionError, MemoryError):
+        return None
+
+
+def _wanted(files: DataFrame) -> DataFrame:
+    wanted = F.col("rel_path").rlike(r"\.(" + "|".join(LOWER) + ")$") & ~F.col("rel_path").rlike(r"\.d\.ts$|[.-]min\.js$|\.bundle\.js$") & F.col("content").isNotNull()
+    return spread(files.where(wanted).select("file_id", "repo", "rel_path", "content"))
+
+
+def not_analysed(files: DataFrame) -> DataFrame:
+    """(file_id, repo, rel_path) of files that ``flows`` would read but that are nested too deeply for it."""
+
+    def look(batches):
+        for pdf in batches:
+            deep = [analyse(text, rel) is None for rel, text in zip(pdf["rel_path"], pdf["content"], strict=True)]
+            yield pdf.loc[deep, ["file_id", "repo", "rel_path"]]
+
+    return _wanted(files).mapInPandas(look, "file_id long, repo string, rel_path string")
 
 
 def flows(files: DataFrame) -> DataFrame:
@@ -590,10 +639,16 @@ def flows(files: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for fid, repo, rel, text in zip(pdf["file_id"], pdf["repo"], pdf["rel_path"], pdf["content"], strict=True):
-                for line, danger, sink, source, at, path in analyse(text, rel):
+                for line, danger, sink, source, at, path in analyse(text, rel) or ():
                     flow = [{"line": at, "name": source}, *[{"line": a, "name": n} for a, n in path], {"line": line, "name": sink}]
                     out.append((fid, repo, rel, line, DANGER_TYPE[danger], danger, source, sink, flow))
             yield pd.DataFrame(out, columns=["file_id", "repo", "rel_path", "line", "type", "danger", "source", "sink", "flow"])
 
-    wanted = F.col("rel_path").rlike(r"\.(" + "|".join(LOWER) + ")$") & ~F.col("rel_path").rlike(r"\.d\.ts$|[.-]min\.js$|\.bundle\.js$") & F.col("content").isNotNull()
-    return spread(files.where(wanted).select("file_id", "repo", "rel_path", "content")).mapInPandas(look, FOUND)
+    return _wanted(files).mapInPandas(look, FOUND)
+
+
+def as_findings(flows: DataFrame, engine: str = "TAINT") -> DataFrame:
+    """Flows in the shape of findings: (file_id, repo, source, file, line, type, severity, description); the description names the engine."""
+    kind = F.when(F.col("type").isin("open-redirect", "ssrf"), "edge-case").otherwise("injection")
+    text = F.concat(F.lit(f"[{engine}] Tainted value from "), F.col("source"), F.lit(" reaches "), F.col("sink"))
+    return flows.select("file_id", "repo", F.lit(engine).alias("engine"), F.col("rel_path").alias("file"), "line", kind.alias("type"), F.lit("HIGH").alias("severity"), text.alias("description"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.operators import corpus, graph, patterns, risk, rules, taint
-from codestrata.session import checkpointed, ship
+from codestrata.session import checkpointed, ship, spread
 from codestrata.sources import config, manifests
 
 
@@ -22,7 +22,7 @@ class Scan:
 
     @cached_property
     def lined(self) -> DataFrame:
-        return corpus.with_lines(self.files)
+        return corpus.with_lines(spread(self.files.select("file_id", "repo", "rel_path", "content")))
 
     @cached_property
     def edges(self) -> DataFrame:

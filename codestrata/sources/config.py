@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from codestrata.session import spread
 
 RESOURCES = "file_id long, repo string, rel_path string, resource_type string, name string, start_line int, attrs map<string,string>, items array<struct<path:string,pos:int,attrs:map<string,string>>>"
-MOST_DEPTH = 64
+#: Fixed value: levels of nesting up to which a block is read.
+MOST_DEPTH = 256
 _TOKEN = re.compile(
     r"""(?P<skip>[ \t\r]+|\#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/)|(?P<nl>\n)|(?P<here><<[-~]?(?P<tag>[A-Za-z_]\w*)[^\n]*\n[\s\S]*?^[ \t]*(?P=tag)[ \t]*\r?$)
     |(?P<str>"(?:[^"\\$]|\\.|\$(?!\{)|\$\{(?:[^{}"]|"[^"]*"|\{[^{}]*\})*\})*")|(?P<num>-?\d+(?:\.\d+)?)|(?P<id>[A-Za-z_][\w.-]*(?:\[[^\]\n]*\])*)|(?P<op>=>|==|!=|<=|>=|&&|\|\||[\s\S])""",
@@ -24,7 +25,7 @@ class _Stop(Exception):
 
 
 def parse_hcl(text: str | None) -> list[dict]:
-    """Blocks as {type, labels, line, body}; a block that does not parse ends the list, what came before stays.
+    """Blocks as {type, labels, line, body}; a block that does not parse is left out, reading goes on behind it.
 
     Values are strings, numbers, booleans, null, lists and objects; expressions stay as text, for-expressions give
     an empty list or object. Every token is read once, so the work is linear in the text.
@@ -124,27 +125,33 @@ def parse_hcl(text: str | None) -> list[dict]:
                 return i
         raise _Stop
 
-    try:
-        while pos < len(toks):
-            if toks[pos][0] == "nl":
-                pos += 1
-                continue
-            start = pos
-            labels = []
-            while pos < len(toks) and toks[pos][0] in ("id", "str"):
-                labels.append(toks[pos][1].strip('"'))
-                pos += 1
-            if not labels or pos >= len(toks):
-                break
-            if toks[pos][1] == "=":  # an assignment at the top, as in variable files
+    while pos < len(toks):
+        if toks[pos][0] == "nl":
+            pos += 1
+            continue
+        start = pos
+        labels = []
+        while pos < len(toks) and toks[pos][0] in ("id", "str"):
+            labels.append(toks[pos][1].strip('"'))
+            pos += 1
+        if pos >= len(toks):
+            break
+        try:
+            if labels and toks[pos][1] == "=":  # an assignment at the top, as in variable files
                 _, pos = value(pos + 1, 0)
-                continue
-            if toks[pos][1] != "{":
+            elif labels and toks[pos][1] == "{":
+                content, end = body(pos + 1, 0, True)
+                blocks.append({"type": labels[0], "labels": labels[1:], "line": toks[start][2], "body": content})
+                pos = end
+            else:
+                raise _Stop
+        except _Stop:
+            try:  # behind the block's closing brace; one that never closes ends the text
+                pos = skip(pos) if toks[pos][1] == "{" else pos + 1
+            except _Stop:
                 break
-            content, pos = body(pos + 1, 0, True)
-            blocks.append({"type": labels[0], "labels": labels[1:], "line": toks[start][2], "body": content})
-    except _Stop:
-        pass
+            while pos < len(toks) and toks[pos][0] != "nl":
+                pos += 1
     return blocks
 
 

@@ -10,12 +10,17 @@ from codestrata.operators.corpus import language, loc
 from codestrata.session import ship
 
 
-def read_tree(spark: SparkSession, root: str, repo: str, most_bytes: int = 16 << 20) -> DataFrame:
-    """(path, rel_path, repo, language, lines, content) of every file below ``root`` up to ``most_bytes``; larger ones have null content."""
+def read_tree(spark: SparkSession, root: str, repo: str, most_bytes: int | None = None) -> DataFrame:
+    """(path, rel_path, repo, language, lines, content, n_bytes) of every file below ``root``.
+
+    All files are read whole. With ``most_bytes``, larger ones keep their row and ``n_bytes``, with null content and null lines,
+    so that they don't count as empty.
+    """
     ship(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", r"^file:/*", "/")
-    text = F.when(F.col("length") <= most_bytes, F.decode("content", "UTF-8"))
-    base = raw.select(path.alias("path"), text.alias("content"))
+    fits = F.lit(True) if most_bytes is None else F.col("length") <= most_bytes
+    base = raw.select(path.alias("path"), F.when(fits, F.decode("content", "UTF-8")).alias("content"), F.col("length").alias("n_bytes"))
     rel = relative_uri(F.col("path"), F.lit(root))
-    return base.select("path", rel.alias("rel_path"), F.lit(repo).alias("repo"), language(rel).alias("language"), loc(F.col("content")).alias("lines"), "content")
+    lines = F.when(F.col("content").isNotNull(), loc(F.col("content")))
+    return base.select("path", rel.alias("rel_path"), F.lit(repo).alias("repo"), language(rel).alias("language"), lines.alias("lines"), "content", "n_bytes")

@@ -225,6 +225,11 @@ def test_hcl():
     flat = config.flattened(b)
     assert flat["policy.S.E"] == "Allow" and flat["ingress.cidrs"] == "0.0.0.0/0,var.x" and flat["tags.n"] == "1"
     assert config.parse_hcl(None) == [] and config.parse_hcl("}") == [] and config.parse_hcl('a "b" {' * 200) == []
+    nested = 'resource "a" "b" {\n  x = ' + "[" * 70 + "]" * 70 + "\n}\n"
+    too_deep = 'resource "a" "b" {\n  x = ' + "[" * 300 + "]" * 300 + "\n}\n"
+    after = 'resource "c" "d" {\n  y = 1\n}\n'
+    assert [b["labels"] for b in config.parse_hcl(nested + after)] == [["a", "b"], ["c", "d"]]
+    assert [b["labels"] for b in config.parse_hcl(too_deep + after)] == [["c", "d"]] and [b["labels"] for b in config.parse_hcl('x "y" {\n  ???\n}\n' + after)] == [["c", "d"]]
     assert len(config.parse_hcl('resource "x" "y" {\n  a = 1\n}\n' * 2000)) == 2000
 
 
@@ -303,6 +308,24 @@ def test_flow_through_a_long_loop():
     assert [(r[0], r[2], r[3]) for r in taint.analyse(text, "a.py")] == [(text.count("\n"), "eval", "request.args")]
 
 
+def test_flows_of_long_and_deep_texts(spark):
+    steps = "".join(f"    x{i} = x{i - 1}\n" for i in range(1, 40))
+    flow = taint.analyse(f"def f():\n    x0 = request.args['q']\n{steps}    eval(x39)\n", "a.py")
+    assert len(flow) == 1 and len(flow[0][5]) == 40
+    branches = "".join(f"    if a{i}:\n        x = x + y\n    else:\n        x = y + x\n" for i in range(60))
+    assert len(taint.analyse(f"def f():\n    x = request.args['q']\n    y = request.form['q']\n{branches}    eval(x)\n", "a.py")) == 2
+    deep = "x = " + "[" * 150 + "1" + "]" * 150 + "\n"
+    many = "def f(x):\n    return " + "(".join("x.a" for _ in range(3000)) + ")" * 2999
+    assert [r["rel_path"] for r in taint.not_analysed(_files(spark, {"a.py": deep, "b.js": "f();\n", "c.py": "x = " + "-" * 30000 + "1\n", "d.py": many})).collect()] in (["c.py"], ["c.py", "d.py"])
+
+
+def test_flow_and_rule_findings(spark):
+    f = taint.as_findings(taint.flows(_files(spark, {"a.py": TAINTED["a.py"], "d.py": TAINTED["d.py"]})))
+    assert sorted((r["file"], r["type"], r["description"]) for r in f.collect()) == [("a.py", "injection", "[TAINT] Tainted value from request.args reaches eval"), ("d.py", "edge-case", "[TAINT] Tainted value from name reaches redirect")]
+    hits = rules.as_findings(rules.hits(config.resources(_files(spark, {"safe/Dockerfile": "FROM a:latest\nUSER me\nHEALTHCHECK CMD x\n"})), rules.RULES))
+    assert [(r["line"], r["type"], r["severity"]) for r in hits.collect()] == [(1, "edge-case", "MED")]
+
+
 def test_flow_rows(spark):
     got = taint.flows(_files(spark, TAINTED | {"n.py": None, "m.py": ""})).collect()
     assert {r["rel_path"] for r in got} == set(TAINTED)
