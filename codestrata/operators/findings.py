@@ -5,22 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Weakness classes by what a description says, first match wins (pattern over lower-cased text, CWE).
-CWE_LADDER = (
-    ("sql injection|nosql|unchecked .* query|query", 89), ("command injection|shell", 78), ("code injection|eval", 94), ("template injection", 1336), ("cross-site|xss", 79),
-    ("path traversal|isn't confined|bucket root", 22), ("open redirect", 601), ("ssrf|server-side request", 918), ("xml external|xxe", 611), ("deserial", 502), ("prototype pollution", 1321),
-    ("hardcoded|literal credential|private key|api key", 798), ("leaks timing|timing", 208), ("weak hash|md5|sha-?1", 328), ("weak cipher|ecb|des\\b", 327), ("random", 338), ("certificate|tls", 295),
-    ("division", 369), ("may return nothing|null|undefined", 476), ("no boundary|unhandled|isn't guarded|will throw", 755), ("race|await inside loop", 362), ("regexp|redos", 1333), ("cookie", 614), ("csrf", 352),
-    ("fragile|branches", 1121), ("circular|cycle", 1047), ("no guard|without any escaping", 20),
-)
-TYPE_CWE = {"injection": 74, "hardcoded-secret": 798, "null-safety": 476, "error-boundary": 755, "async-race": 362, "edge-case": 754, "risk": 1121, "open-redirect": 601, "ssrf": 918}
-# Classes that also answer to a wider one.
-CWE_ALIASES = {89: (74, 943), 78: (74, 77), 94: (74, 95), 79: (74, 80), 22: (23, 36, 73), 798: (259, 321), 476: (690,), 755: (248, 703), 362: (366, 367), 328: (327, 916), 338: (330,), 918: (441,), 1333: (400,)}
-SEVERITY_LEVEL = {"HIGH": "error", "MED": "warning", "LOW": "note"}
+from codestrata.operators import weakness
+from codestrata.operators.patterns import NOT_PRODUCT
+
+# SARIF levels and the order of severities.
+SEVERITY_LEVEL = {"CRITICAL": "error", "HIGH": "error", "MED": "warning", "MEDIUM": "warning", "LOW": "note"}
 SEVERITY_RANK = {"HIGH": 0, "MED": 1, "LOW": 2}
-SECURITY = r"(?i)inject|secret|credential|token|password|traversal|confined|redirect|ssrf|xss|crypt|timing|csrf|leak|escap|unchecked"
-QUALITY_TYPES = ("null-safety", "edge-case", "async-race", "error-boundary", "risk")
-TEST_PATH = r"(_|\.)(test|spec)\.[a-z]+$|(^|/)(__tests__|e2e|cypress|tests?|fixtures|benchmarks|stories)/"
 PAYLOAD = "file string, line string, type string, description string"
 #: Columns of findings as they are delivered.
 DELIVERED = ("ord", "scan_id", "repo", "source", "file", "line", "type", "severity", "description", "payload")
@@ -49,34 +39,15 @@ def finding_id(source: Column, file: Column, line: Column, kind: Column, descrip
     return F.concat(F.lower(source), F.lit("_"), F.substring(F.sha1(text), 1, 12))
 
 
-def cwe_primary(description: Column, kind: Column) -> Column:
-    """CWE by the ladder, then one named in the text, then by type; null if nothing says."""
-    low = F.lower(F.coalesce(description, F.lit("")))
-    out = F.when(F.regexp_extract(low, r"cwe-(\d+)", 1) != "", F.regexp_extract(low, r"cwe-(\d+)", 1).cast("int"))
-    out = F.coalesce(out, F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_CWE.items() for x in kv]), kind))
-    for pattern, cwe in reversed(CWE_LADDER):
-        out = F.when(low.rlike(pattern), F.lit(cwe)).otherwise(out)
-    return out
-
-
-def cwe_set(primary: Column) -> Column:
-    """The primary class first, then its aliases."""
-    aliases = F.create_map(*[x for k, v in CWE_ALIASES.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
-    return F.array_distinct(F.concat(F.array_compact(F.array(primary)), F.coalesce(F.try_element_at(aliases, primary), F.array().cast("array<int>"))))
-
-
-def surface(description: Column, kind: Column) -> Column:
-    """security or quality: by wording first, then by type; security by default."""
-    d = F.coalesce(description, F.lit(""))
-    return F.when(d.rlike(SECURITY), "security").when(kind.isin(*QUALITY_TYPES), "quality").otherwise("security")
-
-
 def classified(findings: DataFrame) -> DataFrame:
-    """Delivered findings with id, primary CWE, CWE set, surface, level and whether the path is a test's."""
+    """Delivered findings with id, primary CWE, CWE set, surface, level and whether the path is no product's."""
     kind, d = F.col("type"), F.col("description")
-    out = findings.withColumn("finding_id", finding_id(F.col("source"), F.coalesce("file", F.lit("")), F.col("line"), kind, d)).withColumn("cwe", cwe_primary(d, kind))
+    out = findings.withColumns({"_text": weakness.lowered(d), "_kind": weakness.lowered(kind), "_path": weakness.lowered(F.col("file"))})
+    out = out.withColumns({"finding_id": finding_id(F.col("source"), F.coalesce("file", F.lit("")), F.col("line"), kind, d), "cwe": weakness.primary(F.col("_text"), F.col("_kind"))})
     levels = F.create_map(*[F.lit(x) for kv in SEVERITY_LEVEL.items() for x in kv])
-    return out.withColumns({"cwes": cwe_set(F.col("cwe")), "surface": surface(d, kind), "level": F.coalesce(F.try_element_at(levels, F.col("severity")), F.lit("none")), "is_test": F.coalesce(F.col("file").rlike(TEST_PATH), F.lit(False))})
+    level = F.coalesce(F.try_element_at(levels, F.upper("severity")), F.lit("warning"))
+    out = out.withColumns({"cwes": weakness.classes(F.col("cwe"), F.col("_text")), "surface": weakness.surface(F.col("_text"), kind, F.col("_path")), "level": level, "is_test": F.coalesce(F.col("file").rlike(NOT_PRODUCT), F.lit(False))})
+    return out.drop("_text", "_kind", "_path")
 
 
 def first_of(findings: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.operators import corpus, findings, graph, patterns, risk
+from codestrata.operators import corpus, findings, graph, patterns, risk, weakness
 
 
 def _q(text: str) -> str:
@@ -202,21 +202,44 @@ DELIVERED = """with d as (
 _ANCHOR = "case when regexp_extract(f, '(?:^|/)((?:src|app|lib|routes|packages)/(?s:.*))$', 1) <> '' then regexp_extract(f, '(?:^|/)((?:src|app|lib|routes|packages)/(?s:.*))$', 1) else regexp_extract(f, '([^/]+)$', 1) end"
 
 
+def _cases(text: str, rungs) -> str:
+    return " ".join(f"when regexp_matches({text}, '{_q(p)}') then {c}" for p, c in rungs)
+
+
 def _cwe() -> str:
+    """Rungs as one flat CASE: early ones, names, the class a text names, words, the type and parts of it."""
+    d, t = "lower(coalesce(description, ''))", "lower(coalesce(type, ''))"
+    named = " ".join(f"when contains({d}, '{_q(n)}') then {c}" for n, c in weakness.NAMED)
+    types = " ".join(f"when {t} = '{k}' then {v}" for k, v in weakness.OF_TYPE.items())
+    tag = f"regexp_extract({d}, 'cwe-([0-9]+)', 1)"
+    return f"(case {_cases(d, weakness.EARLY)} {named} when length({tag}) between 1 and 5 and {tag} <> '0' then {tag}::integer {_cases(d, weakness.WORDS)} {types} {_cases(t, weakness.OF_TYPE_PART)} end)::integer"
+
+
+def _extras() -> str:
+    """Classes that a description adds, as one list."""
     d = "lower(coalesce(description, ''))"
-    cases = " ".join(f"when regexp_matches({d}, '{_q(p)}') then {c}" for p, c in findings.CWE_LADDER)
-    types = " ".join(f"when '{t}' then {c}" for t, c in findings.TYPE_CWE.items())
-    return f"(case {cases} else coalesce(try_cast(nullif(regexp_extract({d}, 'cwe-(\\d+)', 1), '') as integer), case type {types} end) end)::integer"
+    lists = []
+    for has, lacks, cs in weakness.EXTRAS:
+        test = f"regexp_matches({d}, '{_q(has)}')" + (f" and not regexp_matches({d}, '{_q(lacks)}')" if lacks else "")
+        lists.append(f"case when {test} then [{', '.join(map(str, cs))}] else [] end")
+    return "flatten([" + ", ".join(lists) + "])"
+
+
+def _surface() -> str:
+    d, f = "lower(coalesce(description, ''))", "lower(coalesce(file, ''))"
+    cases = []
+    for name, has, lacks, where in weakness.SURFACES:
+        test = f"regexp_matches({d}, '{_q(has)}')" + (f" and not regexp_matches({d}, '{_q(lacks)}')" if lacks else "") + (f" and regexp_matches({f}, '{_q(where)}')" if where else "")
+        cases.append(f"when {test} then '{name}'")
+    quality = ", ".join(f"'{t}'" for t in weakness.QUALITY_TYPES)
+    return f"case {' '.join(cases)} when type in ({quality}) then 'quality' else 'security' end"
 
 
 def _classified() -> str:
-    q = ", ".join(f"'{t}'" for t in findings.QUALITY_TYPES)
     levels = " ".join(f"when '{k}' then '{v}'" for k, v in findings.SEVERITY_LEVEL.items())
     return (
         DELIVERED
-        + f""", c as (select *, {_cwe()} as cwe,
-      case when regexp_matches(coalesce(description, ''), '{findings.SECURITY}') then 'security' when type in ({q}) then 'quality' else 'security' end as surface,
-      case severity {levels} else 'none' end as level, coalesce(regexp_matches(file, '{findings.TEST_PATH}'), false) as is_test from d)
+        + f""", c as (select *, {_cwe()} as cwe, {_surface()} as surface, case upper(severity) {levels} else 'warning' end as level, coalesce(regexp_matches(file, '{patterns.NOT_PRODUCT}'), false) as is_test from d)
     """
     )
 
@@ -226,7 +249,7 @@ _IDS = f""", n as (select *, coalesce(file, '') as f from c), k as (select *, lo
 
 
 def _aliases() -> str:
-    return " ".join(f"when {k} then [{', '.join(map(str, v))}]" for k, v in findings.CWE_ALIASES.items())
+    return " ".join(f"when {k} then [{', '.join(map(str, v))}]" for k, v in weakness.ALIASES.items())
 
 
 _CONDITIONS = {
@@ -308,7 +331,7 @@ def oracle_sql() -> dict[str, str]:
         "finding_ids": c + _IDS + "select ord, finding_id from k",
         "cwe_primary": c + "select ord, cwe, surface, level from c",
         "cwe_counts": c
-        + f", s as (select unnest(list_distinct(list_concat([cwe], coalesce(case cwe {_aliases()} end, [])))) as cwe, repo, ord from c) select cwe, count(*) as n, count(distinct repo) as n_repos from s group by cwe",
+        + f", s as (select unnest(list_distinct(list_concat(case cwe {_aliases()} else [cwe] end, {_extras()}))) as cwe, repo, ord from c where cwe is not null) select cwe, count(*) as n, count(distinct repo) as n_repos from s group by cwe",
         "surface_split": c + "select surface, is_test, severity, count(*) as n from c group by all",
         "dedup_first_wins": DELIVERED + "select scan_id, file, line, type, description, min(ord) as ord from d group by all",
         "merge_findings": DELIVERED

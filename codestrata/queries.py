@@ -223,7 +223,8 @@ def cwe_primary(spark, sf):
 
 def cwe_counts(spark, sf):
     c = findings.classified(_delivered(spark, sf))
-    return c.select(F.explode("cwes").alias("cwe"), "repo").groupBy("cwe").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repo").alias("n_repos"))
+    # an inner generator would push a filter on the array, and with it the whole ladder, below this projection
+    return c.select(F.explode_outer("cwes").alias("cwe"), "repo").where("cwe is not null").groupBy("cwe").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repo").alias("n_repos"))
 
 
 def surface_split(spark, sf):

@@ -1,9 +1,12 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from codestrata import queries
 from codestrata.functions import paths
-from codestrata.operators import corpus, findings, fixes, graph, patterns, risk, rules, scoring, taint
+from codestrata.operators import corpus, findings, fixes, graph, patterns, risk, rules, scoring, taint, weakness
 from codestrata.plans.scan import Scan
 from codestrata.sources import config, manifests
 from codestrata.sources.tree import read_tree
@@ -162,8 +165,8 @@ def test_finding_algebra(spark):
     d = findings.delivered(spark.createDataFrame(rows, schema))
     c = {r["ord"]: r for r in findings.classified(d).collect()}
     assert c[1]["finding_id"] == c[2]["finding_id"] != c[3]["finding_id"] == c[4]["finding_id"]
-    assert (c[1]["cwe"], c[1]["cwes"], c[1]["surface"], c[1]["level"]) == (89, [89, 74, 943], "security", "error")
-    assert c[3]["cwe"] == 77 and c[5]["cwe"] is None and c[5]["cwes"] == [] and c[6]["is_test"] and c[6]["surface"] == "quality"
+    assert (c[1]["cwe"], c[1]["cwes"], c[1]["surface"], c[1]["level"]) == (89, [89, 345, 566], "security", "error")
+    assert c[3]["cwe"] == 77 and c[5]["cwe"] is None and c[5]["cwes"] == [] and c[6]["is_test"] and c[6]["surface"] == "security"
     keys = ["file", "line", "type", "description"]
     m = findings.merged(d.where("source = 'PULSAR'"), d.where("source <> 'PULSAR'"), keys)
     assert sorted(r["ord"] for r in m.collect()) == [1, 2, 3, 5, 6]
@@ -175,6 +178,40 @@ def test_finding_algebra(spark):
     assert findings.top_issues(d).where("rank = 1").count() == 1
 
 
+WEAKNESSES = [
+    ("NoSQL injection via findOne", "injection", 943), ("sql injection in x", "injection", 89), ("use-after-free, CWE-416", "edge-case", 416), ("shell_escape missing — cmdi (CWE-78)", "injection", 78), ("referer_field_auth trusted (cwe-22)", "x", 293), ("eval() on user input", "injection", 95),
+    ("via eval(string-literal) to db.query", "injection", 95), ("createHash.md5 used", "x", 328), ("nothing to say", "hardcoded-secret", 798), ("nothing to say", "My-SQL-thing", 89), ("nothing to say", "risk", None), (None, None, None), ("reads row.name", "x", 476), ("cwe-0 text", "xss", 79), ("new RegExp() of input", "injection", 1333),
+]
+SURFACED = [
+    ("Division by zero of n", "edge-case", "a.js", "quality"), ("strchr result, null dereference", "null-safety", "a.c", "security"), ("x", "async-race", None, "quality"), ("x", "injection", "a.js", "security"), ("Math.random() used for security-sensitive value", "edge-case", "src/auth/a.js", "security"),
+    ("Math.random() used for security-sensitive value", "edge-case", "src/jobs/a.js", "quality"), ("Tainted value from command-line arguments reaches fs.readFile", "injection", "bin/x.js", "quality"), ("Tainted value from express query reaches fs.readFile", "injection", "bin/x.js", "security"), (None, None, None, "security"),
+    ("Tainted value from express body reaches console.log — password", "injection", "a.js", "security"), ("reaches console.log", "injection", "a.js", "quality"), ("hashed with weak algorithm md5", "injection", "src/node/core/a.js", "quality"),
+]
+
+
+def test_weakness_classes_and_surfaces(spark):
+    df = spark.createDataFrame([(n, *r[:2]) for n, r in enumerate(WEAKNESSES)], "n int, d string, t string")
+    assert [r[0] for r in df.orderBy("n").select(weakness.primary(weakness.lowered(F.col("d")), weakness.lowered(F.col("t")))).collect()] == [w for _, _, w in WEAKNESSES]
+    df = spark.createDataFrame([(n, *r[:3]) for n, r in enumerate(SURFACED)], "n int, d string, t string, f string")
+    assert [r[0] for r in df.orderBy("n").select(weakness.surface(weakness.lowered(F.col("d")), F.col("t"), weakness.lowered(F.col("f")))).collect()] == [w for *_, w in SURFACED]
+    one = spark.range(1).select(weakness.classes(F.lit(328), F.lit("weak hash over http.get")).alias("a"), weakness.siblings(F.lit(9)).alias("b"), weakness.classes(F.lit(None).cast("int"), F.lit("html")).alias("c")).first()
+    assert one["a"] == [328, 916, 759, 261, 319] and one["b"] == [9] and one["c"] == []
+
+
+def test_plain_texts_of_patterns():
+    every = [p for p, _ in (*weakness.EARLY, *weakness.WORDS)] + [x for has, lacks, _ in weakness.EXTRAS for x in (has, lacks) if x] + [x for _, has, lacks, _ in weakness.SURFACES for x in (has, lacks) if x]
+    assert weakness._literal(r"https?\.get") == ("http", False) and weakness._literal(r"a\.b(c|d)") == ("a.b", False) and weakness._literal("ab") == ("ab", True)
+    rnd = random.Random(2)
+    words = sorted({w for p in every for b in weakness._branches(p) for w in (weakness._literal(b)[0], re.sub(r"\\(?=\W)|\\b", "", b))})
+    for _ in range(3000):
+        text = " ".join(rnd.sample(words, 3))
+        for p in rnd.sample(every, 20):
+            found = [weakness._literal(b) for b in weakness._branches(p)]
+            if all(len(t) > 1 for t, _ in found):
+                guess, real = any(t in text for t, _ in found), bool(re.search(p, text))
+                assert guess == real if all(plain for _, plain in found) else guess or not real, (p, text)
+
+
 def test_scoring_rules(spark):
     labels = spark.createDataFrame(
         [("r", "g1", "src/a.js", 10, "x", "file"), ("r", "g2", "src/a.js", 12, "x", "file"), ("r", "g3", "src/p.js", 1, "y", "project"), ("r", "g4", "rc/a.js", 10, "x", "file"), ("q", "h1", "z.js", 1, "x", "file")],
