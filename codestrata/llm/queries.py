@@ -145,14 +145,37 @@ from r, q where rn = greatest(1, ceil(round(p * n, 9))::bigint)
 """
 
 
+#: Exponent and leading 32 bits of a positive double, by exact powers of two.
+_BITS = """
+, x as (select *, case when v <= 0 then 0 else floor(log2(v)) end as e0 from m)
+, b as (select *, case when v <= 0 then 0 when pow(2.0, e0) > v then e0 - 1 when pow(2.0, e0 + 1) <= v then e0 + 1 else e0 end as e from x)
+, k as (select *, case when v <= 0 then 0 else ((e + 1023) * 1048576 + floor((v / pow(2.0, e) - 1.0) * 1048576))::bigint end as prefix from b)
+"""
+_DAILY = _BITS + "select {g}, metric, day, prefix, count(*) as n from k group by all"
+_DAILY_RANKED = (
+    _BITS
+    + """
+, r as (select *, row_number() over (partition by {g}, metric order by v) as rn, count(*) over (partition by {g}, metric) as total from k)
+, q as (select unnest([0.5::double, 0.9::double, 0.99::double]) as p)
+select {g}, metric, p, case when v <= 0 then 0.0 else floor(v / pow(2.0, e - 20)) * pow(2.0, e - 20) end as value, total as n,
+  case when v <= 0 then 4294967295 * pow(2.0, -537) * pow(2.0, -537) else pow(2.0, e - 52) * 4294967295 end as error_bound
+from r, q where rn = greatest(1, ceil(round(p * total, 9))::bigint)
+"""
+)
+
+
+#: Words of a text: characters of the scripts without spaces stand alone, all else that is no letter or digit separates.
+_WORDS = f"regexp_extract_all(regexp_replace(lower(text), '([{leaks._SINGLE}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+
+
 def oracle_sql() -> dict[str, str]:
     runs = """with m as (
-      select corpus, stage, 'total_ms' as metric, total_ms as v from runs
+      select corpus, stage, 'total_ms' as metric, total_ms as v, started_at::date as day from runs
       where total_ms > 0 and not isnan(total_ms) and not isinf(total_ms)
       union all
-      select corpus, stage, 'nova_ms', engine_ms.nova from runs
+      select corpus, stage, 'nova_ms', engine_ms.nova, started_at::date from runs
       where engine_ms.nova > 0 and not isnan(engine_ms.nova) and not isinf(engine_ms.nova))"""
-    scores = "with m as (select tool, 'duration_ms' as metric, duration_ms::double as v from scores where duration_ms >= 0)"
+    scores = "with m as (select tool, 'duration_ms' as metric, duration_ms::double as v, scored_at::date as day from scores where duration_ms >= 0)"
     return {
         "p6_found": _FINDINGS
         + """, g as (select *, min(ord) over (partition by scan_id, source, file, line, type, description) as a from f)
@@ -160,6 +183,14 @@ def oracle_sql() -> dict[str, str]:
         "p6_records": _FINDINGS
         + """select min(ord) as ord, count(*) as n_copies, scan_id::varchar as scan_id, source, file, line::varchar as line, type, description
         from f group by all""",
+        "p9_found": f"""with d as (select doc_id, {_WORDS} as w from documents where text is not null), i as (select item_id, {_WORDS} as w from eval_items where text is not null),
+          dg as (select doc_id, array_to_string(list_slice(w, k, k + 19), ' ') as g from (select *, unnest(range(1, greatest(len(w) - 18, 1))) as k from d)),
+          ig as (select distinct item_id, array_to_string(list_slice(w, k, k + 19), ' ') as g from (select *, unnest(range(1, greatest(len(w) - 18, 1))) as k from i))
+        select distinct doc_id, item_id from dg join ig using (g)""",
         "p7_percentiles": runs + _RANKED.format(g="corpus, stage"),
         "p7_scores": scores + _RANKED.format(g="tool"),
+        "p7_daily": runs + _DAILY.format(g="corpus, stage"),
+        "p7_scores_daily": scores + _DAILY.format(g="tool"),
+        "p7_daily_percentiles": runs + _DAILY_RANKED.format(g="corpus, stage"),
+        "p7_scores_daily_percentiles": scores + _DAILY_RANKED.format(g="tool"),
     }
