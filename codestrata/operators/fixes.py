@@ -60,19 +60,24 @@ def patched(content: str | None, line_no: int, kind: str) -> str | None:
 
 
 def proposals(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """(file_id, rel_path, line_no, type, diff) of each finding that a template fixes; content is joined to findings only."""
+    """(file_id, rel_path, line_no, type, diff) of each finding that a template fixes.
+
+    The findings of a file are put together first, no more than it has lines and types, so its content meets them once.
+    """
 
     def make(batches):
         import pandas as pd
 
         for pdf in batches:
             out = []
-            for fid, rel, no, kind, text in zip(pdf["file_id"], pdf["rel_path"], pdf["line_no"], pdf["type"], pdf["content"], strict=True):
-                after = patched(text, no, kind)
-                if after is not None:
-                    out.append((fid, rel, no, kind, unified_diff(text, after, rel)))
+            for fid, rel, hits, text in zip(pdf["file_id"], pdf["rel_path"], pdf["hits"], pdf["content"], strict=True):
+                for hit in hits:
+                    after = patched(text, hit["line_no"], hit["type"])
+                    if after is not None:
+                        out.append((fid, rel, hit["line_no"], hit["type"], unified_diff(text, after, rel)))
             yield pd.DataFrame(out, columns=["file_id", "rel_path", "line_no", "type", "diff"])
 
     js = findings.where(F.col("rel_path").rlike(r"\.(js|ts|jsx|tsx|mjs)$") & F.col("type").isin(*TEMPLATES))
-    both = js.select("file_id", "rel_path", "line_no", "type").join(files.select("file_id", "content"), "file_id")
+    of_file = js.groupBy("file_id", "rel_path").agg(F.sort_array(F.collect_set(F.struct("line_no", "type"))).alias("hits"))
+    both = of_file.join(files.select("file_id", "content"), "file_id")
     return both.mapInPandas(make, "file_id long, rel_path string, line_no int, type string, diff string")

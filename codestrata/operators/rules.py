@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codestrata.session import checkpointed
+from codestrata.session import checkpointed, small_side
 
 
 @dataclass(frozen=True)
@@ -42,9 +42,12 @@ class Rule:
 
 def holds(v: Column, t: Test) -> Column:
     """A condition of two values, never null: what a missing value means is part of each condition."""
-    one = F.lit(t.value[0]) if t.value else F.lit(None).cast("string")
-    many = F.array(*[F.lit(x) for x in t.value]) if t.value else F.array().cast("array<string>")
-    number = lambda c: F.trim(c).try_cast("double")
+    return _condition(v, F.lit(t.condition), F.array(*[F.lit(x) for x in t.value]) if t.value else F.array().cast("array<string>"))
+
+
+def _condition(v: Column, condition: Column, many: Column) -> Column:
+    """The same for conditions and values that are columns, as where the rules are a table."""
+    one, number = F.get(many, F.lit(0)), lambda c: F.trim(c).try_cast("double")
     table = {
         "missing": v.isNull(),
         "present": v.isNotNull(),
@@ -63,47 +66,54 @@ def holds(v: Column, t: Test) -> Column:
         "lte": number(v) <= number(one),
         "gte": number(v) >= number(one),
     }
-    return F.coalesce(table[t.condition], F.lit(False))
-
-
-def _applies(rule: Rule, attrs) -> Column:
-    get = lambda t: holds(F.try_element_at(attrs, F.lit(t.path)), t)
-    out = F.lit(True)
-    if rule.all_of or rule.any_of:
-        for t in rule.all_of:
-            out = out & get(t)
-        if rule.any_of:
-            some = F.lit(False)
-            for group in rule.any_of:
-                each = F.lit(True)
-                for t in group:
-                    each = each & get(t)
-                some = some | each
-            out = out & some
-    elif rule.test:
-        out = out & get(rule.test)
-    return out & ~get(rule.unless) if rule.unless else out
-
-
-def hits(resources: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    case = None
+    for name, test in table.items():
+        case = case.when(condition == name, test) if case is not None else F.when(condition == name, test)
+    return F.coalesce(case, F.lit(False))
+
+
+TEST = "struct<path:string,condition:string,value:array<string>>"
+PACK = f"rule_id string, severity string, resource_type string, groups array<array<{TEST}>>, unless array<{TEST}>, element string, unless_type string"
+
+
+def as_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rules on attributes as rows (PACK), one for each type they look at: a group of tests must hold as a whole, any of the groups."""
+    test = lambda t: (t.path, t.condition, list(t.value))
+    rows = []
+    for r in (r for r in rules if not r.absent and not r.repeat):
+        every = [test(t) for t in r.all_of]
+        groups = [[*every, *map(test, g)] for g in r.any_of] or [every or ([test(r.test)] if r.test else [])]
+        rows += [(r.id, r.severity, t, groups, [test(r.unless)] if r.unless else [], r.element, r.unless_type) for t in r.types]
+    return spark.createDataFrame(rows, PACK)
+
+
+def attribute_hits(resources: DataFrame, pack: DataFrame) -> DataFrame:
+    """Hits of the rules of a pack (PACK) on the resources of their types, with ``unless_type`` for the caller.
+
+    An equi-join on the type, with the pack broadcast if it is small by count; so a pack of any size, read from a file or table,
+    costs no code and meets only the resources it is about.
+    """
+
+    def fires(attrs):
+        test = lambda t: _condition(F.try_element_at(attrs, t["path"]), t["condition"], t["value"])
+        return F.exists("groups", lambda g: F.forall(g, test)) & ~F.exists("unless", test)
+
+    met = resources.join(small_side(pack), "resource_type")
+    some = F.when(F.col("element") == "", fires(F.col("attrs"))).otherwise(F.exists("items", lambda x: (x["path"] == F.col("element")) & fires(x["attrs"])))
+    return met.where(some).select("file_id", "repo", "rel_path", "resource_type", "name", "start_line", "rule_id", "severity", "unless_type")
+
+
+def hits(resources: DataFrame, rules: tuple[Rule, ...], pack: DataFrame | None = None) -> DataFrame:
     """(file_id, repo, rel_path, rule_id, severity, resource_type, name, start_line) of every rule that fires.
 
-    Rules on attributes are one projection of booleans over the rows, so no rule costs a scan or a join; those on
+    Rules on attributes, those given and those of ``pack``, meet the resources of their types (``attribute_hits``); those on
     types of a file are anti-joins on (file, type); repeats are windows within a file. Rows are parsed once and kept
     in the checkpoint folder, since several of these read them.
     """
     resources = checkpointed(resources)
     keep = ["file_id", "repo", "rel_path", "resource_type", "name", "start_line"]
-    flags = []
-    for r in (r for r in rules if not r.absent and not r.repeat):
-        if r.element:
-            fires = _any_element(r)
-        else:
-            fires = _applies(r, F.col("attrs"))
-        named = F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.unless_type).alias("unless_type"))
-        flags.append(F.when(F.col("resource_type").isin(*r.types) & fires, named))
-    none = F.array().cast("array<struct<rule_id:string,severity:string,unless_type:string>>")
-    found = resources.select(*keep, F.explode(F.array_compact(F.array(*flags)) if flags else none).alias("h")).select(*keep, "h.*")
+    own = as_table(resources.sparkSession, rules)
+    found = attribute_hits(resources, own if pack is None else own.unionByName(pack))
     have = resources.select("file_id", F.col("resource_type").alias("unless_type")).distinct()
     found = found.where("unless_type = ''").unionByName(found.where("unless_type <> ''").join(have, ["file_id", "unless_type"], "left_anti").select(found.columns)).drop("unless_type")
     per_file = resources.groupBy("file_id", "repo", "rel_path").agg(F.collect_set("resource_type").alias("have"))  # types of one file
@@ -131,10 +141,6 @@ def as_findings(hits: DataFrame, engine: str = "RULES") -> DataFrame:
     return hits.select("file_id", "repo", F.lit(engine).alias("engine"), F.col("rel_path").alias("file"), F.col("start_line").alias("line"), F.lit("edge-case").alias("type"), "severity", text.alias("description"))
 
 
-def _any_element(rule: Rule) -> Column:
-    return F.exists("items", lambda x: (x["path"] == rule.element) & _applies(rule, x["attrs"]))
-
-
 PUBLIC = ("0.0.0.0/0", "::/0")
 # Rules after public hardening guides; the first ones fit the resources of the test corpus.
 RULES = (

@@ -270,10 +270,52 @@ _EVENTS = """with recursive e as (select distinct repo, src, dst from (select us
 _RATIOS = "case when tp + fp = 0 then null else tp / (tp + fp) end as precision_val, case when tp + fn = 0 then null else tp / (tp + fn) end as recall"
 
 
+def _items(value: str) -> str:
+    """A list in any of its delivered forms as a list of JSON values: a list, one object, or a text that holds either."""
+    inner = f"json_extract_string({value}, '$')"
+    held = f"(case when json_type({value}) = 'VARCHAR' and regexp_matches({inner}, '^\\s*[\\[{{]') and json_valid({inner}) then {inner}::json else {value} end)"
+    return f"(case json_type({held}) when 'ARRAY' then cast({held} as json[]) when 'OBJECT' then [{held}] else []::json[] end)"
+
+
+#: Child records of reports by kind: the table of each level, its parent's, and the field that holds its list.
+_LEVELS = (("r2", "r1", "findings"), ("t1", "t0", "findings"), ("t2", "t1", "flow"), ("b1", "b0", "tools"), ("b2", "b1", "scores"), ("b3", "b2", "tpDetails"), ("b4", "b2", "fpDetails"), ("b5", "b2", "fnDetails"))
+_DETAILS = "file line type"
+#: Tables of children with their level and their fields.
+_CHILD_TABLES = {
+    "p4_targets": ("r1", "description files scorePct verdict"), "p4_receipt_findings": ("r2", "description file line severity source type"), "p4_taint_findings": ("t1", "description file line severity sink source testCase type"),
+    "p4_flow_steps": ("t2", "location.col location.file location.line statementId variable"), "p4_tools": ("b1", "name rank version"), "p4_scores": ("b2", "corpus durationMs f1 fp tp"),
+    "p4_true_positives": ("b3", _DETAILS), "p4_false_positives": ("b4", _DETAILS), "p4_false_negatives": ("b5", _DETAILS),
+}
+
+
+def _children() -> str:
+    """Each level unnests the lists of the one above; positions count every element, only objects are records."""
+
+    def below(name: str, of: str, field: str) -> str:
+        vs = _items(f"json_extract(v, '$.{field}')")
+        item = f"select report_id, path as parent, path || '/{field}/' as head, {vs} as vs from {of}"
+        return f"{name} as (select report_id, parent, i - 1 as pos, ltrim(head, '/') || (i - 1) as path, vs[i] as v from (select *, unnest(range(1, len(vs) + 1)) as i from ({item})) where json_type(vs[i]) = 'OBJECT')"
+
+    root = "{} as (select report_id, '' as path, body::json as v from reports where kind = '{}' and json_valid(body) and json_type(body::json) = 'OBJECT')"
+    roots = [root.format(*x) for x in (("r0", "receipts"), ("t0", "taint"), ("b0", "leaderboard"))]
+    value = "json_extract(v, '$.\"' || k || '\"')"
+    names = "select report_id, v, unnest(json_keys(v)) as k, generate_subscripts(json_keys(v), 1) as i from r0"
+    targets = f"r1 as (select report_id, '' as parent, i - 1 as pos, k as path, {value} as v from ({names}) where json_type({value}) = 'OBJECT')"
+    return "with " + ", ".join([*roots, targets, *[below(*x) for x in _LEVELS]]) + " "
+
+
+def _child_sql() -> dict[str, str]:
+    out = {"p4_found": _children() + " union all ".join(f"select report_id, path as child_path from {t}" for t, _ in _CHILD_TABLES.values())}
+    for name, (level, fields) in _CHILD_TABLES.items():
+        columns = ", ".join(f"json_extract_string(v, '$.{f}') as \"{f.replace('.', '_')}\"" for f in fields.split())
+        out[name] = _children() + f"select report_id, path as child_path, parent as parent_path, pos::integer as pos, {columns} from {level}"
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     rank = " ".join(f"when '{k}' then {v}" for k, v in findings.SEVERITY_RANK.items())
     c = _classified()
-    return {
+    return _child_sql() | {
         "loc_per_file": SCANNED + "select file_id, lang, n_lines from l",
         "language_loc": SCANNED + "select lang, count(*) as n_files, sum(n_lines)::bigint as n_lines from l group by lang",
         "line_explode": SCANNED + "select file_id, line_no, length(line)::integer as n_chars from x",
@@ -350,6 +392,9 @@ def oracle_sql() -> dict[str, str]:
         select repo, rank, file, severity, type, ord from r where rank <= 10""",
         "sarif_rules": c
         + "select rule_id, type, cwe, description, ord from (select concat_ws('/', type, 'CWE-' || cwe) as rule_id, *, row_number() over (partition by concat_ws('/', type, 'CWE-' || cwe) order by ord) as rn from c) where rn = 1",
+        "sarif_results": c
+        + """select repo, ord, concat_ws('/', type, 'CWE-' || cwe) as rule_id, json_object('ruleId', concat_ws('/', type, 'CWE-' || cwe), 'level', level, 'message', case when description is null then json_object() else json_object('text', description) end,
+          'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', replace(coalesce(file, 'unknown'), chr(92), '/')), 'region', json_object('startLine', greatest(line, 1))))))::varchar as result from c""",
         "relative_uris": "select file_id, case when starts_with(path, '/srv/checkout/') then substr(path, 15) when starts_with(path, '/') then regexp_extract(path, '([^/]+)$', 1) else regexp_replace(path, '^[.]/', '') end as uri from files",
         "rule_conditions": _conditions(),
         "weakness_candidates": DELIVERED

@@ -24,23 +24,30 @@ class Scan:
     def lined(self) -> DataFrame:
         return corpus.with_lines(spread(self.files.select("file_id", "repo", "rel_path", "content")))
 
+    # facts that several results need are written once, as narrow rows in the checkpoint folder
     @cached_property
-    def edges(self) -> DataFrame:
-        return graph.package_edges(self.files, corpus.imports(self.lined))
+    def imports(self) -> DataFrame:
+        return checkpointed(corpus.imports(self.lined))
 
+    @cached_property
     def functions(self) -> DataFrame:
-        return corpus.functions(self.lined)
+        return checkpointed(corpus.functions(self.lined))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return checkpointed(graph.package_edges(self.files, self.imports))
 
+    @cached_property
     def risk(self) -> DataFrame:
-        modules = graph.edges(self.files, corpus.imports(self.lined))
-        return risk.risk_scores(self.lined, self.functions(), corpus.todos(self.lined), graph.in_degrees(modules), graph.module(F.col("rel_path")))
+        modules = graph.in_degrees(graph.edges(self.files, self.imports))
+        return checkpointed(risk.risk_scores(self.lined, self.functions, corpus.todos(self.lined), modules, graph.module(F.col("rel_path"))))
 
     def patterns(self) -> DataFrame:
         return patterns.line_findings(self.lined)
 
-    def reported(self, scores: DataFrame) -> DataFrame:
-        """Pattern findings that a scan reports, given the risk scores that gate them."""
-        return patterns.reported(patterns.gated(self.patterns(), scores.where("tier <> 'low'")))
+    def reported(self) -> DataFrame:
+        """Pattern findings that a scan reports, gated by the risk scores."""
+        return patterns.reported(patterns.gated(self.patterns(), self.risk.where("tier <> 'low'")))
 
     def flows(self) -> DataFrame:
         return taint.flows(self.files)
@@ -52,9 +59,7 @@ class Scan:
         return manifests.lock_wins(manifests.dependencies(self.all_files))
 
     def _parts(self) -> tuple[DataFrame, ...]:
-        scores = checkpointed(self.risk())  # one narrow row a file, read several times
-        edges = checkpointed(self.edges)
-        return scores, self.functions(), self.reported(scores), graph.cycle_members(edges), graph.coupling(edges), graph.god_modules(corpus.export_counts(self.lined))
+        return self.risk, self.functions, self.reported(), graph.cycle_members(self.edges), graph.coupling(self.edges), graph.god_modules(corpus.export_counts(self.lined))
 
     def verdict(self) -> DataFrame:
         return risk.verdicts(*self._parts(), self.threshold)

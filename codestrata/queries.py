@@ -11,7 +11,7 @@ from codestrata.functions.paths import corpus_fingerprint, relative_uri
 from codestrata.operators import corpus, drift, findings, fixes, graph, nested, patterns, risk, rules, scoring, taint
 from codestrata.plans.scan import Scan
 from codestrata.session import checkpointed, read_table, spread
-from codestrata.sources import config
+from codestrata.sources import config, manifests
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,6 +301,10 @@ def taint_not_analysed(spark, sf):
     return taint.not_analysed(corpus.scanned(read_table(spark, sf, "files")))
 
 
+def manifest_dependencies(spark, sf):
+    return manifests.lock_wins(manifests.dependencies(read_table(spark, sf, "files").where("rel_path is not null")))
+
+
 def rule_findings(spark, sf):
     return rules.as_findings(rule_hits(spark, sf))
 
@@ -347,7 +351,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         p3_found, p3_runs, p4_found, p4_graph, loc_per_file, language_loc, line_explode, extract_imports, extract_classes, extract_todos, extract_functions, export_counts, god_modules, flagged_functions, unsupported_files, scan_metrics, missing_guards, audit_issues, event_cycle_members, event_cycles, event_reachability,
         pattern_findings, findings_by_type, dedup_near_findings, dep_edges, package_edges, package_in_degrees, package_importers, import_counts, coupled_modules, cycle_members, reachability, causal_chains, risk_scores, risk_tiers, verdict,
         finding_ids, cwe_primary, cwe_counts, surface_split, dedup_first_wins, merge_findings, fix_diff, top_issues, sarif_results, sarif_rules, weakness_candidates, band_match_candidates, precision_recall,
-        harmonic_f1, leaderboard, run_variance, taint_flows, taint_findings, taint_not_analysed, rule_findings, config_resources, rule_hits, rule_conditions, fix_proposals, fingerprints, relative_uris,
+        harmonic_f1, leaderboard, run_variance, taint_flows, taint_findings, taint_not_analysed, rule_findings, manifest_dependencies, config_resources, rule_hits, rule_conditions, fix_proposals, fingerprints, relative_uris,
     ]
     return {f.__name__: f for f in plain} | {
         "p4_targets": _child_table("receipts", "/*"),

@@ -223,10 +223,15 @@ def items(obj: dict) -> list[dict]:
     return out
 
 
+# Folders in which no configuration is looked for.
+SKIPPED = ("node_modules", ".git", "dist", "build", ".next", "__pycache__", ".DS_Store", "Pods", ".build", "vendor", "coverage", ".scannerwork", ".venv", "venv", ".mypy_cache", ".pytest_cache", ".tox")
+
+
 def resources(files: DataFrame) -> DataFrame:
-    """Resource rows of all HCL files and Dockerfiles; texts that do not parse give what parsed before the fault."""
+    """Resource rows of all HCL files and Dockerfiles outside of SKIPPED folders; blocks that do not parse give none."""
     name = F.lower(F.regexp_extract("rel_path", r"([^/]+)$", 1))
     wanted = name.rlike(r"\.(tf|tfvars|dockerfile)$") | name.isin("dockerfile", "containerfile")
+    wanted = wanted & ~F.arrays_overlap(F.split("rel_path", "/"), F.array(*[F.lit(x) for x in SKIPPED]))
 
     def parse(batches):
         import pandas as pd

@@ -289,6 +289,16 @@ def test_rules_fire_and_stay_silent(spark):
     }
 
 
+def test_rules_from_a_table(spark):
+    f = config.resources(_files(spark, {"a.tf": 'resource "x_disk" "a" {\n  size = 5\n  tags = { k = "v" }\n}\nresource "x_disk" "b" {\n  encrypted = true\n  size = 50\n}\n'}))
+    test = lambda path, condition, *value: (path, condition, list(value))
+    pack = spark.createDataFrame([
+        ("plain", "HIGH", "x_disk", [[test("encrypted", "not-true")]], [], "", ""), ("spared", "HIGH", "x_disk", [[test("encrypted", "not-true")]], [test("tags.k", "equals", "v")], "", ""),
+        ("either", "LOW", "x_disk", [[test("size", "lte", "5"), test("tags.k", "present")], [test("size", "gte", "50")]], [], "", ""), ("other", "LOW", "y_disk", [[test("size", "missing")]], [], "", ""),
+    ], rules.PACK)
+    assert {(r["rule_id"], r["name"]) for r in rules.hits(f, (), pack).collect()} == {("plain", "x_disk.a"), ("either", "x_disk.a"), ("either", "x_disk.b")}
+
+
 @pytest.mark.parametrize(("condition", "value", "fires"), [
     ("missing", (), "n"), ("present", (), "atw"), ("equals", ("a",), "a"), ("not-equals", ("a",), "tw"), ("equals-or-missing", ("a",), "an"), ("is-true", (), "t"), ("is-false", (), ""), ("not-true", (), "anw"),
     ("contains", ("7",), "w"), ("matches", ("^[a-z]$",), "a"), ("not-matches", ("^[a-z]$",), "tnw"), ("matches-any", ("7", "^a"), "aw"), ("in", ("a", "x"), "a"), ("not-in", ("a", "x"), "tw"), ("lte", ("17",), "w"), ("gte", ("18",), ""),
