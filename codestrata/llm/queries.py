@@ -72,7 +72,7 @@ def p7_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return quantiles.daily_histograms(_runs(spark, sf), ["corpus", "stage"])
+    return quantiles.daily_histograms(_runs(spark, sf), ["corpus", "stage"]).withColumn("day", F.col("day").cast("string"))
 
 
 def p7_daily_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +80,7 @@ def p7_daily_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_scores_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return quantiles.daily_histograms(_scores(spark, sf), ["tool"])
+    return quantiles.daily_histograms(_scores(spark, sf), ["tool"]).withColumn("day", F.col("day").cast("string"))
 
 
 def p7_scores_daily_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,12 +170,12 @@ _WORDS = f"regexp_extract_all(regexp_replace(lower(text), '([{leaks._SINGLE}])',
 
 def oracle_sql() -> dict[str, str]:
     runs = """with m as (
-      select corpus, stage, 'total_ms' as metric, total_ms as v, started_at::date as day from runs
+      select corpus, stage, 'total_ms' as metric, total_ms as v, started_at::date::varchar as day from runs
       where total_ms > 0 and not isnan(total_ms) and not isinf(total_ms)
       union all
-      select corpus, stage, 'nova_ms', engine_ms.nova, started_at::date from runs
+      select corpus, stage, 'nova_ms', engine_ms.nova, started_at::date::varchar from runs
       where engine_ms.nova > 0 and not isnan(engine_ms.nova) and not isinf(engine_ms.nova))"""
-    scores = "with m as (select tool, 'duration_ms' as metric, duration_ms::double as v, scored_at::date as day from scores where duration_ms >= 0)"
+    scores = "with m as (select tool, 'duration_ms' as metric, duration_ms::double as v, scored_at::date::varchar as day from scores where duration_ms >= 0)"
     return {
         "p6_found": _FINDINGS
         + """, g as (select *, min(ord) over (partition by scan_id, source, file, line, type, description) as a from f)
